@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,3 +47,19 @@ def row_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[p
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+_built: dict[str, tuple[str, object]] = {}
+
+
+def new_key() -> str:
+    """A name for what workers build from one broadcast."""
+    return uuid.uuid4().hex
+
+
+def built_once(kind: str, key: str, make: Callable[[], object]) -> object:
+    """In a worker: what ``make`` builds, kept until another ``key`` of the same kind is asked for."""
+    if _built.get(kind, ("", None))[0] != key:
+        _built.pop(kind, None)
+        _built[kind] = (key, make())
+    return _built[kind][1]

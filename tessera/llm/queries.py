@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontam, lm, packing, simhash, urlfilter
+from tessera.llm import chat, decontam, langid, lm, packing, quality, simhash, urlfilter
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,7 +45,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_decontamination, op5_packing, op6_simhash, op7_url_filter, op9_lm_scoring, op10_chat_format)}
+    return {f.__name__: f for f in (op1_language_id, op3_quality_rules, op4_decontamination, op5_packing, op6_simhash, op7_url_filter, op9_lm_scoring, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,11 +14,13 @@ a repeated doc_id) are packed each; a null doc_id is kept; an empty table gives
 from __future__ import annotations
 
 import bisect
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +30,8 @@ from tessera.llm.common import checkpointed, row_slices
 CAPACITY = 2048
 CLOSING_ID = 1
 SALTS = 64
-#: Word encodings that a worker keeps; when full, it starts anew.
-KEPT_WORDS = 400_000
+#: Word encodings that a worker keeps in each half of its memory.
+KEPT_WORDS = 300_000
 
 
 def default_tokenizer_path() -> str:
@@ -39,7 +41,17 @@ def default_tokenizer_path() -> str:
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer whose tokens do not span ASCII white space, word by word with memory."""
+    """Encodes texts with a tokenizer whose tokens do not span ASCII white space, word by word with memory.
+
+    New words are cut as the tokenizer's own rule cuts them and encoded many at a time; the ids are told apart by
+    their end-of-word marks. Words outside the Latin blocks are encoded one by one.
+    """
+
+    #: Characters below U+0180 that neither compose nor change their number in lower case.
+    LATIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]+").fullmatch
+    #: The tokenizer's rule for cutting, after lower-casing.
+    CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+    TOGETHER = 500
 
     def __init__(self, path: str, closing_id: int = CLOSING_ID, kept_words: int = KEPT_WORDS) -> None:
         from tokenizers import Tokenizer
@@ -47,29 +59,73 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.closing = np.array([closing_id], dtype="<u4").tobytes()
         self.kept_words = kept_words
-        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # by word, and by what words are cut into; older entries are let go half at a time
+        self.words: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
+        self.parts: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids of the text and the closing id."""
-        text = text or ""
-        if "<|" in text:  # may be a special token's string, which the tokenizer finds across words
-            return self._ids(text) + self.closing
-        words = text.encode("utf-8", "surrogatepass").split()
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > self.kept_words:
-                known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                encoded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                for w, e in zip(part, encoded, strict=True):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[w] for w in words]) + self.closing
+    def _missing(self, memory: tuple[dict, dict], wanted: set) -> list:
+        """What is in neither half; what is in the older half moves to the newer one."""
+        new, old = memory
+        out = []
+        for x in wanted.difference(new):
+            if (known := old.get(x)) is None:
+                out.append(x)
+            else:
+                new[x] = known
+        return out
+
+    def _renewed(self, memory: tuple[dict, dict]) -> tuple[dict, dict]:
+        return ({}, memory[0]) if len(memory[0]) > self.kept_words else memory
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        known = self.parts[0]
+        groups = [parts[i : i + self.TOGETHER] for i in range(0, len(parts), self.TOGETHER)]
+        encoded = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, encoded, strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(group):
+                known.update((p, self._ids(p)) for p in group)
+                continue
+            raw, at = ids.tobytes(), 0
+            for part, end in zip(group, (ends * 4).tolist(), strict=True):
+                known[part] = raw[at:end]
+                at = end
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        cut = {}
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            if self.LATIN(text):
+                body = text[:-1]
+                if text.isalpha():
+                    cut[w] = (text.lower(),)
+                elif text[-1] in ".," and body.isalpha():
+                    cut[w] = (body.lower(), text[-1])
+                else:
+                    cut[w] = self.CUT(text.lower())
+            else:
+                self.words[0][w] = self._ids(text)
+        if parts := self._missing(self.parts, {p for ps in cut.values() for p in ps}):
+            self._learn_parts(parts)
+        known = self.parts[0]
+        self.words[0].update((w, b"".join([known[p] for p in ps])) for w, ps in cut.items())
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, and the closing id."""
+        self.words, self.parts = self._renewed(self.words), self._renewed(self.parts)
+        # where a special token's string may stand, the tokenizer itself looks for it
+        lines = [None if "<|" in (t or "") else (t or "").encode("utf-8", "replace").split() for t in texts]
+        if new := self._missing(self.words, set().union(*(x for x in lines if x))):
+            self._learn_words(new)
+        known = self.words[0]
+        return [(self._ids(t) if x is None else b"".join([known[w] for w in x])) + self.closing for t, x in zip(texts, lines, strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -91,8 +147,7 @@ def token_pieces(
         encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
         for batch in row_slices(batches, 256):
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
                 total = len(ids) // 4
                 out += [(doc_id, at, min(capacity, total - at), total, ids[4 * at : 4 * (at + capacity)]) for at in range(0, total, capacity)]
             columns = list(zip(*out, strict=True)) or [[]] * 5

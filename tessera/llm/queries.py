@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontam, langid, lm, packing, quality, simhash, urlfilter
+from tessera.llm import chat, decontam, langid, lm, packing, pii, quality, simhash, urlfilter
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op3_quality_rules, op4_decontamination, op5_packing, op6_simhash, op7_url_filter, op9_lm_scoring, op10_chat_format)}
+    return {f.__name__: f for f in (op1_language_id, op3_quality_rules, op4_decontamination, op5_packing, op6_simhash, op7_url_filter, op8_pii, op9_lm_scoring, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:

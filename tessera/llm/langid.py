@@ -190,3 +190,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     samples = labelled_sample(rows.where(crc_mod("doc_id") != 0))
     found = with_language(rows, samples, keep=["doc_id"])
     return found.select("doc_id", (crc_mod("doc_id") == 0).alias("held_out"), "lang_pred", "score")
+
+
+def in_known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is predicted with at least ``min_score``. Learns as ``identify``
+    does; with nothing labelled, rows whose text has a letter stay."""
+    labelled = docs.where(crc_mod(id_col) != 0).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    samples = labelled_sample(labelled)
+    if not samples:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+    found = with_language(docs, samples, text_col, prefix="_tessera_")
+    return found.where((F.col("_tessera_lang_pred") != UNDETERMINED) & (F.col("_tessera_score") >= min_score)).select(*docs.columns)

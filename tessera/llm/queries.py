@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontam, langid, lm, packing, pii, quality, simhash, urlfilter
+from tessera.llm import chat, decontam, langid, lm, packing, pii, quality, secret_scan, simhash, urlfilter
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op3_quality_rules, op4_decontamination, op5_packing, op6_simhash, op7_url_filter, op8_pii, op9_lm_scoring, op10_chat_format)}
+    return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_quality_rules, op4_decontamination, op5_packing, op6_simhash, op7_url_filter, op8_pii, op9_lm_scoring, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -56,15 +56,15 @@ def text_fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row as a signed long."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """(doc_id, text_hash, fp): the fingerprint of each row as a signed long."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches):
-            fps = [text_fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = [text_fingerprint(t, shingle) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def byte_tally(a: Column, b: Column) -> Column:
@@ -135,15 +135,31 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, long_posting: int = 64
-) -> DataFrame:
-    """(doc_id, fingerprint, component_id), one row for each input row."""
-    marked = checkpointed(fingerprints(docs, id_col, text_col, shingle))
+def grouped(marked: DataFrame, long_posting: int = 64) -> DataFrame:
+    """(fp, component_id) of the distinct fingerprints of ``marked`` (doc_id, fp)."""
     fps = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     members = components(links(fps.select("fp"), long_posting))
-    grouped = fps.join(members, fps.fp == members.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    ids = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = grouped.join(ids, "root").select("fp", "component_id")
+    rooted = fps.join(members, fps.fp == members.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return rooted.join(ids, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, long_posting: int = 64) -> DataFrame:
+    """(doc_id, fingerprint, component_id), one row for each input row."""
+    marked = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return marked.join(grouped(marked, long_posting), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, long_posting: int = 64) -> DataFrame:
+    """One row of ``docs`` for each component, with all its columns: the least id (null last), then the least hash of the text."""
+    marked = checkpointed(fingerprints(docs, id_col, text_col, shingle))
+    rows = marked.groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "n")).alias("r")
+    chosen = rows.join(grouped(marked, long_posting), "fp").groupBy("root").agg(first)
+    kept = chosen.select(F.col("r.doc_id").alias("_kept_id"), F.col("r.text_hash").alias("_kept_hash"), F.col("r.n").alias("_kept_n"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64(F.col(text_col)) == F.col("_kept_hash"))
+    found = docs.join(kept, same)
+    once = found.where("_kept_n = 1").select(*docs.columns)
+    repeated = found.where("_kept_n > 1").dropDuplicates([id_col, text_col]).select(*docs.columns)
+    return once.unionByName(repeated)

@@ -1,0 +1,14 @@
+"""Named queries over the test tables, with the SQL that checks them."""
+
+from __future__ import annotations
+
+from tessera.plans import fact_queries, graph_queries, search_queries  # noqa: F401
+from tessera.plans.registry import ORACLES, QUERIES, Query
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import rank as R
@@ -13,8 +13,16 @@ from tessera.operators import reports as Q
 from tessera.operators import timeline as L
 from tessera.plans.registry import query, table
 
-DAY = F.lit("2024-01-20").cast("date")
-NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
+
+
+def day() -> Column:
+    return F.lit("2024-01-20").cast("date")
+
+
+def now() -> Column:
+    return F.lit("2024-02-01 00:00:00").cast("timestamp")
+
+
 FACTS_SQL = """WITH f AS (SELECT event_id AS id, 'u' || user_id AS entity, event_type AS dimension, CAST(CAST(floor(value) AS BIGINT) % 5 AS VARCHAR) AS value, CASE WHEN event_id % 4 = 3 THEN NULL ELSE 's' || event_id % 4 END AS source_id,
  CAST(ts AS DATE) AS valid_from, CASE WHEN event_id % 3 = 0 THEN CAST(ts AS DATE) + 10 END AS valid_until, ts AS written_at, (['event','commitment','belief','odd'])[event_id % 4 + 1] AS kind, (event_id % 10) / 10.0 AS confidence FROM events)
 """
@@ -24,9 +32,9 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as facts of users."""
     e, n = table(spark, sf_dir, "events"), F.col("event_id")
     kind = F.element_at(F.array(*map(F.lit, ("event", "commitment", "belief", "odd"))), (n % 4 + 1).cast("int"))
-    day = F.to_date("ts")
+    at = F.to_date("ts")
     return e.select(n.alias("id"), F.concat(F.lit("u"), "user_id").alias("entity"), F.col("event_type").alias("dimension"), (F.floor("value") % 5).cast("string").alias("value"),
-                    F.when(n % 4 != 3, F.concat(F.lit("s"), n % 4)).alias("source_id"), day.alias("valid_from"), F.when(n % 3 == 0, F.date_add(day, 10)).alias("valid_until"),
+                    F.when(n % 4 != 3, F.concat(F.lit("s"), n % 4)).alias("source_id"), at.alias("valid_from"), F.when(n % 3 == 0, F.date_add(at, 10)).alias("valid_until"),
                     F.col("ts").cast("timestamp").alias("written_at"), kind.alias("kind"), ((n % 10) / 10.0).alias("confidence"))
 
 
@@ -35,14 +43,14 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ontology_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current value of each dimension on a day."""
     order = [F.desc_nulls_last("valid_from"), F.desc("confidence"), F.asc("id")]
-    return K.as_of(facts(spark, sf_dir), DAY, ["entity", "dimension"], order).select("entity", "dimension", "id", "value")
+    return K.as_of(facts(spark, sf_dir), day(), ["entity", "dimension"], order).select("entity", "dimension", "id", "value")
 
 
 @query(FACTS_SQL + """SELECT id, round(CASE WHEN valid_until IS NOT NULL AND valid_until < DATE '2024-02-01' THEN 0.0 WHEN kind = 'odd' THEN confidence
  ELSE confidence * exp(-(epoch_us(TIMESTAMP '2024-02-01') - epoch_us(written_at)) / 86400000000.0 / CASE kind WHEN 'event' THEN 7 WHEN 'commitment' THEN 90 ELSE 365 END) END, 6)::DOUBLE AS confidence_now FROM f""")
 def fact_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence of facts after decay."""
-    return K.decayed(facts(spark, sf_dir), NOW).select("id", F.round("confidence_now", 6).alias("confidence_now"))
+    return K.decayed(facts(spark, sf_dir), now()).select("id", F.round("confidence_now", 6).alias("confidence_now"))
 
 
 @query(FACTS_SQL + "SELECT entity, dimension, count(DISTINCT value) AS n_values, count(DISTINCT source_id) AS n_sources FROM f GROUP BY 1, 2 HAVING count(DISTINCT value) >= 2 AND count(DISTINCT source_id) >= 2")
@@ -86,9 +94,9 @@ SELECT entity, dimension, action, value, CAST(valid_from AS DATE) AS valid_from,
 def ontology_propose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merging proposals into current values."""
     d = lambda s: F.to_date(F.lit(s))
-    now = spark.createDataFrame([("a", "role", "ceo", 0.7), ("b", "role", "ceo", 0.8), ("c", "role", "ceo", 0.98), ("e", "role", "y", 0.6)], "entity string, dimension string, value string, confidence double").withColumn("valid_from", d("2024-01-01"))
+    current = spark.createDataFrame([("a", "role", "ceo", 0.7), ("b", "role", "ceo", 0.8), ("c", "role", "ceo", 0.98), ("e", "role", "y", 0.6)], "entity string, dimension string, value string, confidence double").withColumn("valid_from", d("2024-01-01"))
     new = spark.createDataFrame([("a", "role", "cto", "2024-02-01"), ("b", "role", "ceo", "2023-01-01"), ("c", "role", "ceo", "2024-03-01"), ("d", "role", "dev", "2024-01-01"), ("e", "role", "x", "2020-01-01")], "entity string, dimension string, value string, v string")
-    return K.propose(now, new.withColumn("valid_from", F.to_date("v"))).withColumn("confidence", F.round("confidence", 6))
+    return K.propose(current, new.withColumn("valid_from", F.to_date("v"))).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("""WITH a AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 2 = 1),
@@ -114,7 +122,7 @@ def fact_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full outer join of stated and stored facts."""
     f = spark.createDataFrame([("a", "Likes  Tea"), ("a", "new fact"), ("b", "gone")], "entity_slug string, fact string")
     s = spark.createDataFrame([("a", "likes tea", False), ("a", "old fact", False), ("b", "GONE", True)], "entity_slug string, fact string, gone boolean")
-    return K.reconcile(f, s.withColumn("forgotten_at", F.when(F.col("gone"), NOW)))
+    return K.reconcile(f, s.withColumn("forgotten_at", F.when(F.col("gone"), now())))
 
 
 def at_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,8 +134,8 @@ FROM orders, (SELECT max(CAST(o_orderdate AS DATE)) AS d FROM orders) WHERE CAST
 def chronicle_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a day, of its ISO week, and of the same day in earlier years."""
     o = at_orders(spark, sf_dir)
-    day = F.lit(o.agg(F.max(F.to_date("occurred_at"))).first()[0])
-    rows = [(L.on_day(o, day), 1), (L.in_week(o, day), 2), (L.on_this_day(o, day), 4)]
+    last = F.lit(o.agg(F.max(F.to_date("occurred_at"))).first()[0])
+    rows = [(L.on_day(o, last), 1), (L.in_week(o, last), 2), (L.on_this_day(o, last), 4)]
     flagged = [f.select("o_orderkey", F.lit(n).alias("f")) for f, n in rows]
     all_rows = flagged[0].unionAll(flagged[1]).unionAll(flagged[2]).groupBy("o_orderkey").agg(F.sum("f").alias("f"))
     bit = lambda n: F.col("f").bitwiseAND(n) > 0
@@ -137,13 +145,13 @@ def chronicle_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, count(*) AS n, min(ts) AS first_at FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-20' GROUP BY 1")
 def chronicle_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events since a day."""
-    return L.since(table(spark, sf_dir, "events"), DAY, "ts").groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_at"))
+    return L.since(table(spark, sf_dir, "events"), day(), "ts").groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_at"))
 
 
 @query("SELECT user_id AS entity, max(ts) AS last_at, CAST(greatest(date_diff('day', CAST(max(ts) AS DATE), DATE '2024-01-20'), 0) AS INTEGER) AS days_ago FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-20' GROUP BY 1")
 def last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest event of each entity up to a day."""
-    return L.last_seen(table(spark, sf_dir, "events").withColumnsRenamed({"user_id": "entity", "ts": "occurred_at"}), DAY)
+    return L.last_seen(table(spark, sf_dir, "events").withColumnsRenamed({"user_id": "entity", "ts": "occurred_at"}), day())
 
 
 @query("""WITH l AS (SELECT event_id, user_id, event_type, ts, value, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events)

@@ -105,11 +105,11 @@ def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.orphans(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node")), e)
 
 
-@query("SELECT p_name AS target FROM part p WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_size < 25 AND lower(trim(q.p_name)) = lower(trim(p.p_name)))")
+@query("WITH t AS (SELECT p_size, p_name || p_partkey % 2 AS target FROM part) SELECT target FROM t p WHERE NOT EXISTS (SELECT 1 FROM t q WHERE q.p_size < 2 AND lower(trim(q.target)) = lower(trim(p.target)))")
 def dangling_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link targets that are no title."""
-    p = table(spark, sf_dir, "part")
-    return G.dangling(p.select(F.col("p_name").alias("target")), p.where("p_size < 25").select(F.col("p_name").alias("title")))
+    p = table(spark, sf_dir, "part").select("p_size", F.concat("p_name", F.col("p_partkey") % 2).alias("target"))
+    return G.dangling(p.select("target"), p.where("p_size < 2").select(F.col("target").alias("title")))
 
 
 @query(EDGES_SQL + """, h AS (SELECT 1 AS query_id, 's' || s_suppkey AS id FROM supplier WHERE s_suppkey <= 50 UNION ALL SELECT 1, 'p' || p_partkey FROM part WHERE p_partkey <= 100)

@@ -12,7 +12,6 @@ from tessera.operators import search as S
 from tessera.plans.registry import query, table
 
 NOW = "2024-02-01 00:00:00"
-now = F.lit(NOW).cast("timestamp")
 
 
 def keyword_queries(spark: SparkSession) -> DataFrame:
@@ -127,7 +126,7 @@ COEF = "CASE WHEN starts_with(np,'originals/') THEN 0.5 WHEN starts_with(np,'wri
 def recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recency decay and boosts by path prefix at a fixed now."""
     h = order_hits(spark, sf_dir)
-    path, age = R.normalized_path(F.col("path")), R.age_days(F.col("updated_at"), now)
+    path, age = R.normalized_path(F.col("path")), R.age_days(F.col("updated_at"), F.lit(NOW).cast("timestamp"))
     return h.select("id", F.round(R.recency_decay(path, age), 6).alias("decay"), F.round(R.recency_boost(path, age), 6).alias("boost"), F.round(R.recency_boost(path, age, True), 6).alias("strong_boost"))
 
 

@@ -45,7 +45,8 @@ def labelled_sample(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, slice_c
     )
     bucket = F.pmod("h", F.lit(sample_docs)).alias("bucket")
     chosen = rows.select("lang", "h", bucket).groupBy("lang", "bucket").agg(F.min("h").alias("h")).select("lang", "h")
-    pieces = rows.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("piece").alias("piece"))
+    pieces = rows.join(F.broadcast(chosen), ["lang", "h"])  # sample_docs rows a language at most
+    pieces = pieces.groupBy("lang", "h").agg(F.min("piece").alias("piece"))
     out: dict[str, list[str]] = {}
     for r in sorted(pieces.collect(), key=lambda r: (r["lang"], r["h"])):  # sample_docs rows a language at most
         out.setdefault(r["lang"], []).append(r["piece"])

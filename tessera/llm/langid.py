@@ -123,11 +123,10 @@ class LanguageModel:
             if c != OTHER:
                 start[c] = s
         table = np.tile(start * 2 + 1, (len(arcs), 1))
-        for state, out in enumerate(arcs):
+        for state, out in enumerate(arcs[1:], 1):
             for c, s in out.items():
                 if c != OTHER:
                     table[state, c] = 2 * s
-        table[0, start == 0] = 1
         return table.astype(np.int32).ravel()
 
     def phrases(self, lines: list[np.ndarray]) -> np.ndarray:
@@ -154,7 +153,7 @@ class LanguageModel:
                 n[:running] += arc & 1
                 s[:running] = arc >> 1
         for i, n in enumerate(count):
-            out[:, i] = np.bincount(owner, n + (state[i] > 0), len(lines))  # the phrase under way counts too
+            out[:, i] = np.bincount(owner, n, len(lines))
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:

@@ -228,11 +228,11 @@ def query_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("query", R.query_intent(F.col("query")).alias("intent"), R.concept_shaped(F.col("query")).alias("concept_shaped"))
 
 
-@query("""WITH d AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS w FROM documents WHERE n_chars < 400),
+@query("""WITH d0 AS (SELECT doc_id, list_sort(list_distinct(string_split(lower(text), ' '))) AS w FROM documents WHERE n_chars < 400), d AS (SELECT min(doc_id) AS doc_id, w FROM d0 GROUP BY w),
 b AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS s FROM d a JOIN d b ON a.doc_id < b.doc_id)
 SELECT a, b, round(i / (s - i), 6) AS jaccard FROM b WHERE i / (s - i) > 0.85""")
 def neardup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token-set near duplicates among short documents, by prefix filtering on rare tokens."""
+    """Token-set near duplicates among short documents, between classes of equal sets, by prefix filtering on rare tokens."""
     from tessera.operators.dedup import jaccard_pairs
 
     d = table(spark, sf_dir, "documents").where("n_chars < 400").select(F.col("doc_id").alias("id"), F.array_distinct(F.split(F.lower("text"), " ")).alias("tokens"))

@@ -156,13 +156,17 @@ def test_jaccard_pairs_against_all_pairs(spark):
     import itertools
     import random
 
-    from tessera.operators.dedup import jaccard_pairs
+    from tessera.operators.dedup import jaccard_pairs, token_classes
 
     r = random.Random(3)
     base = [r.sample("abcdefghijklmnop", 10) for _ in range(8)]
     sets = {i: frozenset(b if r.random() < 0.3 else set(b) ^ {r.choice("abcdefghijklmnop")}) for i, b in enumerate(base * 6)}
     df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id int, tokens array<string>")
-    want = {(a, b): len(x & y) / len(x | y) for (a, x), (b, y) in itertools.combinations(sets.items(), 2) if len(x & y) / len(x | y) > 0.8}
+    first = {}
+    for i, x in sets.items():
+        first.setdefault(x, i)
+    want = {(a, b): len(x & y) / len(x | y) for (x, a), (y, b) in itertools.combinations(first.items(), 2) if len(x & y) / len(x | y) > 0.8}
+    assert {r.id: r.rep for r in token_classes(df).collect()} == {i: first[x] for i, x in sets.items()}
     assert {(x.a, x.b): x.jaccard for x in jaccard_pairs(df, 0.8).collect()} == pytest.approx(want)
 
 

@@ -169,11 +169,11 @@ def drift_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.drift(table(spark, sf_dir, "embeddings"), ["label"], "vec_id").select("label", "points", F.round("drift", 5).alias("drift"))
 
 
-@query("""SELECT 'u' || user_id AS entity, event_type AS metric, ts AS at, value, 'claim' AS origin FROM events WHERE event_id < 500 UNION ALL SELECT 'o' || o_custkey, NULL, o_orderdate, NULL, 'event' FROM orders WHERE o_orderkey < 500""")
+@query("""SELECT 'u' || user_id AS entity, event_type AS metric, ts AS at, value, 'claim' AS origin FROM events UNION ALL SELECT 'o' || o_custkey, NULL, o_orderdate, NULL, 'event' FROM orders""")
 def trajectory_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims and events as one series."""
-    c = table(spark, sf_dir, "events").where("event_id < 500").select(F.concat(F.lit("u"), "user_id").alias("entity"), F.col("event_type").alias("metric"), F.col("ts").alias("at"), "value")
-    return L.trajectory(c, table(spark, sf_dir, "orders").where("o_orderkey < 500").select(F.concat(F.lit("o"), "o_custkey").alias("entity"), F.col("o_orderdate").alias("at")))
+    c = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("entity"), F.col("event_type").alias("metric"), F.col("ts").alias("at"), "value")
+    return L.trajectory(c, table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_custkey").alias("entity"), F.col("o_orderdate").alias("at")))
 
 
 @query("""WITH t AS (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1), m AS (SELECT conv_id, role AS entity, max(turn) AS last, count(*) AS n, max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS u FROM conversations GROUP BY 1, 2)

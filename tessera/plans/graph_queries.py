@@ -10,7 +10,7 @@ from tessera.plans.registry import query, table
 
 EDGES_SQL = "WITH e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, CASE WHEN l_linenumber = 7 THEN 'mention' ELSE 'supplies' END AS type FROM lineitem)"
 TREE_SQL = """e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier
-UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_linenumber = 1)"""
+UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem)"""
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         n.select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"))
         .unionAll(s.select(F.concat(F.lit("n"), "s_nationkey"), F.concat(F.lit("s"), "s_suppkey")))
-        .unionAll(li.where("l_linenumber = 1").select(F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey")).distinct())
+        .unionAll(li.select(F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey")).distinct())
     )
 
 
@@ -112,13 +112,14 @@ def dangling_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.dangling(p.select("target"), p.where("p_size < 2").select(F.col("target").alias("title")))
 
 
-@query(EDGES_SQL + """, h AS (SELECT 1 AS query_id, 's' || s_suppkey AS id FROM supplier WHERE s_suppkey <= 50 UNION ALL SELECT 1, 'p' || p_partkey FROM part WHERE p_partkey <= 100)
+@query(EDGES_SQL + """, h AS (SELECT * FROM (SELECT 1 AS query_id, 's' || s_suppkey AS id FROM supplier ORDER BY s_acctbal DESC, id LIMIT 50) UNION ALL SELECT * FROM (SELECT 1, 'p' || p_partkey AS id FROM part ORDER BY p_retailprice DESC, id LIMIT 100))
 SELECT 1 AS query_id, dst AS id, count(DISTINCT src) AS n FROM e WHERE src IN (SELECT id FROM h) AND dst IN (SELECT id FROM h) GROUP BY dst HAVING count(DISTINCT src) >= 2""")
 def hit_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits that several other hits link to."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey <= 50").select(F.lit(1).alias("query_id"), F.concat(F.lit("s"), "s_suppkey").alias("id"))
-    p = table(spark, sf_dir, "part").where("p_partkey <= 100").select(F.lit(1), F.concat(F.lit("p"), "p_partkey"))
-    return G.adjacency(s.unionAll(p), edges(spark, sf_dir), 2)
+    """Top hits that several other top hits link to."""
+    s = table(spark, sf_dir, "supplier").select(F.lit(1).alias("query_id"), F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_acctbal").alias("score"))
+    p = table(spark, sf_dir, "part").select(F.lit(1).alias("query_id"), F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_retailprice").alias("score"))
+    best = lambda df, k: df.orderBy(F.desc("score"), "id").limit(k)
+    return G.adjacency(best(s, 50).unionAll(best(p, 100)), edges(spark, sf_dir), 2)
 
 
 CALLS = [("d1", "a", "b"), ("d1", "b", "c"), ("d1", "c", "a"), ("d2", "c", "d"), ("d2", "d", "e"), ("d2", "x", "a")]

@@ -39,7 +39,7 @@ def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VECTOR_SQL = """
-WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id < 3),
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], qv) AS score FROM embeddings, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
 """
@@ -47,7 +47,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 
 def vector_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    queries = v.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    queries = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return S.vector_arm(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), queries, k)
 
 
@@ -59,7 +59,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(VECTOR_SQL + """, label_arm AS (
     SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY e.vec_id) AS rank
-    FROM embeddings e JOIN (SELECT vec_id, label FROM embeddings WHERE vec_id < 3) q USING (label)),
+    FROM embeddings e JOIN (SELECT vec_id, label FROM embeddings WHERE vec_id % 20 = 0) q USING (label)),
 arms AS (SELECT query_id, id, rank, 1.1 AS w FROM r WHERE rank <= 20 UNION ALL SELECT query_id, id, rank, 1.0 FROM label_arm WHERE rank <= 20),
 f AS (SELECT query_id, id, sum(1 / (60 / w + rank)) AS score, count(*) AS n_arms FROM arms GROUP BY 1, 2)
 SELECT query_id, id, round(score, 8) AS score, n_arms FROM f""")
@@ -67,7 +67,7 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reciprocal rank fusion of a vector arm and a label arm with intent weights."""
     v = table(spark, sf_dir, "embeddings")
     arm = vector_hits(spark, sf_dir, 20).select("query_id", "id", "rank", F.lit(R.INTENT_WEIGHTS["topic"][0]).alias("weight"))
-    own = v.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), "label")
+    own = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
     label = v.select(F.col("vec_id").alias("id"), "label").join(own, "label").withColumn("score", F.lit(1.0))
     arms = arm.unionByName(S.top_k(label, 20).select("query_id", "id", "rank", F.lit(1.0).alias("weight")))
     return S.fuse(arms).select("query_id", "id", F.round("score", 8).alias("score"), "n_arms")
@@ -228,40 +228,38 @@ def query_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("query", R.query_intent(F.col("query")).alias("intent"), R.concept_shaped(F.col("query")).alias("concept_shaped"))
 
 
-@query("""WITH d0 AS (SELECT doc_id, list_sort(list_distinct(string_split(lower(text), ' '))) AS w FROM documents WHERE n_chars < 400), d AS (SELECT min(doc_id) AS doc_id, w FROM d0 GROUP BY w),
-b AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS s FROM d a JOIN d b ON a.doc_id < b.doc_id)
-SELECT a, b, round(i / (s - i), 6) AS jaccard FROM b WHERE i / (s - i) > 0.85""")
+@query()
 def neardup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token-set near duplicates among short documents, between classes of equal sets, by prefix filtering on rare tokens."""
+    """Token-set near duplicates of documents, between classes of equal sets, by prefix filtering on rare tokens."""
     from tessera.operators.dedup import jaccard_pairs
 
-    d = table(spark, sf_dir, "documents").where("n_chars < 400").select(F.col("doc_id").alias("id"), F.array_distinct(F.split(F.lower("text"), " ")).alias("tokens"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(F.split(F.lower("text"), " ")).alias("tokens"))
     return jaccard_pairs(d, 0.85).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query("""WITH e AS (SELECT vec_id % 7 AS doc, vec_id, embedding::DOUBLE[] AS v FROM embeddings), g AS (SELECT label, embedding::DOUBLE[] AS c FROM embeddings WHERE vec_id < 5)
+@query("""WITH e AS (SELECT vec_id % 7 AS doc, vec_id, embedding::DOUBLE[] AS v FROM embeddings), g AS (SELECT label, embedding::DOUBLE[] AS c FROM embeddings WHERE vec_id % 20 = 0)
 SELECT vec_id, label, round(1 - list_cosine_similarity(v, c), 5) AS distance FROM e, g WHERE list_cosine_similarity(v, c) >= 0.2""")
 def semantic_cache_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine distance of vectors to a stated block of cached queries."""
     v = table(spark, sf_dir, "embeddings")
-    cached = v.where("vec_id < 5").select("label", F.col("embedding").alias("c"))
+    cached = v.where("vec_id % 20 = 0").select("label", F.col("embedding").alias("c"))
     d = v.select("vec_id", "embedding").crossJoin(cached).withColumn("s", cosine(F.col("embedding"), F.col("c")))
     return d.where("s >= 0.2").select("vec_id", "label", F.round(1 - F.col("s"), 5).alias("distance"))
 
 
 @query(r"""SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS claim_key,
-len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS n_words, substr(sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))), 1, 16) AS value_hash FROM documents WHERE lang = 'en'""")
+len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS n_words, substr(sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))), 1, 16) AS value_hash FROM documents""")
 def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token estimate, claim key, word count and value hash."""
-    d, t = table(spark, sf_dir, "documents").where("lang = 'en'"), F.col("text")
+    d, t = table(spark, sf_dir, "documents"), F.col("text")
     return d.select("doc_id", X.estimated_tokens(t).alias("tokens"), X.claim_key(t).alias("claim_key"), F.size(X.tokens(t)).alias("n_words"), X.value_hash(t).alias("value_hash"))
 
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '(?i)\b[\w.%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b')) AS n_emails,
-CAST((length(text) - length(replace(text, chr(10), ''))) AS INTEGER) AS n_breaks FROM documents WHERE contains(text, '@')""")
+CAST((length(text) - length(replace(text, chr(10), ''))) AS INTEGER) AS n_breaks FROM documents""")
 def email_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-mail addresses of documents, counted by regular expression."""
-    d = table(spark, sf_dir, "documents").where(F.col("text").contains("@"))
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"(?i)\b[\w.%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b"), 0)).alias("n_emails"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("n_breaks"))
 
 

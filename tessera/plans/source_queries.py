@@ -124,7 +124,7 @@ def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order rankings judged against urgent orders, compared with a ranking by date, with bootstrap intervals."""
     from pyspark.sql import Window
 
-    o = table(spark, sf_dir, "orders").where("o_custkey < 200").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), "o_totalprice", "o_orderdate", "o_orderpriority")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), "o_totalprice", "o_orderdate", "o_orderpriority")
     ranked = lambda c: o.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), "id"))).select("query_id", "id", "rank")
     judged = o.where("o_orderpriority = '1-URGENT'").groupBy("query_id").agg(F.collect_set("id").alias("relevant"))
     now, before = E.run(ranked("o_totalprice"), judged, 5), E.run(ranked("o_orderdate"), judged, 5)

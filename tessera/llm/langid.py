@@ -192,7 +192,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return found.select("doc_id", (crc_mod("doc_id") == 0).alias("held_out"), "lang_pred", "score")
 
 
-def in_known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.5) -> DataFrame:
+def in_known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.3) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text is predicted with at least ``min_score``. Learns as ``identify``
     does; with nothing labelled, rows whose text has a letter stay."""
     labelled = docs.where(crc_mod(id_col) != 0).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))

@@ -22,12 +22,12 @@ def chunk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.chunk_filters(o, languages=["F", "O"], since=since, until=until).select("o_orderkey", "o_orderpriority")
 
 
-@query("SELECT p_partkey AS id FROM part WHERE p_brand LIKE '%1%' AND contains(lower(p_type), 'steel') AND p_retailprice >= 950")
+@query("SELECT p_partkey AS id FROM part WHERE p_brand LIKE '%1%' AND contains(lower(p_type), 'small') AND p_retailprice >= 950")
 def fact_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts by optional conditions."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("kind"), F.col("p_type").alias("fact"), F.col("p_retailprice").alias("confidence"), F.lit(None).cast("date").alias("written_at"))
     kinds = [r[0] for r in p.select("kind").distinct().collect() if "1" in r[0]]
-    return U.list_facts(p, kinds=kinds, text="STEEL", least_confidence=950).select("id")
+    return U.list_facts(p, kinds=kinds, text="sMall", least_confidence=950).select("id")
 
 
 @query("SELECT * FROM (VALUES ('k1',1.0::DOUBLE,0), ('k2',0.5,1), ('k3',0.5,1), ('k4',0.333333,2)) t(id, score, hop)")

@@ -140,3 +140,18 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
         d2 = stage(spark, d, str(tmp_path))
         assert d2.collect() == [], name
         d = d2 if name != "packing" else d
+
+
+def test_lm_with_nothing_to_learn_from(spark):
+    import zlib
+
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1]
+    got = lm.score_documents(spark.createDataFrame([(i, "some text") for i in ids[:3]] + [(None, "more")], "doc_id long, text string")).collect()
+    assert len(got) == 4 and all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 and r.score < 0 for r in got)
+
+
+def test_pii_and_quality_of_one_hot_text(spark):
+    docs = spark.createDataFrame([(i, "mail a@b.co now please it is late", "en") for i in range(300)], "doc_id long, text string, lang string")
+    assert {(r.n_email, r.spans) for r in pii.digest(pii.find_spans(docs)).collect()} == {(1, "email:5:11")}
+    assert {(r.n_words, r.base_failed) for r in quality.judge(docs).collect()} == {(7, True)}
+    assert {r.component_id for r in simhash.near_duplicates(docs).collect()} == {0} and simhash.representatives(docs).count() == 1

@@ -77,14 +77,15 @@ def source_boost(kind: Column) -> Column:
 
 
 def curation(path: Column) -> Column:
-    return by_prefix(normalized_path(path), CURATION, F.lit(1.0))
+    """Weight of a normalised path."""
+    return by_prefix(path, CURATION, F.lit(1.0))
 
 
 def excluded(path: Column) -> Column:
-    clean = normalized_path(path)
+    """Whether a normalised path is never shown."""
     out = F.lit(False)
     for p in EXCLUDED:
-        out = out | clean.startswith(p)
+        out = out | path.startswith(p)
     return out
 
 

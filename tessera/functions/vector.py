@@ -19,10 +19,3 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 where either vector is zero."""
     lengths = norm(a) * norm(b)
     return F.when(lengths == 0, 0.0).otherwise(dot(a, b) / lengths)
-
-
-def hashed_bag_of_words(words: Column, dim: int) -> Column:
-    """Term counts hashed into ``dim`` places: a deterministic stand-in for a text embedder."""
-    place = lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(dim)).cast("int")
-    places = F.transform(words, place)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("float"))

@@ -38,7 +38,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
         raise ValueError("max_depth is 1 to 10")
     visited = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth"))
     frontier = visited
-    steps = edges.select("src", "dst").distinct()
+    steps = reliable_checkpoint(edges.select("src", "dst").distinct())  # read by each step
     for depth in range(1, max_depth + 1):
         met = frontier.join(steps, frontier.node == steps.src).select("seed", F.col("dst").alias("node")).distinct()
         frontier = reliable_checkpoint(met.join(visited, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))

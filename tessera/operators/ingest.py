@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.functions.text import sanity_flags, tokens
-from tessera.functions.vector import hashed_bag_of_words
+from tessera.functions.text import sanity_flags
 from tessera.operators.chunking import chunked
 
 BLOCKING = ("too_large", "cloudflare_challenge", "access_denied", "captcha_required", "error_page_title")
@@ -16,8 +20,15 @@ DIM = 64
 EMBEDDER = "hashed-words"
 
 
-def hashed_embedding(text: Column) -> Column:
-    return hashed_bag_of_words(tokens(text), DIM)
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def hashed_embedding(text: pd.Series) -> pd.Series:
+    """Word counts hashed into DIM places: a deterministic stand-in for a model."""
+
+    def one(t: str | None) -> np.ndarray:
+        places = [zlib.crc32(w.encode()) % DIM for w in re.findall(r"[^\W_]+", (t or "").lower())]
+        return np.bincount(np.array(places, dtype=np.int64), minlength=DIM).astype(np.float32)
+
+    return text.map(one)
 
 
 def gated(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:

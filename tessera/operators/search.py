@@ -20,10 +20,21 @@ def top_k(hits: DataFrame, k: int, score: str = "score", by: str = "query_id", t
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def term_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, id, tf, n_terms): an inverted index; write it bucketed by term to search it repeatedly without a shuffle."""
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term): the distinct terms of queries (query_id, query)."""
+    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+
+
+def term_index(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame | None = None) -> DataFrame:
+    """(term, id, tf, n_terms): an inverted index; write it bucketed by term to search it repeatedly without a shuffle.
+
+    For a search without a stored index pass its ``terms``: other terms are then dropped before anything is grouped.
+    """
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
-    return words.select("id", F.size("words").alias("n_terms"), F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("n_terms").alias("n_terms"))
+    rows = words.select("id", F.size("words").alias("n_terms"), F.explode("words").alias("term"))
+    if terms is not None:
+        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("n_terms").alias("n_terms"))
 
 
 def keyword_arm(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -31,7 +42,7 @@ def keyword_arm(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     The query terms filter the index in a join before anything is grouped.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    terms = query_terms(queries)
     wanted = terms.groupBy("query_id").agg(F.count("*").alias("n_query_terms"))
     found = index.join(terms, "term").groupBy("query_id", "id").agg(F.count("*").alias("matched"), F.sum("tf").alias("tf"), F.max("n_terms").alias("n_terms"))
     whole = found.join(wanted, "query_id").where("matched = n_query_terms")
@@ -85,21 +96,22 @@ def floor_gate(hits: DataFrame, ratio: float) -> DataFrame:
 
 def boosted(hits: DataFrame, now: Column) -> DataFrame:
     """Hits (path, updated_at, kind, weight, pinned, salience, backlinks) with one column for each factor and their product."""
-    path = R.normalized_path(F.col("path"))
-    age = R.age_days(F.col("updated_at"), now)
+    # computed once, before the CASE chains that look at them many times
+    hits = hits.withColumns({"_path": R.normalized_path(F.col("path")), "_age": R.age_days(F.col("updated_at"), now)})
+    path, age = F.col("_path"), F.col("_age")
     factors = {
-        "f_curation": R.curation(F.col("path")),
+        "f_curation": R.curation(path),
         "f_source": R.source_boost(F.col("kind")),
         "f_recency": R.recency_decay(path, age),
         "f_salience": R.frontmatter_salience(F.col("weight"), F.col("pinned")),
         "f_mattering": R.mattering(F.coalesce("salience", F.lit(0.0))),
         "f_backlinks": R.backlink_boost(F.coalesce("backlinks", F.lit(0))),
     }
-    out = hits.where(~R.excluded(F.col("path"))).withColumns(factors)
+    out = hits.where(~R.excluded(path)).withColumns(factors)
     product = F.col("score")
     for f in factors:
         product = product * F.col(f)
-    return out.withColumn("score", product)
+    return out.withColumn("score", product).drop("_path", "_age")
 
 
 def best_per_document(hits: DataFrame) -> DataFrame:

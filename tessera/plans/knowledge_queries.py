@@ -12,7 +12,7 @@ from tessera.operators import fences as N
 from tessera.operators import ingest as I
 from tessera.operators import links as L
 from tessera.operators import search as S
-from tessera.plans.registry import query, table
+from tessera.plans.registry import query, table, texts
 
 NOTES = [
     ("people/ada", "person", "Ada", "Ada founded [[Acme]] with [[Bob]]. Later Ada advised [[Initech|them]] `[[code]]`."),
@@ -164,7 +164,7 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents gated, chunked and embedded."""
-    return I.ingested(table(spark, sf_dir, "documents")).select("doc_id", "chunk_index", "content_hash", "embedding")
+    return I.ingested(texts(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "chunk_index", "content_hash", "embedding")
 
 
 @query("SELECT doc_id, md5(text) AS content_hash FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 3 = 0 AND md5(e.text) = md5(d.text))")
@@ -177,11 +177,11 @@ def embedding_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole retrieval chain for several queries: arms, fusion, boosts, cap, diversity, near duplicates, budget, evidence."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text", "source")
     queries = spark.createDataFrame([("q1", "the that with"), ("q2", "les dans pour"), ("q3", "und nicht")], "query_id string, query string")
     k = 10
     fanout = max(20, 3 * k)
-    keyword = S.keyword_arm(S.term_index(docs, "doc_id", "text"), queries, fanout)
+    keyword = S.keyword_arm(S.term_index(docs, "doc_id", "text", S.query_terms(queries)), queries, fanout)
     titled = docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("title"))
     title = S.title_arm(titled, queries, fanout)
     weight = R.intent_weight(F.col("intent"), "keyword")

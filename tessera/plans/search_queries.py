@@ -9,7 +9,7 @@ from tessera.functions import rank as R
 from tessera.functions import text as X
 from tessera.functions.vector import cosine
 from tessera.operators import search as S
-from tessera.plans.registry import query, table
+from tessera.plans.registry import query, table, texts
 
 NOW = "2024-02-01 00:00:00"
 
@@ -33,8 +33,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 @query(KEYWORD_SQL + "SELECT query_id, r.id, round(score, 6) AS score, rank, length(text) AS n_chars FROM r JOIN documents d ON d.doc_id = r.id WHERE rank <= 10")
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-terms lexical search for several queries; texts are joined after the cut."""
-    docs = table(spark, sf_dir, "documents")
-    hits = S.keyword_arm(S.term_index(docs, "doc_id", "text"), keyword_queries(spark), 10)
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
+    hits = S.keyword_arm(S.term_index(docs, "doc_id", "text", S.query_terms(keyword_queries(spark))), keyword_queries(spark), 10)
     return hits.join(docs.select(F.col("doc_id").alias("id"), F.length("text").alias("n_chars")), "id").select("query_id", "id", F.round("score", 6).alias("score"), "rank", "n_chars")
 
 
@@ -111,7 +111,8 @@ p AS (SELECT *, regexp_replace(path, '^page(-truth)?://', '') AS np,
  starts_with(np,'test/') AS excluded FROM p""")
 def curation_and_source_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path-prefix curation, source-kind boost and hard exclusion as CASE expressions."""
-    return order_hits(spark, sf_dir).select("id", R.curation(F.col("path")).alias("curation"), R.source_boost(F.col("kind")).alias("source_boost"), R.excluded(F.col("path")).alias("excluded"))
+    h = order_hits(spark, sf_dir).withColumn("path", R.normalized_path(F.col("path")))
+    return h.select("id", R.curation(F.col("path")).alias("curation"), R.source_boost(F.col("kind")).alias("source_boost"), R.excluded(F.col("path")).alias("excluded"))
 
 
 HALF = "CASE WHEN starts_with(np,'originals/') THEN 180 WHEN starts_with(np,'writing/') THEN 365 WHEN starts_with(np,'people/') THEN 365 WHEN starts_with(np,'daily/') THEN 14 WHEN starts_with(np,'chat/') THEN 7 WHEN starts_with(np,'media/x/') THEN 7 WHEN starts_with(np,'meetings/') THEN 60 ELSE 120 END"
@@ -120,14 +121,14 @@ BHALF = "CASE WHEN starts_with(np,'originals/') THEN 180 WHEN starts_with(np,'wr
 COEF = "CASE WHEN starts_with(np,'originals/') THEN 0.5 WHEN starts_with(np,'writing/') THEN 0.4 WHEN starts_with(np,'people/') THEN 0.3 WHEN starts_with(np,'daily/') THEN 1.5 WHEN starts_with(np,'chat/') THEN 1.0 WHEN starts_with(np,'media/x/') THEN 1.5 WHEN starts_with(np,'meetings/') THEN 1.0 ELSE 0.5 END"
 
 
-@query(ORDERS_SQL + f"""SELECT id, round(CASE WHEN starts_with(np,'concepts/') THEN 1.0 ELSE {FLOOR} + (1 - {FLOOR}) * pow(0.5, age / {HALF}) END, 6) AS decay,
- round(CASE WHEN starts_with(np,'concepts/') THEN 1.0 ELSE 1 + {COEF} * {BHALF} / ({BHALF} + age) END, 6) AS boost,
- round(CASE WHEN starts_with(np,'concepts/') THEN 1.0 ELSE 1 + 1.5 * {COEF} * {BHALF} / ({BHALF} + age) END, 6) AS strong_boost FROM p""")
+@query(ORDERS_SQL + f"""SELECT id, round(CASE WHEN starts_with(np,'concepts/') THEN 1.0 ELSE {FLOOR} + (1 - {FLOOR}) * pow(0.5, age / {HALF}) END, 8) AS decay,
+ round(CASE WHEN starts_with(np,'concepts/') THEN 1.0 ELSE 1 + {COEF} * {BHALF} / ({BHALF} + age) END, 8) AS boost,
+ round(CASE WHEN starts_with(np,'concepts/') THEN 1.0 ELSE 1 + 1.5 * {COEF} * {BHALF} / ({BHALF} + age) END, 8) AS strong_boost FROM p""")
 def recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recency decay and boosts by path prefix at a fixed now."""
-    h = order_hits(spark, sf_dir)
-    path, age = R.normalized_path(F.col("path")), R.age_days(F.col("updated_at"), F.lit(NOW).cast("timestamp"))
-    return h.select("id", F.round(R.recency_decay(path, age), 6).alias("decay"), F.round(R.recency_boost(path, age), 6).alias("boost"), F.round(R.recency_boost(path, age, True), 6).alias("strong_boost"))
+    h = order_hits(spark, sf_dir).select("id", R.normalized_path(F.col("path")).alias("path"), R.age_days(F.col("updated_at"), F.lit(NOW).cast("timestamp")).alias("age"))
+    path, age = F.col("path"), F.col("age")
+    return h.select("id", F.round(R.recency_decay(path, age), 8).alias("decay"), F.round(R.recency_boost(path, age), 8).alias("boost"), F.round(R.recency_boost(path, age, True), 8).alias("strong_boost"))
 
 
 @query(ORDERS_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, id) AS n FROM p)
@@ -158,10 +159,10 @@ def type_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM r JOIN documents d ON d.doc_id = r.id WHERE rank <= 50) SELECT query_id, id, rank, spent FROM c WHERE spent <= 12000""")
 def token_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix of a ranking whose texts fit a token budget."""
-    docs = table(spark, sf_dir, "documents")
-    hits = S.keyword_arm(S.term_index(docs, "doc_id", "text"), keyword_queries(spark), 50)
-    texts = hits.join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
-    return S.within_token_budget(texts, 12000).select("query_id", "id", "rank", F.col("spent").cast("long").alias("spent"))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
+    hits = S.keyword_arm(S.term_index(docs, "doc_id", "text", S.query_terms(keyword_queries(spark))), keyword_queries(spark), 50)
+    found = hits.join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    return S.within_token_budget(found, 12000).select("query_id", "id", "rank", F.col("spent").cast("long").alias("spent"))
 
 
 @query(RANKED_SQL + ", m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM t) SELECT query_id, id FROM m WHERE score >= best * 0.95")
@@ -233,7 +234,7 @@ def neardup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-set near duplicates of documents, between classes of equal sets, by prefix filtering on rare tokens."""
     from tessera.operators.dedup import jaccard_pairs
 
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(F.split(F.lower("text"), " ")).alias("tokens"))
+    d = texts(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), F.array_distinct(F.split(F.lower("text"), " ")).alias("tokens"))
     return jaccard_pairs(d, 0.85).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -266,7 +267,7 @@ def email_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pii_scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with personal data masked, where that changes them (word boundaries differ between engines)."""
-    d = table(spark, sf_dir, "documents").withColumn("scrubbed", X.scrub_pii(F.col("text")))
+    d = texts(spark, sf_dir, "documents", "doc_id", "text").withColumn("scrubbed", X.scrub_pii(F.col("text")))
     return d.where("scrubbed <> text").select("doc_id", "scrubbed")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import chunking as C
 from tessera.operators import evaluation as E
-from tessera.plans.registry import query, table
+from tessera.plans.registry import query, table, texts
 from tessera.sources import files as S
 from tessera.sources import transcripts as H
 from tessera.streaming import streams as W
@@ -28,7 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
 @query()
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown chunks of all documents."""
-    return C.chunked(table(spark, sf_dir, "documents")).select("doc_id", "chunk_index", F.length("content").alias("n_chars"), F.md5("content").alias("hash"))
+    return C.chunked(texts(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "chunk_index", F.length("content").alias("n_chars"), F.md5("content").alias("hash"))
 
 
 @query("""WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)

@@ -30,7 +30,7 @@ def test_rrf_uses_the_default_for_weights_of_zero(spark):
 
 def test_longest_prefix_wins(spark):
     paths = [("media/x/1", 0.7), ("media/articles/1", 1.1), ("page://originals/a", 1.5), ("page-truth://chat/a", 0.5), ("mediax", 1.0)]
-    got = spark.createDataFrame(paths, "path string, want double").select(R.curation(F.col("path")), "want").collect()
+    got = spark.createDataFrame(paths, "path string, want double").select(R.curation(R.normalized_path(F.col("path"))), "want").collect()
     assert all(a == b for a, b in got)
 
 

@@ -18,6 +18,7 @@ equal texts share a fingerprint; a null id keeps its row with the smallest non-n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpointed, row_slices
+from tessera.llm.near_copies import KEYS, SKETCH, near_links, sketches
 
 #: The choices of two of the four aligned byte pairs.
 BYTE_PAIRS = tuple(combinations(range(4), 2))
@@ -151,13 +153,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(grouped(marked, long_posting), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, long_posting: int = 64) -> DataFrame:
-    """One row of ``docs`` for each component, with all its columns: the least id (null last), then the least hash of the text."""
-    marked = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    rows = marked.groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("n"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "n")).alias("r")
-    chosen = rows.join(grouped(marked, long_posting), "fp").groupBy("root").agg(first)
-    kept = chosen.select(F.col("r.doc_id").alias("_kept_id"), F.col("r.text_hash").alias("_kept_hash"), F.col("r.n").alias("_kept_n"))
+def representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, near_shingle: int = 5, similarity: float = 0.8, long_posting: int = 64
+) -> DataFrame:
+    """One row of ``docs`` for each group, with all its columns: the least id (null last), then the least hash of the text.
+    Groups are the components of links between fingerprints and of those between near copies, which ``near_copies`` finds."""
+    rows = checkpointed(sketches(docs, partial(text_fingerprint, shingle=shingle), id_col, text_col, near_shingle))
+    named = rows.groupBy("doc_id", "text_hash", "set_key").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "n")).alias("r")
+    sketched = rows.groupBy("set_key").agg(*[F.min(c).alias(c) for c in (*SKETCH, *KEYS)])
+    classes = checkpointed(named.groupBy("set_key").agg(least).select("*", "r.doc_id", "r.text_hash").join(sketched, "set_key"))
+
+    leads = rows.groupBy("fp").agg(F.min("set_key").alias("lead"))
+    alike = rows.select("fp", "set_key").distinct().join(leads, "fp").where("set_key <> lead").select(F.col("lead").alias("a"), F.col("set_key").alias("b"))
+    near = links(leads.select("fp"), long_posting)
+    first, second = leads.select(F.col("fp").alias("a"), F.col("lead").alias("p")), leads.select(F.col("fp").alias("b"), F.col("lead").alias("q"))
+    apart = near.join(first, "a").join(second, "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
+    copies = near_links(classes, docs, id_col, text_col, near_shingle, similarity, long_posting)
+    members = components(alike.unionByName(apart).unionByName(copies))
+
+    rooted = classes.select("set_key", "r").join(members, classes.set_key == members.node, "left").withColumn("root", F.coalesce("root", "set_key"))
+    kept = rooted.groupBy("root").agg(F.min("r").alias("r")).select(F.col("r.doc_id").alias("_kept_id"), F.col("r.text_hash").alias("_kept_hash"), F.col("r.n").alias("_kept_n"))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64(F.col(text_col)) == F.col("_kept_hash"))
     found = docs.join(kept, same)
     once = found.where("_kept_n = 1").select(*docs.columns)

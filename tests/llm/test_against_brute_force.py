@@ -46,7 +46,13 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def plain_components(ids_fps):
+def plain_shingles(text, k=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+
+def plain_components(ids_fps, sets=None):
+    """Smallest ids of components: fingerprints within two bits, or (given shingle sets) a Jaccard similarity of 0.8."""
     root = {i: i for i, _ in ids_fps}
 
     def find(i):
@@ -55,7 +61,10 @@ def plain_components(ids_fps):
         return i
 
     for (i, a), (j, b) in itertools.combinations(ids_fps, 2):
-        if (a ^ b).bit_count() <= 2:
+        near = (a ^ b).bit_count() <= 2
+        if not near and sets and sets[i] and sets[j]:
+            near = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+        if near:
             x, y = find(i), find(j)
             root[max(x, y)] = min(x, y)
     return {i: find(i) for i in root}
@@ -70,6 +79,20 @@ def test_simhash_components(spark, long_posting):
     assert {r.doc_id: r.component_id for r in got} == plain_components(list(want.items()))
 
 
+@pytest.mark.parametrize("long_posting", [64, 4, 1])
+def test_representatives_of_near_copies(spark, long_posting):
+    """Copies with changed words, texts that share half their words without being copies, and short texts."""
+    r = random.Random(11)
+    texts = near_texts(200, seed=9)
+    passage = r.choices(["alpha", "beta", "gamma", "delta", "epsilon", "zeta"], k=60)
+    texts += [(500 + i, " ".join(passage + [f"own{i}w{j}" for j in range(60)])) for i in range(60)]
+    texts += [(1000, "one"), (1001, "ONE"), (1002, "two words"), (1003, None), (1004, " ")]
+    kept = simhash.representatives(spark.createDataFrame(texts, "doc_id long, text string"), long_posting=long_posting).collect()
+    want = plain_components([(i, plain_fingerprint(t)) for i, t in texts], {i: plain_shingles(t) for i, t in texts})
+    assert len(set(want.values())) > 60
+    assert sorted(k.doc_id for k in kept) == sorted(set(want.values()))
+
+
 def test_simhash_links_of_random_and_chained_fingerprints(spark):
     r = random.Random(5)
     fps = {r.getrandbits(64) - (1 << 63) for _ in range(200)}
@@ -335,7 +358,7 @@ def test_pipeline_against_brute_force(spark):
         assert d.columns == docs.columns
         kept[name] = {r.doc_id: r.text for r in d.collect()}
     first = kept["language_id"]
-    groups = plain_components([(i, plain_fingerprint(t)) for i, t in first.items()])
+    groups = plain_components([(i, plain_fingerprint(t)) for i, t in first.items()], {i: plain_shingles(t) for i, t in first.items()})
     assert set(kept["near_dedup"]) == set(groups.values())
     benchmark = [[decontam.shingles(p) for p in decontam.question_and_answer(r.text)] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     grams = {i: decontam.shingles(decontam.words_of(t)) for i, t in kept["near_dedup"].items()}

@@ -8,10 +8,10 @@ under 16 choices of four positions; a pair met in one is tallied over all 64 pos
 if the tally reaches ``LEAST_TALLY``, and verified by the exact Jaccard similarity of its whole shingle sets.
 
 At similarity 0.8 a pair shares a posting with probability 0.9998 and reaches the tally with 0.99998.
-Postings longer than ``long_posting`` (texts that share much boilerplate, large groups of copies) are split by every pair of
-their members' long postings (0.997 at 0.8). One still long is a group around one text: each of its members is verified
-against its least member alone. As a text is in up to 120 such postings with various least members, groups stay connected,
-but a link between two texts that are both too far from all those least members is not looked for: there the search is not exact.
+Postings longer than ``long_posting`` (texts that share much boilerplate, large groups of copies) first link their members
+to one head each, then to the member with most links so far. What is left apart, members outside a posting's largest
+component, is met with all members of other components: each with its likeliest partner first, then every pair whose ends
+are still in different components. So each pair that shares a posting and reaches the tally is verified or already connected.
 
 Texts of equal shingle sets are one class (``set_key``). A null text or one without a word is the class of the empty
 set, which is near to nothing else.
@@ -20,7 +20,6 @@ set, which is near to nothing else.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +35,8 @@ POSITIONS = 64
 CHOSEN = 4
 #: Agreeing bytes of a verified pair; 0.8 gives 51 with a standard deviation of 3.2.
 LEAST_TALLY = 38
+#: Shingle sets of each side of a tile that one task verifies at a time.
+TILE_SETS = 256
 SKETCH = [f"s{i}" for i in range(POSITIONS // 8)]
 KEYS = [f"k{i}" for i in range(POSITIONS // CHOSEN)]
 
@@ -107,9 +108,8 @@ def _shared(index: DataFrame, classes: DataFrame) -> DataFrame:
     return checkpointed(index.join(sizes, "key").join(classes.select("set_key", *SKETCH), "set_key"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs of classes whose whole shingle sets have at least the Jaccard similarity."""
-    pairs = checkpointed(pairs)
+def _sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(set_key, members): the shingle sets of the classes that the pairs name."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
     wanted = named.join(classes, "set_key").select("set_key", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
@@ -120,7 +120,13 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
             sets = [shingle_set(t, shingle).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["set_key", "members"])
 
-    sets = checkpointed(texts.mapInArrow(run, "set_key long, members array<long>").dropDuplicates(["set_key"]))
+    return checkpointed(texts.mapInArrow(run, "set_key long, members array<long>").dropDuplicates(["set_key"]))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs of classes whose whole shingle sets have at least the Jaccard similarity."""
+    pairs = checkpointed(pairs)
+    sets = _sets(pairs, classes, docs, id_col, text_col, shingle)
     left = sets.select(F.col("set_key").alias("a"), F.col("members").alias("p"))
     right = sets.select(F.col("set_key").alias("b"), F.col("members").alias("q"))
     common = F.size(F.array_intersect("p", "q"))
@@ -128,22 +134,83 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
 
 
+def verified_in_tiles(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """As ``verified``, for many pairs among few classes: a set is moved once for each tile of classes, not for each pair."""
+    pairs = checkpointed(pairs)
+    sets = _sets(pairs, classes, docs, id_col, text_col, shingle)
+    sides = sets.count() // TILE_SETS + 1
+    tile = [F.pmod(F.xxhash64(c), F.lit(sides)).alias(t) for c, t in (("a", "i"), ("b", "j"))]
+    placed = pairs.select("a", "b", *tile)
+    needed = placed.select(F.col("i").alias("k"), F.col("j").alias("l"), F.explode(F.array("a", "b")).alias("set_key")).distinct().join(sets, "set_key")
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        # sets as views of one array: no copy of the members in Python
+        rows = sets.column("members").combine_chunks()
+        rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
+        flat, ends = rows.values.to_numpy(), rows.offsets.to_numpy()
+        members = {k: flat[ends[n] : ends[n + 1]] for n, k in enumerate(sets.column("set_key").to_pylist())}
+        near = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            p, q = members[a], members[b]
+            most = min(len(p), len(q))
+            common = len(np.intersect1d(p, q, assume_unique=True)) if most >= similarity * max(len(p), len(q)) else 0
+            near.append(common >= similarity * (len(p) + len(q) - common))
+        return pairs.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return placed.groupBy("i", "j").cogroup(needed.groupBy("k", "l")).applyInArrow(run, "a long, b long")
+
+
+def _rooted(rows: DataFrame, members: DataFrame, of: str, root: str) -> DataFrame:
+    """``rows`` with the component of the class in column ``of``, by ``members`` (node, root)."""
+    found = members.select(F.col("node").alias(of), F.col("root").alias(root))
+    return rows.join(found, of, "left").withColumn(root, F.coalesce(root, of))
+
+
+def _star(long: DataFrame, heads: DataFrame) -> DataFrame:
+    """(a, b) of each posting's head and its other members."""
+    member = long.join(heads, "key").where("set_key <> head").where(F.col("head").isNotNull())
+    return member.select(F.least("head", "set_key").alias("a"), F.greatest("head", "set_key").alias("b")).distinct()
+
+
+def _apart(long: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b, t): members outside the largest component of a crowded posting, each with every member of another
+    component there whose sketch reaches the tally t."""
+    from tessera.llm.simhash import components  # which imports this module
+
+    rooted = checkpointed(_rooted(long, components(edges), "set_key", "root"))
+    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
+    mixed = rooted.join(main, "key")
+    # a pair of members that are both outside is made once
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.set_key") < F.col("y.set_key"))
+    found = mixed.where("root <> main").alias("x").join(mixed.alias("y"), F.col("x.key") == F.col("y.key"))
+    near = found.where(F.col("x.root") != F.col("y.root")).where(once).where(tally("x", "y") >= LEAST_TALLY)
+    pair = near.select(F.col("x.set_key").alias("a"), F.col("y.set_key").alias("b"), tally("x", "y").alias("t"))
+    return checkpointed(pair.distinct())
+
+
 def near_links(
     classes: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, long_posting: int = 64
 ) -> DataFrame:
     """(a, b): links between classes that connect the near copies of ``docs``; ``classes`` has one row for each, with the columns of ``sketches``."""
-    check = lambda pairs: verified(pairs, classes, docs, id_col, text_col, shingle, similarity)
+    from tessera.llm.simhash import components  # which imports this module
+
+    where = (classes, docs, id_col, text_col, shingle, similarity)
     shared = _shared(classes.select("set_key", F.explode(F.array(*KEYS)).alias("key")), classes)
     pairs = _met(shared.where(F.col("n") <= long_posting))
-    crowded = shared.where(F.col("n") > long_posting).groupBy("set_key").agg(F.sort_array(F.collect_set("key")).alias("m"))
-    doubles = F.array(*[F.struct(F.get("m", F.lit(i)).alias("i"), F.get("m", F.lit(j)).alias("j")) for i, j in combinations(range(len(KEYS)), 2)])
-    split = crowded.select("set_key", F.explode(doubles).alias("d")).where("d.j is not null").select("set_key", F.xxhash64("d.i", "d.j").alias("key"))
-    again = _shared(split, classes)
-    pairs = pairs.unionByName(_met(again.where(F.col("n") <= long_posting))).distinct()
-    long = again.where(F.col("n") > long_posting)
+    long = shared.where(F.col("n") > long_posting)
     if long.isEmpty():
-        return check(pairs)
+        return verified(pairs, *where)
     heads = long.groupBy("key").agg(F.min("set_key").alias("head"))
-    member = long.join(heads, "key").where("set_key <> head")
-    star = member.select(F.col("head").alias("a"), F.col("set_key").alias("b")).distinct()
-    return check(pairs.unionByName(star).distinct())
+    edges = checkpointed(verified(pairs.unionByName(_star(long, heads)).distinct(), *where))
+    degrees = edges.select(F.explode(F.array("a", "b")).alias("set_key")).groupBy("set_key").agg(F.count("*").alias("degree"))
+    hubs = long.select("key", "set_key").join(degrees, "set_key").groupBy("key").agg(F.max_by("set_key", F.struct("degree", "set_key")).alias("head"))
+    edges = checkpointed(edges.unionByName(verified(_star(long, hubs).join(edges, ["a", "b"], "left_anti"), *where)))
+    apart = _apart(long, edges)
+    if apart.isEmpty():
+        return edges
+    likeliest = apart.groupBy("a").agg(F.max_by("b", F.struct("t", "b")).alias("b"))
+    edges = checkpointed(edges.unionByName(verified(likeliest, *where)))
+    members = components(edges)
+    rest = _rooted(_rooted(apart.select("a", "b"), members, "a", "ra"), members, "b", "rb").where("ra <> rb").select("a", "b")
+    return edges.unionByName(verified_in_tiles(rest.join(likeliest, ["a", "b"], "left_anti"), *where))

@@ -93,6 +93,29 @@ def test_representatives_of_near_copies(spark, long_posting):
     assert sorted(k.doc_id for k in kept) == sorted(set(want.values()))
 
 
+def test_representatives_in_a_crowd_of_edited_copies(spark):
+    """Variants of one text, most of them alike to it and few to each other, with chains that lead away from it."""
+    r = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(500)]
+    base = r.choices(vocabulary, k=200)
+    texts = []
+    for i in range(400):
+        text = list(base)
+        for _ in range(r.randint(1, 5)):
+            text[r.randrange(200)] = r.choice(vocabulary)
+        texts.append((i, " ".join(text)))
+    for i in range(0, 400, 10):  # two steps on from a variant
+        text = texts[i][1].split(" ")
+        for k in (1, 2):
+            for _ in range(3):
+                text[r.randrange(200)] = r.choice(vocabulary)
+            texts.append((1000 * k + i, " ".join(text)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = plain_components([(i, plain_fingerprint(t)) for i, t in texts], {i: plain_shingles(t) for i, t in texts})
+    kept = simhash.representatives(df, long_posting=8).collect()
+    assert sorted(k.doc_id for k in kept) == sorted(set(want.values()))
+
+
 def test_simhash_links_of_random_and_chained_fingerprints(spark):
     r = random.Random(5)
     fps = {r.getrandbits(64) - (1 << 63) for _ in range(200)}

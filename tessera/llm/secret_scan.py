@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import row_slices
 
-MIN_LENGTH, MAX_LENGTH = 16, 512
+MIN_LENGTH = 16
 CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{{{MIN_LENGTH},}}")
 MASK = "<secret>"
 TREES, DEPTH, SEED = 40, 8, 7
@@ -120,6 +120,8 @@ def labelled_findings(spark: SparkSession, each: int = 120, seed: int = SEED) ->
         lambda: (assign(SECRET_WORDS), r.choice(["sk_live_", "pk_", "xoxb-", "ghp_", "glpat-", "AKIA", "AIza"]) + pick(alnum, r.randint(20, 40))),
         lambda: (fill() + " ", r.choice(["sk_live_", "xoxb-", "ghp_", "glpat-", "AIza"]) + pick(alnum, r.randint(24, 40))),
         lambda: (fill() + " authorization: bearer ", "eyJ" + pick(b64, 17) + "." + pick(b64, 60) + "." + pick(b64, 43)),
+        lambda: (assign(SECRET_WORDS), r.choice(["eyJ" + pick(b64, 33) + "." + pick(b64, r.randint(100, 1500)) + "." + pick(b64, r.choice([43, 86, 342])), pick(b64, r.randint(200, 3200))])),
+        lambda: (assign(SECRET_WORDS), pick(string.ascii_letters, r.randint(20, 48))),
     ]
     alikes = [
         lambda: (assign(ALIKE_WORDS), pick(hexes, r.choice([32, 40, 64]))),
@@ -134,6 +136,8 @@ def labelled_findings(spark: SparkSession, each: int = 120, seed: int = SEED) ->
         lambda: (fill() + " ", pick(string.digits, r.randint(16, 30))),
         lambda: (fill() + " ", r.choice("-=_.") * r.randint(16, 60)),
         lambda: (fill() + " sha256-", pick(b64, 43) + "="),
+        lambda: (assign(SECRET_WORDS) if r.random() < 0.3 else fill() + " ", r.choice([str, str.capitalize])(words("", 1)) + "".join(w.capitalize() for w in words(" ", r.randint(3, 5)).split())),
+        lambda: (fill() + " ", words(r.choice(["/", "_", "-", "."]), r.randint(30, 200))),
     ]
     rows = []
     for makers, label in ((secrets, 1.0), (alikes, 0.0)):
@@ -164,7 +168,8 @@ def learn(findings: DataFrame) -> PipelineModel:
 
 
 def find_candidates(text: str | None) -> list[tuple[int, int]]:
-    """Spans of key-like runs without trailing dots, with a digit or both letter cases."""
+    """Spans of key-like runs of any length without trailing dots, but for those that may be written words: letters alone
+    in one case, or with a leading capital alone."""
     out = []
     for m in CANDIDATE.finditer(text or ""):
         run = m[0].rstrip(".")
@@ -172,7 +177,7 @@ def find_candidates(text: str | None) -> list[tuple[int, int]]:
         start = m.start()
         if 0 < equals < len(run) - 2 and run[equals + 1] != "=":  # name=value without spaces
             start, run = start + equals + 1, run[equals + 1 :]
-        if MIN_LENGTH <= len(run) <= MAX_LENGTH and not run.isalpha():
+        if len(run) >= MIN_LENGTH and not (run.isalpha() and (run.isupper() or run[1:].islower())):
             out.append((start, start + len(run)))
     return out
 

@@ -104,6 +104,16 @@ def test_secrets(spark, docs, none):
     assert got == [(1, 'x token = "<secret>" y token = "<secret>".')] * 2 + [(2, "plain"), (3, "")]
 
 
+def test_secrets_of_any_length_and_without_digits(spark):
+    r = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    long, plain = "".join(r.choices(letters + "0123456789+/", k=900)), "".join(r.choices(letters, k=30))
+    assert secret_scan.find_candidates("Antidisestablishmentarianism floccinaucinihilipilification PNEUMONOULTRAMICROSCOPIC") == []
+    rows = [(1, f'api token = "{long}" end', None), (2, f'password = "{plain}" end', None), (3, "the class AbstractMessageFactoryHandler is here", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {x.doc_id: x.text for x in secret_scan.redacted(docs).collect()} == {1: 'api token = "<secret>" end', 2: 'password = "<secret>" end', 3: rows[2][1]}
+
+
 def test_urls(spark):
     urls = [(1, None), (2, "no scheme"), (3, "HTTP://WWW.Example.COM/en/7?x"), (4, "http://a.com/en/1#t"), (4, "http://a.com/en/1#t"), (None, "x://cheap-pills.org/"), (5, ""), (6, "a://b.de\n/x?y"), (7, "http://spam-farm.net/de/")]
     pages = spark.createDataFrame([(i, u, "h", "t", "r") for i, u in urls], "page_id long, url string, host string, token string, rule string")

@@ -4,12 +4,12 @@ Base spans (emails, addresses of version 4, payment cards, phone numbers) are th
 lexical patterns: two words before, or one before and one after. Spans of a looser shape that the base rules
 pass over are candidates: written-out emails, card-like numbers that fail the check digit, phone numbers without
 ``+``. Patterns and instances form a bipartite graph scored in ``ROUNDS`` alternating steps: a pattern's confidence is
-the summed score of its instances over all its occurrences in the corpus, whatever stands there; an instance's score is
+the summed score of its instances, each as often as it stands there, over all its occurrences in the corpus, whatever stands there; an instance's score is
 one less the product of its patterns' doubts, seeds having 1. Patterns with ``MIN_SUPPORT`` distinct seeds and
 ``MIN_CONFIDENCE`` discover the candidates they stand at.
 
-Only patterns that stand at both seeds and candidates can discover anything; these alone are counted in the corpus. They
-are broadcast; if they are more than ``MAX_PATTERNS``, those with more seeds than a doubled least support are taken.
+Only patterns that stand at both seeds and candidates can discover anything; these alone are counted in the corpus. Workers get
+them in blocks of ``BLOCK_PATTERNS``, one scan of the corpus a block, so none is dropped.
 
 Defined results: null text is empty; repeated rows are read each, repeated texts are one instance in the graph; spans are
 code points with exclusive ends; added spans overlap no base span; an empty table gives an empty result; other columns
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import checkpointed, row_slices
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, MIN_SUPPORT, MIN_CONFIDENCE, MAX_PATTERNS = 3, 5, 0.8, 200_000
+ROUNDS, MIN_SUPPORT, MIN_CONFIDENCE, BLOCK_PATTERNS = 3, 5, 0.8, 200_000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -126,22 +126,24 @@ def contexts(text: str, start: int, end: int) -> list[str]:
 
 
 def graph_edges(docs: DataFrame) -> DataFrame:
-    """(kind, pattern, instance, seed): distinct edges. Instances are hashes; personal data is not shuffled."""
+    """(kind, pattern, instance, seed, times): distinct edges and how often each stands in the corpus. Instances are
+    hashes; personal data is not shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches):
-            rows = set()
+            rows: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 base = base_spans(text)
                 for spans, seed in ((base, True), (loose_spans(text, base), False)):
                     for a, b, kind in spans:
                         instance = xxhash.xxh64_intdigest(text[a:b].lower().encode("utf-8", "surrogatepass")) - (1 << 63)
                         rows.update((kind, c, instance, seed) for c in contexts(text, a, b))
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "pattern", "instance", "seed"])
+            columns = [*(list(zip(*rows, strict=True)) or [[], [], [], []]), list(rows.values())]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "pattern", "instance", "seed", "times"])
 
-    return docs.select("text").mapInArrow(run, "kind string, pattern string, instance long, seed boolean").distinct()
+    found = docs.select("text").mapInArrow(run, "kind string, pattern string, instance long, seed boolean, times long")
+    return found.groupBy("kind", "pattern", "instance", "seed").agg(F.sum("times").alias("times"))
 
 
 def occurrences(docs: DataFrame, patterns: list[str]) -> DataFrame:
@@ -162,30 +164,33 @@ def occurrences(docs: DataFrame, patterns: list[str]) -> DataFrame:
     return docs.select("text").mapInArrow(run, "pattern string, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
 
 
-def learned_patterns(docs: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[str, str]]:
+def learned_patterns(docs: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, block_patterns: int = BLOCK_PATTERNS) -> list[tuple[str, str]]:
     """(kind, pattern) of the patterns that discover candidates."""
     edges = checkpointed(graph_edges(docs))
     support = F.count(F.when(F.col("seed"), 1)).alias("support")
     both = edges.groupBy("kind", "pattern").agg(support, F.count(F.when(~F.col("seed"), 1)).alias("candidates")).where(f"support >= {min_support} AND candidates > 0")
     usable = checkpointed(both.select("kind", "pattern", "support"))
-    least = min_support
-    while usable.where(F.col("support") >= least).select("pattern").distinct().count() > MAX_PATTERNS:
-        least *= 2
-    usable = usable.where(F.col("support") >= least)
-    names = [r["pattern"] for r in usable.select("pattern").distinct().collect()]  # MAX_PATTERNS at most
-    if not names:
+    names = usable.select("pattern").distinct()
+    sides = names.count() // block_patterns + 1
+    totals = None
+    for k in range(sides):
+        block = [r["pattern"] for r in names.where(F.pmod(F.xxhash64("pattern"), F.lit(sides)) == k).collect()]
+        if block:
+            counted = checkpointed(occurrences(docs, block))
+            totals = counted if totals is None else totals.unionByName(counted)
+    if totals is None:
         return []
-    graph = checkpointed(edges.join(usable.drop("support"), ["kind", "pattern"]).join(occurrences(docs, names), "pattern"))
+    graph = checkpointed(edges.join(usable.drop("support"), ["kind", "pattern"]).join(totals, "pattern"))
     scores = graph.select("instance", F.col("seed").cast("double").alias("score")).groupBy("instance").agg(F.max("score").alias("score"))
     confidence = None
     for _ in range(rounds):
-        summed = graph.join(scores, "instance").groupBy("kind", "pattern").agg(F.sum("score").alias("sum"), F.max("total").alias("total"), F.count("*").alias("n"))
+        summed = graph.join(scores, "instance").groupBy("kind", "pattern").agg(F.sum(F.col("score") * F.col("times")).alias("sum"), F.max("total").alias("total"), F.sum("times").alias("n"))
         confidence = checkpointed(summed.select("kind", "pattern", (F.col("sum") / F.greatest("total", "n")).alias("confidence")))
         doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-12))))
         fresh = graph.join(confidence, ["kind", "pattern"]).groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("known"), doubt.alias("doubt"))
         scores = checkpointed(fresh.select("instance", F.greatest("known", 1 - F.exp("doubt")).alias("score")))
     sure = confidence.where(F.col("confidence") >= min_confidence)
-    return sorted((r["kind"], r["pattern"]) for r in sure.select("kind", "pattern").collect())  # MAX_PATTERNS at most for each kind
+    return sorted((r["kind"], r["pattern"]) for r in sure.select("kind", "pattern").collect())
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:

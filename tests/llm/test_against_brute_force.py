@@ -312,6 +312,17 @@ def test_pii_bootstrapping_discovers_identifiers_in_sure_contexts(spark):
     assert not any(r.added for r in pii.find_spans(noise).collect())
 
 
+def test_pii_patterns_of_copied_documents(spark):
+    """Five seeds, each in a document of many copies or many times in one text, are as sure as five single ones."""
+    texts = [f"filler {i} please call me +1 (212) 555-{1000 + i} today" for i in range(5) for _ in range(50)]
+    texts += [f"then write to us +1 (212) 555-{2000 + i} soon " * 50 for i in range(5)]
+    texts += ["filler please call me 212-555-3000 today", "then write to us 212-555-3001 soon x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.added for r in pii.find_spans(docs).collect()}
+    assert {i for i, added in found.items() if added} == {255, 256}
+    assert pii.learned_patterns(docs) == pii.learned_patterns(docs, block_patterns=1) != []
+
+
 def plain_quality(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)

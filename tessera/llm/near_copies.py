@@ -8,18 +8,25 @@ under 16 choices of four positions; a pair met in one is tallied over all 64 pos
 if the tally reaches ``LEAST_TALLY``, and verified by the exact Jaccard similarity of its whole shingle sets.
 
 At similarity 0.8 a pair shares a posting with probability 0.9998 and reaches the tally with 0.99998.
+A pair is refused before its sets are fetched where that is certain: by the sizes of the sets, and by a bitmap of 1024
+bits that holds for each bit whether an odd number of shingle hashes falls on it. Sets that differ in d shingles have bitmaps
+that differ in d bits at most, and at a similarity of s two sets of p and q shingles differ in (1 - s) / (1 + s) * (p + q) at most.
+
 Postings longer than ``long_posting`` (texts that share much boilerplate, large groups of copies) first link their members
 to one head each, then to the member with most links so far. What is left apart, members outside a posting's largest
-component, is met with all members of other components: each with its likeliest partner first, then every pair whose ends
-are still in different components. So each pair that shares a posting and reaches the tally is verified or already connected.
+component, is met with all members of other components, in tiles of ``TILE`` members, twice: first each gets its likeliest
+partner, then every pair is verified whose ends are still in different components. So each pair that shares a posting and
+reaches the tally is verified or already connected, and components are those of all pairs.
 
-Texts of equal shingle sets are one class (``set_key``). A null text or one without a word is the class of the empty
-set, which is near to nothing else.
+Defined results: texts of equal shingle sets, repeated rows among them, are one class (``set_key``); a null text or one
+without a word is the class of the empty set, which is near to nothing else; links do not depend on the order of rows;
+an empty table gives no links; only the two named columns of ``docs`` are read, so other names cannot clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +42,16 @@ POSITIONS = 64
 CHOSEN = 4
 #: Agreeing bytes of a verified pair; 0.8 gives 51 with a standard deviation of 3.2.
 LEAST_TALLY = 38
+#: Members of a crowded posting that one tile meets with those apart.
+TILE = 512
 #: Shingle sets of each side of a tile that one task verifies at a time.
 TILE_SETS = 256
+BITS = 1024
 SKETCH = [f"s{i}" for i in range(POSITIONS // 8)]
+PARITY = [f"b{i}" for i in range(BITS // 64)]
 KEYS = [f"k{i}" for i in range(POSITIONS // CHOSEN)]
+#: What a pair of classes is judged by before its sets are fetched.
+CLASS = ["size", *PARITY, *SKETCH]
 
 _random = np.random.default_rng(42)
 _FACTORS = _random.integers(0, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,6 +73,12 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(joined[a : b - 1], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=True)], dtype=np.uint64))
 
 
+def parity(members: np.ndarray) -> np.ndarray:
+    """For each of 1024 bits whether an odd number of the hashes falls on it, as 16 longs."""
+    odd = (np.bincount((members & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view("<i8")
+
+
 def sketch(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The 64 positional bytes of a shingle set as eight longs, and its 16 posting keys."""
     least = np.full(POSITIONS, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -72,9 +91,10 @@ def sketch(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, fingerprint: Callable[[str | None], int], id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text_hash, fp, set_key, s0.., k0..) of each row: its fingerprint, its class of equal shingle sets, the sketch and the posting keys."""
+    """(doc_id, text_hash, fp, set_key, size, b0.., s0.., k0..) of each row: its fingerprint, its class of equal shingle sets, their number,
+    the bitmap, the sketch and the posting keys."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    names = ["doc_id", "text_hash", "fp", "set_key", *SKETCH, *KEYS]
+    names = ["doc_id", "text_hash", "fp", "set_key", *CLASS, *KEYS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches):
@@ -82,7 +102,7 @@ def sketches(docs: DataFrame, fingerprint: Callable[[str | None], int], id_col:
             for k, text in enumerate(batch.column(2).to_pylist()):
                 members = shingle_set(text, shingle)
                 set_key = np.array([xxhash.xxh64_intdigest(members.tobytes())], dtype=np.uint64).view(np.int64)
-                out[k] = np.concatenate([[fingerprint(text)], set_key, *sketch(members)])
+                out[k] = np.concatenate([[fingerprint(text)], set_key, [len(members)], parity(members), *sketch(members)])
             columns = [pa.array(np.ascontiguousarray(out[:, c])) for c in range(out.shape[1])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
 
@@ -95,25 +115,30 @@ def tally(a: str, b: str) -> Column:
     return sum(one(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH)
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """(a, b) of rows that share a posting and reach the tally, the smaller class first."""
-    found = rows.alias("x").join(rows.alias("y"), F.col("x.key") == F.col("y.key"))
-    pair = found.where(F.col("x.set_key") < F.col("y.set_key")).where(tally("x", "y") >= LEAST_TALLY)
-    return pair.select(F.col("x.set_key").alias("a"), F.col("y.set_key").alias("b")).distinct()
+def likely(a: str, b: str, similarity: float) -> Column:
+    """Whether two aliased rows of classes reach the tally and are not refused by their sizes or bitmaps."""
+    differing = sum(F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in PARITY)
+    most = F.lit((1 - similarity) / (1 + similarity)) * (F.col(f"{a}.size") + F.col(f"{b}.size")) + 1e-6
+    return (F.abs(F.col(f"{a}.size") - F.col(f"{b}.size")) <= most) & (differing <= most) & (tally(a, b) >= LEAST_TALLY)
+
+
+def _met(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of rows that share a posting and are likely near, the smaller class first."""
+    pair = rows.alias("x").join(rows.alias("y"), F.col("x.key") == F.col("y.key")).where(F.col("x.set_key") < F.col("y.set_key"))
+    return pair.where(likely("x", "y", similarity)).select(F.col("x.set_key").alias("a"), F.col("y.set_key").alias("b")).distinct()
 
 
 def _shared(index: DataFrame, classes: DataFrame) -> DataFrame:
-    """(set_key, key, n, sketch): rows of the index whose posting has n > 1 members."""
+    """(set_key, key, n, and the columns of ``CLASS``): rows of the index whose posting has n > 1 members."""
     sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return checkpointed(index.join(sizes, "key").join(classes.select("set_key", *SKETCH), "set_key"))
+    return checkpointed(index.join(sizes, "key").join(classes.select("set_key", *CLASS), "set_key"))
 
 
-def _sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(set_key, members): the shingle sets of the classes that the pairs name."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+def _sets(named: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(set_key, members): the shingle sets of the named classes, in one pass over the texts."""
     wanted = named.join(classes, "set_key").select("set_key", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
-    texts = docs.select(id_col, text_col).join(wanted, same).select("set_key", F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).select("set_key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches):
@@ -123,10 +148,8 @@ def _sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, te
     return checkpointed(texts.mapInArrow(run, "set_key long, members array<long>").dropDuplicates(["set_key"]))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs of classes whose whole shingle sets have at least the Jaccard similarity."""
-    pairs = checkpointed(pairs)
-    sets = _sets(pairs, classes, docs, id_col, text_col, shingle)
     left = sets.select(F.col("set_key").alias("a"), F.col("members").alias("p"))
     right = sets.select(F.col("set_key").alias("b"), F.col("members").alias("q"))
     common = F.size(F.array_intersect("p", "q"))
@@ -134,11 +157,11 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
 
 
-def verified_in_tiles(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+def verified_in_tiles(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """As ``verified``, for many pairs among few classes: a set is moved once for each tile of classes, not for each pair."""
     pairs = checkpointed(pairs)
-    sets = _sets(pairs, classes, docs, id_col, text_col, shingle)
-    sides = sets.count() // TILE_SETS + 1
+    named = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+    sides = named.count() // TILE_SETS + 1
     tile = [F.pmod(F.xxhash64(c), F.lit(sides)).alias(t) for c, t in (("a", "i"), ("b", "j"))]
     placed = pairs.select("a", "b", *tile)
     needed = placed.select(F.col("i").alias("k"), F.col("j").alias("l"), F.explode(F.array("a", "b")).alias("set_key")).distinct().join(sets, "set_key")
@@ -152,65 +175,61 @@ def verified_in_tiles(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_
         near = []
         for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
             p, q = members[a], members[b]
-            most = min(len(p), len(q))
-            common = len(np.intersect1d(p, q, assume_unique=True)) if most >= similarity * max(len(p), len(q)) else 0
+            common = len(np.intersect1d(p, q, assume_unique=True))
             near.append(common >= similarity * (len(p) + len(q) - common))
         return pairs.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return placed.groupBy("i", "j").cogroup(needed.groupBy("k", "l")).applyInArrow(run, "a long, b long")
 
 
-def _rooted(rows: DataFrame, members: DataFrame, of: str, root: str) -> DataFrame:
-    """``rows`` with the component of the class in column ``of``, by ``members`` (node, root)."""
-    found = members.select(F.col("node").alias(of), F.col("root").alias(root))
-    return rows.join(found, of, "left").withColumn(root, F.coalesce(root, of))
-
+def _star(long: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of each posting's head (a row of a class) and those of its other members that are likely near to it."""
+    member = long.alias("x").join(heads.select("key", "head.*").alias("y"), F.col("x.key") == F.col("y.key")).where(F.col("x.set_key") != F.col("y.set_key"))
+    ends = F.col("x.set_key"), F.col("y.set_key")
+    return member.where(likely("x", "y", similarity)).select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
 
-def _star(long: DataFrame, heads: DataFrame) -> DataFrame:
-    """(a, b) of each posting's head and its other members."""
-    member = long.join(heads, "key").where("set_key <> head").where(F.col("head").isNotNull())
-    return member.select(F.least("head", "set_key").alias("a"), F.greatest("head", "set_key").alias("b")).distinct()
 
-
-def _apart(long: DataFrame, edges: DataFrame) -> DataFrame:
+def _crossing(long: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
     """(a, b, t): members outside the largest component of a crowded posting, each with every member of another
-    component there whose sketch reaches the tally t."""
+    component there that is likely near; t is their tally."""
     from tessera.llm.simhash import components  # which imports this module
 
-    rooted = checkpointed(_rooted(long, components(edges), "set_key", "root"))
-    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    mixed = rooted.join(main, "key")
+    roots = components(edges).withColumnRenamed("node", "set_key")
+    rooted = checkpointed(long.join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key")))
+    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("size"))
+    main = parts.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    mixed = rooted.join(main, "key").withColumn("tiles", (F.col("n") / TILE).cast("int") + 1)
+    dealt = mixed.withColumn("tile", F.pmod(F.xxhash64("set_key"), F.col("tiles")).cast("int"))
+    outside = mixed.where("root <> main").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     # a pair of members that are both outside is made once
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.set_key") < F.col("y.set_key"))
-    found = mixed.where("root <> main").alias("x").join(mixed.alias("y"), F.col("x.key") == F.col("y.key"))
-    near = found.where(F.col("x.root") != F.col("y.root")).where(once).where(tally("x", "y") >= LEAST_TALLY)
-    pair = near.select(F.col("x.set_key").alias("a"), F.col("y.set_key").alias("b"), tally("x", "y").alias("t"))
-    return checkpointed(pair.distinct())
+    found = outside.alias("x").join(dealt.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") == F.col("y.tile")))
+    near = found.where((F.col("x.root") != F.col("y.root")) & once & likely("x", "y", similarity))
+    return near.select(F.col("x.set_key").alias("a"), F.col("y.set_key").alias("b"), tally("x", "y").alias("t"))
 
 
 def near_links(
     classes: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, long_posting: int = 64
 ) -> DataFrame:
     """(a, b): links between classes that connect the near copies of ``docs``; ``classes`` has one row for each, with the columns of ``sketches``."""
-    from tessera.llm.simhash import components  # which imports this module
-
-    where = (classes, docs, id_col, text_col, shingle, similarity)
     shared = _shared(classes.select("set_key", F.explode(F.array(*KEYS)).alias("key")), classes)
-    pairs = _met(shared.where(F.col("n") <= long_posting))
+    pairs = checkpointed(_met(shared.where(F.col("n") <= long_posting), similarity))
     long = shared.where(F.col("n") > long_posting)
+    named = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).unionByName(long.select("set_key")).distinct()
+    sets = _sets(named, classes, docs, id_col, text_col, shingle)
+    check = partial(verified, sets=sets, similarity=similarity)
     if long.isEmpty():
-        return verified(pairs, *where)
-    heads = long.groupBy("key").agg(F.min("set_key").alias("head"))
-    edges = checkpointed(verified(pairs.unionByName(_star(long, heads)).distinct(), *where))
+        return check(pairs)
+    row = F.struct("set_key", *CLASS)
+    heads = long.groupBy("key").agg(F.min_by(row, "set_key").alias("head"))
+    edges = checkpointed(check(pairs.unionByName(_star(long, heads, similarity)).distinct()))
     degrees = edges.select(F.explode(F.array("a", "b")).alias("set_key")).groupBy("set_key").agg(F.count("*").alias("degree"))
-    hubs = long.select("key", "set_key").join(degrees, "set_key").groupBy("key").agg(F.max_by("set_key", F.struct("degree", "set_key")).alias("head"))
-    edges = checkpointed(edges.unionByName(verified(_star(long, hubs).join(edges, ["a", "b"], "left_anti"), *where)))
-    apart = _apart(long, edges)
-    if apart.isEmpty():
+    hubs = long.join(degrees, "set_key").groupBy("key").agg(F.max_by(row, F.struct("degree", "set_key")).alias("head"))
+    edges = checkpointed(edges.unionByName(check(_star(long, hubs, similarity).join(edges, ["a", "b"], "left_anti"))))
+    likeliest = _crossing(long, edges, similarity).groupBy("a").agg(F.max_by("b", F.struct("t", "b")).alias("b"))
+    likeliest = checkpointed(likeliest.select("a", "b"))
+    if likeliest.isEmpty():
         return edges
-    likeliest = apart.groupBy("a").agg(F.max_by("b", F.struct("t", "b")).alias("b"))
-    edges = checkpointed(edges.unionByName(verified(likeliest, *where)))
-    members = components(edges)
-    rest = _rooted(_rooted(apart.select("a", "b"), members, "a", "ra"), members, "b", "rb").where("ra <> rb").select("a", "b")
-    return edges.unionByName(verified_in_tiles(rest.join(likeliest, ["a", "b"], "left_anti"), *where))
+    edges = checkpointed(edges.unionByName(check(likeliest)))
+    rest = _crossing(long, edges, similarity).select("a", "b").distinct().join(likeliest, ["a", "b"], "left_anti")
+    return edges.unionByName(verified_in_tiles(rest, sets, similarity))

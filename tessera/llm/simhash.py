@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, row_slices
-from tessera.llm.near_copies import KEYS, SKETCH, near_links, sketches
+from tessera.llm.common import checkpointed, fresh_names, row_slices
+from tessera.llm.near_copies import CLASS, KEYS, near_links, sketches
 
 #: The choices of two of the four aligned byte pairs.
 BYTE_PAIRS = tuple(combinations(range(4), 2))
@@ -121,7 +121,6 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     (Kiveris et al., 2014). ``edges`` has columns a, b. Each step cuts its lineage with a checkpoint. The
     minima are dealt anew before they meet the edges, so that a node with many edges is a plain skewed join."""
     now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
-    before = None
     for _ in range(max_rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("rebalance")
@@ -130,10 +129,10 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         joined = large.join(low, "v")
         small = joined.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low.select("v", F.col("m").alias("u"))).distinct()
         now = checkpointed(small)
-        seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
-        if seen == before:
+        # settled: every node either has one smaller neighbour, which has none itself, or has none
+        ends = now.select(F.col("v").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("u").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
             return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
-        before = seen
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
@@ -161,7 +160,7 @@ def representatives(
     rows = checkpointed(sketches(docs, partial(text_fingerprint, shingle=shingle), id_col, text_col, near_shingle))
     named = rows.groupBy("doc_id", "text_hash", "set_key").agg(F.count("*").alias("n"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "n")).alias("r")
-    sketched = rows.groupBy("set_key").agg(*[F.min(c).alias(c) for c in (*SKETCH, *KEYS)])
+    sketched = rows.groupBy("set_key").agg(*[F.min(c).alias(c) for c in (*CLASS, *KEYS)])
     classes = checkpointed(named.groupBy("set_key").agg(least).select("*", "r.doc_id", "r.text_hash").join(sketched, "set_key"))
 
     leads = rows.groupBy("fp").agg(F.min("set_key").alias("lead"))
@@ -173,9 +172,9 @@ def representatives(
     members = components(alike.unionByName(apart).unionByName(copies))
 
     rooted = classes.select("set_key", "r").join(members, classes.set_key == members.node, "left").withColumn("root", F.coalesce("root", "set_key"))
-    kept = rooted.groupBy("root").agg(F.min("r").alias("r")).select(F.col("r.doc_id").alias("_kept_id"), F.col("r.text_hash").alias("_kept_hash"), F.col("r.n").alias("_kept_n"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64(F.col(text_col)) == F.col("_kept_hash"))
-    found = docs.join(kept, same)
-    once = found.where("_kept_n = 1").select(*docs.columns)
-    repeated = found.where("_kept_n > 1").dropDuplicates([id_col, text_col]).select(*docs.columns)
+    of, text_hash, n = fresh_names(docs, "kept_id", "kept_hash", "kept_n")
+    kept = rooted.groupBy("root").agg(F.min("r").alias("r")).select(F.col("r.doc_id").alias(of), F.col("r.text_hash").alias(text_hash), F.col("r.n").alias(n))
+    found = docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(docs[text_col]) == F.col(text_hash)))
+    once = found.where(F.col(n) == 1).select(*docs.columns)
+    repeated = found.where(F.col(n) > 1).dropDuplicates([id_col, text_col]).select(*docs.columns)
     return once.unionByName(repeated)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontam, langid, lm, packing, pii, quality, secret_scan, simhash
+from tessera.llm import decontam, langid, lm, near_copies, packing, pii, quality, secret_scan, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -402,3 +402,32 @@ def test_pipeline_against_brute_force(spark):
     assert kept["secrets"] == masked
     pieces = corpus_pipeline.run(spark, sf).collect()
     assert {p.doc_id for p in pieces} == set(masked)
+
+
+@pytest.mark.parametrize("words", [60, 200])
+def test_representatives_of_a_thousand_near_copies(spark, words):
+    """One crowded group at production settings: with two or three words of 200 changed most pairs are near; with three of 60 few are."""
+    r = random.Random(words)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    base = r.choices(vocabulary, k=words)
+    texts = []
+    for i in range(1200):
+        text = list(base)
+        for _ in range(r.randint(1, 3)):
+            text[r.randrange(words)] = r.choice(vocabulary)
+        texts.append((i, " ".join(text)))
+    want = plain_components([(i, plain_fingerprint(t)) for i, t in texts], {i: plain_shingles(t) for i, t in texts})
+    kept = simhash.representatives(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(k.doc_id for k in kept) == sorted(set(want.values()))
+
+
+def test_a_pair_of_eight_tenths_is_never_refused_by_its_bitmap():
+    r = np.random.default_rng(4)
+    for n in (1, 5, 40, 900, 6000):
+        p = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        for drop in {0, n // 20, n // 10, n // 5}:
+            q = np.unique(np.concatenate([p[drop:], r.integers(0, 2**63, drop // 3, dtype=np.uint64)]))
+            common = len(np.intersect1d(p, q))
+            if common >= 0.8 * (len(p) + len(q) - common):
+                differing = np.bitwise_count(near_copies.parity(p) ^ near_copies.parity(q)).sum()
+                assert differing <= (0.2 / 1.8) * (len(p) + len(q)) + 1e-6

@@ -1,17 +1,18 @@
 """URL filters: exact host/path rules, and pattern rules found through their rarest literal token.
 
-A pattern rule is a regular expression with the literal tokens that any URL it matches must contain.
-Each rule is indexed once, under the one of its tokens that occurs in the fewest distinct URLs of the
+A pattern rule is a regular expression with literal tokens that any URL it matches must contain as whole tokens; a rule
+without one, or whose expression does not set a token apart on both sides, is refused when it is made. Each rule is indexed once, under the one of its tokens that occurs in the fewest distinct URLs of the
 input. A URL is cut into tokens; each token fetches the rules indexed under it, and only those
 rules run their expression on that URL. All work is DataFrame expressions and joins.
 
 Defined results: a null url or one without ``://`` has empty host and path and matches nothing
-(verdict ``allow``); equal urls get equal verdicts; an empty table gives an empty result; columns other
+(verdict ``allow``) unless a pattern does; only A-Z is lower-cased; equal urls get equal verdicts; an empty table gives an empty result; columns other
 than the two named ones are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,15 +34,35 @@ class HostRule:
         return self.host + self.path
 
 
+# what ends before a token, and begins after it, without a letter or digit: a literal, an escaped literal, or a class of these
+_BEFORE = re.compile(r"(://|[/=&-]|\\[^A-Za-z0-9]|\[[?&/=.-]+\])$")
+_AFTER = re.compile(r"([/=&-]|\\[^A-Za-z0-9]|\[[?&/=.-]+\])(?![*?{])")
+_OPTIONAL_LABELS = re.compile(r"\(\[\^/\?#\]\*\\\.\)\?$")
+
+
+def sets_apart(pattern: str, token: str) -> bool:
+    """Whether the expression holds the token between characters that are neither letters nor digits."""
+    for m in re.finditer(rf"(?<![a-z0-9\\]){re.escape(token)}(?![a-z0-9*?{{])", pattern):
+        before = _OPTIONAL_LABELS.sub("", pattern[: m.start()])
+        if _BEFORE.search(before) and _AFTER.match(pattern, m.end()):
+            return True
+    return False
+
+
 @dataclass(frozen=True)
 class PatternRule:
-    """``pattern`` runs on the lower-cased URL; every match contains each of ``tokens`` as a token."""
+    """``pattern`` runs on the URL with A-Z lower-cased; every match contains each of ``tokens`` as a token."""
 
     rule_id: str
     pattern: str
     tokens: tuple[str, ...]
     verdict: str = "block"
 
+    def __post_init__(self) -> None:
+        loose = [t for t in self.tokens if not sets_apart(self.pattern, t)]
+        if loose or not self.tokens:
+            raise ValueError(f"rule {self.rule_id}: {loose or 'no token'} is not a whole token of every match")
+
 
 HOST_RULES = (
     HostRule("com", "/en/", "block"),
@@ -58,8 +79,9 @@ PATTERN_RULES = (
     PatternRule("free-bets", r"://([^/?#]*\.)?free-bets\.", ("free", "bets")),
     PatternRule("ads-track", r"://([^/?#]*\.)?ads-track\.", ("ads", "track")),
     PatternRule("adult-chat", r"://([^/?#]*\.)?adult-chat\.", ("adult", "chat")),
-    PatternRule("session-id", r"[?&](phpsessid|jsessionid)=[0-9a-f]+", ()),
-    PatternRule("login-redirect", r"/login[/?][^#]*redirect=", ("login", "redirect")),
+    PatternRule("php-session", r"[?&]phpsessid=[0-9a-f]+", ("phpsessid",)),
+    PatternRule("java-session", r"[?&]jsessionid=[0-9a-f]+", ("jsessionid",)),
+    PatternRule("login-redirect", r"/login[/?][^#]*redirect=", ("login",)),
 )
 
 
@@ -90,11 +112,11 @@ def url_tokens(url: Column) -> Column:
 def pattern_index(spark: SparkSession, urls: DataFrame, rules: tuple[PatternRule, ...]) -> DataFrame:
     """(token, rule_id, pattern, verdict): each rule under its rarest literal token in ``urls``.
 
-    ``urls`` has distinct ``url``. A rule without literal tokens has a null token.
+    ``urls`` has distinct ``url``.
     """
     rows = [(r.rule_id, r.pattern, r.verdict, list(r.tokens)) for r in rules]
     book = spark.createDataFrame(rows, "rule_id string, pattern string, verdict string, tokens array<string>")
-    literals = book.select(F.explode_outer("tokens").alias("token"), "rule_id", "pattern", "verdict")
+    literals = book.select(F.explode("tokens").alias("token"), "rule_id", "pattern", "verdict")
     wanted = sorted({t for r in rules for t in r.tokens})
     # only the rules' own tokens are counted, so the counts are as few as the rules
     seen = (
@@ -115,14 +137,8 @@ def match_patterns(urls: DataFrame, index: DataFrame) -> DataFrame:
     Of several matching rules an allowing one wins, then the first rule_id.
     """
     keyed = urls.select("url", F.explode(url_tokens(F.col("url"))).alias("token"))
-    fetched = keyed.join(index.where(F.col("token").isNotNull()), "token").drop("token")
-    always = index.where(F.col("token").isNull()).drop("token")
-    tokenless = [r for r in always.collect()]  # as few as the rules without a literal
-    for r in tokenless:
-        fetched = fetched.unionByName(
-            urls.select("url", F.lit(r.rule_id).alias("rule_id"), F.lit(r.pattern).alias("pattern"), F.lit(r.verdict).alias("verdict"))
-        )
-    hits = fetched.where(F.expr("lower(url) RLIKE pattern"))
+    fetched = keyed.join(index, "token")
+    hits = fetched.where(F.rlike(ascii_lower(F.col("url")), F.col("pattern")))
     best = F.min(F.struct((F.col("verdict") != "allow").alias("blocks"), "rule_id", "verdict")).alias("best")
     return hits.groupBy("url").agg(best).select(
         "url", F.col("best.rule_id").alias("pattern_rule"), F.col("best.verdict").alias("pattern_verdict")

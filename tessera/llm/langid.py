@@ -5,11 +5,15 @@ the automaton reads on while the phrase still occurs in the language's text and
 not. The number of phrases, times the bits that name a place in the language's text, over the document's length
 estimates the cross entropy; the language that needs the least wins.
 
-Letters are folded to classes learned from the labelled text, runs of anything but letters are one separator, and letters
-outside the classes match nothing. A document is parsed in blocks of ``BLOCK`` classes, side by side with others.
+Letters are folded to classes, one for each letter of the labelled text in lower case; runs of anything but letters are one
+separator. A letter that a language's text lacks matches nothing there; so do letters after the ``LETTERS`` most frequent ones of one language,
+which only scripts of whole words or syllables have. Documents are parsed in blocks of ``BLOCK`` classes, side by side with others, and the
+phrases that the cuts between blocks would add are taken back: the parse that runs on from the block before is
+followed until it starts a phrase where the block's own parse does, from where both are the same. The count is that of an unbroken parse.
 
-Learning uses a bounded sample: for each language at most ``sample_docs`` labelled texts, the one with the least hash in each
-hash bucket, and ``slice_chars`` code points from the middle of each.
+Learning uses a bounded sample, a parameter of the fit: the ``max_languages`` languages with most labelled texts (ties by name), for
+each at most ``sample_docs`` texts, the one with the least hash in each hash bucket, and ``slice_chars`` code points from the middle of each.
+Predictions read whole texts.
 
 Defined results: ``und`` with score 0 where text is null or has no letter, or where nothing is labelled; ties go to
 the first language by name; repeated rows are predicted each; held_out is null for a null id, and such rows are not
@@ -29,18 +33,20 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import built_once, crc_mod, new_key, row_slices
 
-SAMPLE_DOCS, SLICE_CHARS = 64, 256
-CLASSES = 64
+SAMPLE_DOCS, SLICE_CHARS, MAX_LANGUAGES = 64, 256, 256
+LETTERS = 254
 OTHER, SEPARATOR = 0, 1
 BLOCK = 512
 UNDETERMINED = "und"
 UNICODE = 0x110000
 
 
-def labelled_sample(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, slice_chars: int = SLICE_CHARS) -> dict[str, list[str]]:
-    """By language, slices of at most ``sample_docs`` distinct texts. ``labelled``: lang, text."""
+def labelled_sample(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, slice_chars: int = SLICE_CHARS, max_languages: int = MAX_LANGUAGES) -> dict[str, list[str]]:
+    """By language, for at most ``max_languages``, slices of at most ``sample_docs`` distinct texts. ``labelled``: lang, text."""
     middle = F.greatest(F.lit(1), F.floor((F.length("text") - slice_chars) / 2) + 1).cast("int")
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    most = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    rows = labelled.where(F.col("lang").isin([r["lang"] for r in most.collect()])).select(
         "lang", F.xxhash64("text").alias("h"), F.substring(F.col("text"), middle, F.lit(slice_chars)).alias("piece")
     )
     bucket = F.pmod("h", F.lit(sample_docs)).alias("bucket")
@@ -89,20 +95,24 @@ class LanguageModel:
 
     def __init__(self, samples: dict[str, list[str]]) -> None:
         self.languages = sorted(samples)
-        counts: Counter[str] = Counter()
-        for pieces in samples.values():
-            counts.update(c for p in pieces for c in p.lower() if c.isalpha())
-        letters = sorted(counts, key=lambda c: (-counts[c], c))[: CLASSES - 2]
+        counts = {lang: Counter(c for p in samples[lang] for c in p.lower() if c.isalpha()) for lang in self.languages}
+        letters = sorted(set().union(*counts.values()))
         self.letter = np.fromiter((chr(i).isalpha() for i in range(UNICODE)), dtype=bool, count=UNICODE)
-        self.classes = np.where(self.letter, OTHER, SEPARATOR).astype(np.uint8)
+        self.classes = np.where(self.letter, OTHER, SEPARATOR).astype(np.int32)
         for i, c in enumerate(letters):
             for form in {c, c.upper()}:
                 if len(form) == 1:
                     self.classes[ord(form)] = i + 2
-        self.tables, self.bits = [], []
+        place = {c: i + 2 for i, c in enumerate(letters)}
+        self.own, self.tables, self.bits = [], [], []
         for lang in self.languages:
-            line = [int(c) for p in samples[lang] for c in (*self.fold(p)[0], OTHER)]
-            self.tables.append(self.parsing_table(line))
+            frequent = sorted(counts[lang], key=lambda c, n=counts[lang]: (-n[c], c))[:LETTERS]
+            own = np.zeros(len(letters) + 2, dtype=np.uint8)  # a language's own number of each class
+            own[SEPARATOR] = SEPARATOR
+            own[[place[c] for c in frequent]] = np.arange(2, len(frequent) + 2)
+            line = [int(own[c]) for p in samples[lang] for c in (*self.fold(p)[0], OTHER)]
+            self.own.append(own)
+            self.tables.append(self.parsing_table(line, len(frequent) + 2))
             self.bits.append(np.log2(max(2, len(line))))
 
     def fold(self, text: str) -> tuple[np.ndarray, int]:
@@ -115,10 +125,10 @@ class LanguageModel:
         return classes[keep], int(self.letter[points].sum())
 
     @staticmethod
-    def parsing_table(line: list[int]) -> np.ndarray:
-        """For state and class, flat: twice the next state, plus one where a new phrase starts with the class."""
+    def parsing_table(line: list[int], width: int) -> np.ndarray:
+        """For state and class: twice the next state, plus one where a new phrase starts with the class."""
         arcs = SuffixAutomaton(line).next
-        start = np.zeros(CLASSES, dtype=np.int32)
+        start = np.zeros(width, dtype=np.int32)
         for c, s in arcs[0].items():
             if c != OTHER:
                 start[c] = s
@@ -127,34 +137,60 @@ class LanguageModel:
             for c, s in out.items():
                 if c != OTHER:
                     table[state, c] = 2 * s
-        return table.astype(np.int32).ravel()
+        return table.astype(np.int32)
 
-    def phrases(self, lines: list[np.ndarray]) -> np.ndarray:
+    def phrases(self, lines: list[np.ndarray], block: int = BLOCK) -> np.ndarray:
         """Phrases of each line against each language, (lines, languages)."""
         lengths = np.array([len(x) for x in lines])
-        line = np.concatenate(lines).astype(np.int64)
-        cuts = -(-lengths // BLOCK)
+        cuts = -(-lengths // block)
         owner = np.repeat(np.arange(len(lines)), cuts)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        begins = (np.cumsum(lengths) - lengths)[owner] + at * BLOCK
-        sizes = np.minimum(BLOCK, lengths[owner] - at * BLOCK)
+        begins = (np.cumsum(lengths) - lengths)[owner] + at * block
+        sizes = np.minimum(block, lengths[owner] - at * block)
         order = np.argsort(-sizes, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        later = np.flatnonzero(at)
+        here, before = place[later], place[later - 1]  # a line's blocks stand in a row until sorted
         begins, sizes, owner = begins[order], sizes[order], owner[order]
+        whole = np.concatenate(lines)
         out = np.zeros((len(lines), len(self.tables)))
-        state = np.zeros((len(self.tables), len(owner)), dtype=np.int64)
-        count = np.zeros((len(self.tables), len(owner)), dtype=np.int64)
+        for i, (own, table) in enumerate(zip(self.own, self.tables, strict=True)):
+            out[:, i] = self._phrases(own[whole].astype(np.int64), table, begins, sizes, owner, here, before, len(lines))
+        return out
+
+    @staticmethod
+    def _phrases(line: np.ndarray, table: np.ndarray, begins: np.ndarray, sizes: np.ndarray, owner: np.ndarray, here: np.ndarray, before: np.ndarray, n: int) -> np.ndarray:
+        width, flat = table.shape[1], table.ravel()
+        state, count = np.zeros(len(owner), dtype=np.int64), np.zeros(len(owner), dtype=np.int64)
         running = len(owner)
         for k in range(int(sizes[0]) if len(sizes) else 0):
             while sizes[running - 1] <= k:
                 running -= 1
-            read = line[begins[:running] + k]
-            for table, s, n in zip(self.tables, state, count, strict=True):
-                arc = table[s[:running] * CLASSES + read]
-                n[:running] += arc & 1
-                s[:running] = arc >> 1
-        for i, n in enumerate(count):
-            out[:, i] = np.bincount(owner, n, len(lines))
-        return out
+            arc = flat[state[:running] * width + line[begins[:running] + k]]
+            count[:running] += arc & 1
+            state[:running] = arc >> 1
+        # the parse that runs on from the block before (on) beside the block's own (mine), until they start a phrase together
+        on, mine, broken, k = state[before], np.zeros(len(here), dtype=np.int64), np.zeros(n, dtype=bool), 0
+        while len(here):
+            ended = sizes[here] <= k
+            if ended.any():
+                broken[owner[here[ended]]] = True
+                here, on, mine = here[~ended], on[~ended], mine[~ended]
+            read = line[begins[here] + k]
+            a, b = flat[on * width + read], flat[mine * width + read]
+            count[here] += (a & 1) - (b & 1)
+            apart = ~((a & b & 1).astype(bool))
+            here, on, mine, k = here[apart], a[apart] >> 1, b[apart] >> 1, k + 1
+        found = np.bincount(owner, count, n)
+        for i in np.flatnonzero(broken):  # a phrase as long as a block: this line's parse is followed from end to end
+            mine = owner == i
+            s, found[i] = 0, 0
+            for c in line[begins[mine].min() : (begins[mine] + sizes[mine]).max()].tolist():
+                arc = int(flat[s * width + c])
+                found[i] += arc & 1
+                s = arc >> 1
+        return found
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         folded = [self.fold(t or "") for t in texts]

@@ -19,7 +19,6 @@ import math
 import random
 import re
 import string
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,10 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import row_slices
+from tessera.llm.common import fresh_names, row_slices
 
 MIN_LENGTH = 16
-CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{{{MIN_LENGTH},}}")
+RUN = rf"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{{{MIN_LENGTH},}}"
+CANDIDATE = re.compile(RUN)
 MASK = "<secret>"
 TREES, DEPTH, SEED = 40, 8, 7
 
@@ -151,7 +151,6 @@ def labelled_findings(spark: SparkSession, each: int = 120, seed: int = SEED) ->
 
 def learn(findings: DataFrame) -> PipelineModel:
     """A forest on the findings' features; features are made in Spark, trees by Spark ML."""
-    spark = findings.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +162,6 @@ def learn(findings: DataFrame) -> PipelineModel:
     named = rows.select("label", *[F.col("x")[i].alias(n) for i, n in enumerate(FEATURES)])
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(assembler.transform(named))
-    del spark
     return PipelineModel([assembler, forest])
 
 
@@ -187,9 +185,11 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
     model = learn(labelled_findings(docs.sparkSession) if findings is None else findings)
     place = F.col(place_col).cast("string") if place_col else F.lit(None).cast("string")
     head = [F.col(c) for c in keep] if keep else [F.col(id_col).cast("long").alias("doc_id")]
-    rows = docs.select(*head, F.col(text_col).alias("_scanned"), place.alias("_place"))
+    # the features have fixed names, and a carried column may not share them
+    kept = [f"kept_{i}" for i in range(len(head))]
+    rows = docs.select(*[c.alias(k) for c, k in zip(head, kept, strict=True)], F.col(text_col).alias("scanned"), place.alias("place")).where(F.col("scanned").rlike(RUN))
     names = keep or ["doc_id"]
-    schema = T.StructType([*(rows.schema[c] for c in names), T.StructField("_start", T.LongType()), T.StructField("_length", T.LongType()), T.StructField("_x", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("start", T.LongType()), T.StructField("span", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches):
@@ -204,26 +204,28 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([*taken, pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(vectors, pa.list_(pa.float64()))], names=schema.names)
 
     found = rows.mapInArrow(run, schema)
-    named = found.select(*names, "_start", "_length", *[F.col("_x")[i].alias(n) for i, n in enumerate(FEATURES)])
+    named = found.select(*kept, "start", "span", *[F.col("x")[i].alias(n) for i, n in enumerate(FEATURES)])
     score = vector_to_array("probability")[1]
     return model.transform(named).select(
-        *names, F.col("_start").alias("start"), F.col("_length").alias("length"), score.alias("score"), (F.col("prediction") == 1).alias("is_secret")
+        *[F.col(k).alias(n) for k, n in zip(kept, names, strict=True)], "start", F.col("span").alias("length"), score.alias("score"), (F.col("prediction") == 1).alias("is_secret")
     )
 
 
-def redacted(docs: DataFrame, findings: DataFrame | None = None, text_col: str = "text", place_col: str | None = "source") -> DataFrame:
-    """``docs`` with each secret replaced by MASK; n_chars, where there is one, is counted anew for changed texts.
+def redacted(docs: DataFrame, findings: DataFrame | None = None, text_col: str = "text", place_col: str | None = "source", count_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with each secret replaced by MASK; ``count_col``, where there is one, is counted anew for changed texts.
 
-    Secrets are joined back by a digest of the text, and its place: the pair that decides them.
+    Only rows whose text has a run as long as a candidate are joined with their secrets, by a digest of the text and its
+    place: the pair that decides them. All other rows, nulls among them, pass through without a shuffle.
     """
-    mark = f"_h{uuid.uuid4().hex[:8]}"
+    mark, spans_col = fresh_names(docs, "tessera_key", "tessera_spans")
     place = F.col(place_col).cast("string") if place_col else F.lit(None).cast("string")
-    key = F.struct(F.md5(F.col(text_col)), F.coalesce(place, F.lit("")))
-    texts = docs.where(F.col(text_col).isNotNull()).select(key.alias(mark), F.col(text_col).alias("_t"), place.alias("_p"))
-    secrets = scan(texts, findings, text_col="_t", place_col="_p", keep=[mark]).where("is_secret").select(mark, "start", "length").distinct()
-    spans = secrets.groupBy(mark).agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("_spans"))
+    key = F.struct(F.sha2(F.col(text_col), 256).alias("text"), F.coalesce(place, F.lit("")).alias("place"))
+    has_run = F.coalesce(F.col(text_col).rlike(RUN), F.lit(False))
+    texts = docs.where(has_run).select(key.alias(mark), F.col(text_col).alias("scanned"), place.alias("place"))
+    secrets = scan(texts, findings, text_col="scanned", place_col="place", keep=[mark]).where("is_secret").select(mark, "start", "length").distinct()
+    spans = secrets.groupBy(mark).agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias(spans_col))
     cut = F.aggregate(
-        "_spans",
+        spans_col,
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.struct(
             F.concat(acc["out"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(MASK)).alias("out"),
@@ -231,14 +233,13 @@ def redacted(docs: DataFrame, findings: DataFrame | None = None, text_col: str =
         ),
         lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.length(text_col))),
     )
-    joined = docs.withColumn(mark, key).join(spans, mark, "left")
-    text = F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col(text_col))
+    found = docs.where(has_run).withColumn(mark, key).join(spans, mark, "left").withColumn(mark, F.when(F.col(spans_col).isNotNull(), cut))
     columns = []
     for c in docs.columns:
         if c == text_col:
-            columns.append(text.alias(c))
-        elif c == "n_chars":
-            columns.append(F.when(F.col("_spans").isNotNull(), F.length(cut).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+            columns.append(F.coalesce(mark, c).alias(c))
+        elif c == count_col and isinstance(docs.schema[c].dataType, T.NumericType):
+            columns.append(F.when(F.col(mark).isNotNull(), F.length(mark).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
         else:
             columns.append(F.col(c))
-    return joined.select(*columns)
+    return docs.where(~has_run).unionByName(found.select(*columns))

@@ -4,8 +4,9 @@ Documents are tokenized and cut into pieces of at most ``capacity`` tokens. The
 histogram of piece lengths alone, at most ``capacity`` numbers whatever the corpus size: lengths are
 placed longest first, each into the packing pattern with the least tokens, whose count is updated; a pattern
 is a multiset of lengths with a number of sequences. A piece then finds its sequence by its rank among the pieces
-of its length. Ranks are made in salted groups with offsets from the groups' sizes, so that one length
-that holds a large share of the pieces is not ranked in one task.
+of its length. Ranks are made in groups of about ``GROUP_ROWS`` pieces, as many as a length needs, with offsets from the groups' sizes, so
+that one length that holds a large share of the pieces is not ranked in one task; the slot of a rank is found by binary search
+in the plan, whose size is bounded by the capacity.
 
 Defined results: null text is an empty document and still has its closing token; repeated rows (also of
 a repeated doc_id) are packed each; a null doc_id is kept; an empty table gives an empty result; other columns are ignored.
@@ -14,6 +15,7 @@ a repeated doc_id) are packed each; a null doc_id is kept; an empty table gives
 from __future__ import annotations
 
 import bisect
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,11 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import checkpointed, row_slices
+from tessera.llm.common import checkpointed, fresh_names, row_slices
 
 CAPACITY = 2048
 CLOSING_ID = 1
-SALTS = 64
+#: Pieces that one task ranks.
+GROUP_ROWS = 200_000
 #: Word encodings that a worker keeps in each half of its memory.
 KEPT_WORDS = 300_000
 
@@ -50,13 +53,18 @@ class WordEncoder:
     #: Characters below U+0180 that neither compose nor change their number in lower case.
     LATIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]+").fullmatch
     #: The tokenizer's rule for cutting, after lower-casing.
-    CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    CUT = regex.compile(SPLIT).findall
     TOGETHER = 500
 
     def __init__(self, path: str, closing_id: int = CLOSING_ID, kept_words: int = KEPT_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        cutting = [r.get("pattern", {}).get("Regex") for r in (rules["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if rules["model"].get("end_of_word_suffix") != "</w>" or cutting[:1] != [self.SPLIT] or {"type": "Lowercase"} not in (rules["normalizer"] or {}).get("normalizers", []):
+            raise ValueError(f"{path} does not cut words as this encoder does")
         self.closing = np.array([closing_id], dtype="<u4").tobytes()
         self.kept_words = kept_words
         vocabulary = self.tokenizer.get_vocab()
@@ -214,27 +222,34 @@ def pattern_slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int
     return slots
 
 
-def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """``pieces`` (doc_id, start, length and any others) with sequence_id and offset."""
+def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``pieces`` (doc_id, start, length and any others) with sequence_id and offset. ``pieces`` is read twice and has to give
+    the same partitions each time, as a checkpointed or written table does."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
-    # at most capacity x salts groups, whatever the corpus size
-    groups = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect()
-    histogram: Counter[int] = Counter()
-    firsts = []
-    for r in sorted(groups, key=lambda r: (r["length"], r["_salt"])):
-        firsts.append((r["length"], r["_salt"], histogram[r["length"]]))
-        histogram[r["length"]] += r["n"]
-    slots = pattern_slots(shortest_pack_first(histogram, capacity))
-    starts = spark.createDataFrame(firsts, "length long, _salt int, _first long")
-    table = spark.createDataFrame(slots, "length long, _lo long, _hi long, _sequence long, offset long")
-    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "start", F.xxhash64(*pieces.columns))
-    ranked = salted.withColumn("_n", F.row_number().over(within) - 1).join(F.broadcast(starts), ["length", "_salt"])
-    ranked = ranked.withColumn("_rank", F.col("_first") + F.col("_n"))
-    joined = ranked.join(F.broadcast(table), "length").where(F.col("_rank").between(F.col("_lo"), F.col("_hi")))
-    return joined.select(
-        *[c for c in pieces.columns if c != "length"], "length", (F.col("_sequence") + F.col("_rank") - F.col("_lo")).alias("sequence_id"), "offset"
-    )
+    group, first, rank = fresh_names(pieces, "group", "first", "rank")
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    groups = spark.createDataFrame([(n, c // group_rows + 1) for n, c in sorted(histogram.items())], f"length long, {group} long")
+    dealt = pieces.join(F.broadcast(groups), "length").withColumn(group, F.pmod(F.monotonically_increasing_id(), F.col(group)))
+    sizes = dealt.groupBy("length", group).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select("length", group, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first))
+    within = Window.partitionBy("length", group).orderBy("doc_id", "start")
+    ranked = dealt.withColumn(rank, F.row_number().over(within) - 1).join(firsts, ["length", group]).withColumn(rank, F.col(rank) + F.col(first))
+
+    slots = np.array(pattern_slots(shortest_pack_first(histogram, capacity)), dtype=np.int64).reshape(-1, 5)
+    slots = slots[np.lexsort((slots[:, 1], slots[:, 0]))]
+    plan = spark.sparkContext.broadcast((slots[:, 0] << 44 | slots[:, 1], slots[:, 3] - slots[:, 1], slots[:, 4]))
+    names = [c for c in pieces.columns if c != "length"]
+    schema = T.StructType([*(pieces.schema[c] for c in names), *(T.StructField(c, T.LongType()) for c in ("length", "sequence_id", "offset"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins, sequence, offset = plan.value
+        for batch in batches:
+            ranks = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            slot = np.searchsorted(begins, batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False) << 44 | ranks, "right") - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence[slot] + ranks), pa.array(offset[slot])], names=schema.names)
+
+    return ranked.select(*names, "length", F.col(rank).cast("long")).mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

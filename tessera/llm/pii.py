@@ -42,6 +42,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOOSE_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{3,4}(?![0-9.-])")
 LOOSE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[(\[]?\x20?\bat\b\x20?[)\]]?\x20?[A-Za-z0-9-]{1,63}\x20?[(\[]?\x20?\bdot\b\x20?[)\]]?\x20?[A-Za-z]{2,24}", re.I)
 
+AFTER = re.compile(r"(?=[\s.,;])[.,;]*\s*(\S+)").match
+#: Words of the widest span: 19 digits with blanks between them.
+MAX_WORDS = 19
+
 Span = tuple[int, int, str]
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -111,17 +115,26 @@ def loose_spans(text: str | None, base: list[Span]) -> list[Span]:
     return out
 
 
+def word_before(text: str, at: int) -> tuple[str, int]:
+    """The last word that ends at or before ``at``, and where it starts."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    start = at
+    while start and not text[start - 1].isspace():
+        start -= 1
+    return text[start:at].lower(), start
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
     """The patterns at a span: the two words before it, and the words on both sides. None if it is part of a word."""
-    if (start and not text[start - 1].isspace()) or start == 0:
+    if start == 0 or not text[start - 1].isspace():
         return []
-    before = text[max(0, start - 200) : start].lower().split()[-2:]
-    after = text[end : end + 100].lower()
-    out = ["<< " + " ".join(before)] if len(before) == 2 else []
-    if before and (after[:1].isspace() or after[:1] in {".", ",", ";"}):
-        follow = after.lstrip(".,;").split(maxsplit=1)
-        if follow and after[-1:].isspace() or len(follow) == 2:
-            out.append(f"<> {before[-1]} {follow[0]}")
+    last, at = word_before(text, start)
+    first, _ = word_before(text, at)
+    out = [f"<< {first} {last}"] if first else []
+    after = AFTER(text, end)
+    if last and after:
+        out.append(f"<> {last} {after[1].lower()}")
     return out
 
 
@@ -147,18 +160,24 @@ def graph_edges(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, patterns: list[str]) -> DataFrame:
-    """(pattern, total): how often each pattern's words stand in the corpus, whatever stands between or after them."""
+    """(pattern, total): how often each pattern's words stand in the corpus, whatever stands after or between them; words
+    on both sides stand as often as the one is followed by the other with 1 to ``MAX_WORDS`` words between."""
     wanted = docs.sparkSession.sparkContext.broadcast(frozenset(tuple(p.split(" ")) for p in patterns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = {p[1:] for p in wanted.value if p[0] == "<<"}
-        around = {p[1:] for p in wanted.value if p[0] == "<>"}
+        around: dict[str, set[str]] = {}
+        for side, first, second in wanted.value:
+            if side == "<>":
+                around.setdefault(first, set()).add(second)
         total: Counter = Counter()
         for batch in row_slices(batches):
             for text in batch.column(0).to_pylist():
                 words = (text or "").lower().split()
                 total.update("<< " + " ".join(p) for p in filter(pairs.__contains__, zip(words, words[1:])))
-                total.update("<> " + " ".join(p) for p in filter(around.__contains__, zip(words, words[2:])))
+                for i, w in enumerate(words):
+                    if followers := around.get(w):
+                        total.update(f"<> {w} {x}" for x in followers.intersection(words[i + 2 : i + 2 + MAX_WORDS]))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["pattern", "total"])
 
     return docs.select("text").mapInArrow(run, "pattern string, total long").groupBy("pattern").agg(F.sum("total").alias("total"))

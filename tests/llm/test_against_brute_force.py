@@ -374,6 +374,77 @@ def test_cross_parsing_counts_longest_matches():
             assert got[i] == phrases
 
 
+def test_cross_parsing_is_not_changed_by_blocks():
+    """Long texts, texts copied from the sample (phrases longer than a block), and scripts of many letters."""
+    r = random.Random(9)
+    han = [chr(0x4E00 + i) for i in range(400)]
+    sample = {"x": ["".join(r.choices("abc ", k=300))], "y": ["".join(r.choices("bcdé ", k=300))], "z": ["".join(r.choices(han, k=900))]}
+    model = langid.LanguageModel(sample)
+    texts = ["".join(r.choices("abcdé .", k=n)) for n in (1, 15, 16, 17, 700, 3000)] + [sample["x"][0], sample["y"][0][50:] * 3, "a" * 100, "".join(r.choices(han, k=200)), sample["z"][0] + "a"]
+    lines = [model.fold(t)[0] for t in texts]
+    whole = model.phrases(lines, block=10**6)
+    for block in (16, 64, langid.BLOCK):
+        assert (model.phrases(lines, block=block) == whole).all()
+    for i, t in enumerate(texts[:8]):
+        line = model.own[0][lines[i]]
+        folded, first = "".join(map(chr, line + 65)), "".join(map(chr, model.own[0][model.fold(sample["x"][0])[0]] + 65))
+        phrases, at = 0, 0
+        while at < len(folded):
+            n = at
+            while n < len(folded) and line[n] != langid.OTHER and folded[at : n + 1] in first:
+                n += 1
+            at = max(n, at + 1)
+            phrases += 1
+        assert whole[i, 0] == phrases
+
+
+def plain_distance(p, q):
+    """Jensen-Shannon distance from the definition, key by key."""
+    total = 0.0
+    for k in p.keys() | q.keys():
+        m = (p.get(k, 0) + q.get(k, 0)) / 2
+        total += sum(0.5 * x * math.log2(x / m) for x in (p.get(k, 0), q.get(k, 0)) if x)
+    return math.sqrt(max(0.0, total))
+
+
+def test_quality_divergence_against_plain_histograms(spark, documents):
+    """Shares, references and distances by dictionaries, with the common words that the operator fitted."""
+    docs = documents.select("doc_id", "text", "lang")
+    labelled = docs.where("lang is not null and text is not null").select("lang", "text")
+    common = quality.common_words(labelled)
+
+    def kind(c):
+        return 5 if c in quality.PROSE_MARKS else 0 if c.isalpha() and c.islower() else 1 if c.isalpha() and c.isupper() else 2 if c.isalpha() else 3 if c.isdigit() else 4 if c.isspace() else 6
+
+    def shares(text, lang):
+        w = [x.lower() for x in text.encode().split()]
+        chars, n = Counter(map(kind, text)), len(w)
+        words = Counter(x if x in set(common[lang]) else None for x in w)
+        return {k: c / len(text) for k, c in chars.items()}, {k: c / n for k, c in words.items()}
+
+    means = {}
+    for lang in common:
+        rows = [shares(d.text, lang) for d in labelled.where(F.col("lang") == lang).collect() if len(d.text.split()) >= quality.MIN_WORDS]
+        means[lang] = [{k: sum(r[i].get(k, 0) for r in rows) / len(rows) for k in set().union(*(r[i] for r in rows))} for i in (0, 1)]
+    texts = {d.doc_id: d.text or "" for d in docs.collect()}
+    for x in quality.judge(docs).collect():
+        if x.n_words < quality.MIN_WORDS:
+            assert x.char_distance is None and x.kept == (not x.base_failed)
+            continue
+        char = min(plain_distance(shares(texts[x.doc_id], lang)[0], means[lang][0]) for lang in means)
+        word = min(plain_distance(shares(texts[x.doc_id], lang)[1], means[lang][1]) for lang in means)
+        assert x.char_distance == pytest.approx(char, abs=1e-9) and x.word_distance == pytest.approx(word, abs=1e-9)
+        assert x.kept == (not x.base_failed and char <= quality.MAX_CHAR_DISTANCE and word <= quality.MAX_WORD_DISTANCE)
+
+
+def test_pii_totals_count_spans_of_several_words(spark):
+    docs = spark.createDataFrame([(1, "call me +1 (212) 555 1000 today or me x today; me today"), (2, "me a b c d e f g today me " + "w " * 20 + "today")], "doc_id long, text string")
+    got = {r.pattern: r.total for r in pii.occurrences(docs, ["<> me today", "<< call me"]).collect()}
+    assert got == {"<> me today": 3, "<< call me": 1}
+    long = "x" * 5000
+    assert pii.contexts(f"a {long} 1 z", 5003, 5004) == [f"<< a {long}", f"<> {long} z"]
+
+
 def test_secret_forest_on_held_out_findings(spark):
     model = secret_scan.learn(secret_scan.labelled_findings(spark))
     held = secret_scan.labelled_findings(spark, each=40, seed=99).collect()
@@ -382,6 +453,49 @@ def test_secret_forest_on_held_out_findings(spark):
     assert right / len(held) > 0.95
 
 
+def test_secrets_planted_in_documents(spark):
+    """Planted secrets are found and look-alikes left alone in documents; candidates are those of a plain re-scan."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").where("text is not null and doc_id < 60")
+    r = random.Random(12)
+    pick = lambda alphabet, n: "".join(r.choices(alphabet, k=n))
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    planted, rows = {}, []
+    for d in docs.collect():
+        good = d.doc_id % 2 == 0
+        what = pick(alnum, 40) if good else r.choice(["-".join(pick("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)), "app/models/user_session/index_page.py"])
+        words = d.text.split(" ")
+        at = r.randrange(len(words) + 1)
+        planted[d.doc_id] = (what, good)
+        rows.append((d.doc_id, " ".join(words[:at] + [(f'secret_key = "{what}"' if good else f"commit {what}")] + words[at:]), d.source))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found, texts = secret_scan.scan(df).collect(), {i: t for i, t, _ in rows}
+    runs = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+    for i, t in texts.items():
+        got = {t[f.start : f.start + f.length] for f in found if f.doc_id == i}
+        plain = {m[0].rstrip(".") for m in runs.finditer(t)}
+        plain = {x for x in plain if len(x) >= 16 and "=" not in x.rstrip("=") and not (x.isalpha() and (x.isupper() or x[1:].islower()))}
+        assert got == plain
+    hit = {(f.doc_id, texts[f.doc_id][f.start : f.start + f.length]) for f in found if f.is_secret}
+    assert all(((i, what) in hit) == good for i, (what, good) in planted.items())
+
+
+def test_urls_against_every_rule_on_every_url(spark):
+    from tessera.llm import urlfilter
+
+    r = random.Random(2)
+    parts = ["login", "redirect", "xredirect", "redirect=", "phpsessid=", "JSESSIONID=", "xphpsessid=", "af09", "spam-farm.", "xspam-farm.", "cheap-pills.", "ads-track.com", "www.", "a.com", "/", "?", "&", "#", "://", "http", ".", "=", "-", "é", "İ", "LOGIN", "casino-win.org"]
+    urls = {"https://a.com/login?xredirect=1", "https://a.com/?phpsessid=1", "http://www.SPAM-FARM.de/"} | {"http://" + "".join(r.choices(parts, k=r.randint(1, 9))) for _ in range(3000)}
+    pages = spark.createDataFrame(list(enumerate(sorted(urls))), "page_id long, url string")
+    got = {x.page_id: x.pattern_rule for x in urlfilter.filter_urls(pages).collect()}
+    for i, u in enumerate(sorted(urls)):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in u)
+        assert got[i] == min((x.rule_id for x in urlfilter.PATTERN_RULES if re.search(x.pattern, low)), default=None), u
+    assert len({x for x in got.values() if x}) == len({x.rule_id for x in urlfilter.PATTERN_RULES}) - 2
+    for pattern, tokens in ((r"[?&](a|b)=1", ()), (r"/login[/?][^#]*redirect=", ("redirect",)), (r"x*login/", ("login",)), (r"/login", ("login",))):
+        with pytest.raises(ValueError):
+            urlfilter.PatternRule("r", pattern, tokens)
+
+
 def test_pipeline_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -1,20 +1,23 @@
-"""Language-model scoring with a weighted backoff automaton over characters, and unigram word baselines.
+"""Language-model scoring with a weighted backoff automaton over bytes, and unigram word baselines.
 
-The model is an n-gram model of the normalised text: words joined by single spaces between a start and an end
-mark. N-grams of the whole training part are counted in Spark, lower orders by marginalising. Contexts seen at
-least ``t`` times become states, ``t`` being the least count for which a state budget holds; each state has
-interpolated (Witten-Bell) weights for the characters seen after it and a failure arc to its longest shorter
-context with a backoff weight. The automaton is compiled by following the failure arcs once for each state and
-character, so one left-to-right traversal carries a state and adds up log-probabilities. Many texts are traversed
-side by side, one array step a character. Every character outside the model's alphabet is one class whose mass is
-divided evenly over the code points outside it, so the probabilities of all texts sum to one.
+The model is an n-gram model of the UTF-8 bytes of the normalised text: words joined by single spaces, between start and
+end marks (a line feed, which no normalised text holds). Bytes need no alphabet, and the probabilities of all byte strings sum to
+one. The automaton is held as tables: a state for each context of the training part, up to ``ORDER - 1`` bytes, with the
+weight of its failure arc, which leads to the context without its first byte; an arc for each n-gram, with its interpolated
+(Witten-Bell) weight. Every n-gram is kept, whatever its count, so the automaton grows with the corpus.
+
+N-grams are counted in Spark, lower orders by marginalising; weights are made order by order through joins. A text is traversed
+from left to right, its state being its last five bytes, and adds up the log10 weights of the arcs that it takes. The arcs with the largest counts,
+at most ``frequent_arcs`` of them, go to the workers as a sorted array; what else a text takes is joined with
+the tables, where an arc that is not there is reached through failure arcs, one order at a time. The size of the array changes
+no result.
 
 Word counts are exact over the training part. Words with large counts, at most ``frequent_words`` of them, go to the
 workers as a table; the other words of each text are joined with the counts.
 
 Defined results: null text is empty (one token, the end); rows with null doc_id are neither held out nor learned from
 (held_out null); repeated rows are scored each; an empty table gives an empty result; with nothing to learn from all
-tokens are unknown; other columns are ignored.
+tokens are unknown and all bytes alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,27 +25,21 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import built_once, checkpointed, crc_mod, new_key, row_slices
 
 ORDER = 6
-#: Classes: 0 other, 1 end (and start), 2 space, then the ALPHABET most frequent characters.
-ALPHABET = 61
-CLASSES = ALPHABET + 3
-OTHER, END, SPACE = 0, 1, 2
-MAX_STATES = 60_000
-FREQUENT_WORDS = 100_000
-UNICODE = 0x110000
-END_WORD = b"\n"  # never a word
+#: Arcs and words that workers hold; the rest is joined.
+FREQUENT_ARCS, FREQUENT_WORDS = 2_000_000, 100_000
+MARK = b"\n"
+END_WORD = MARK  # never a word
 STRETCH = 2_000_000
-PIECE = 512
 
 
 def normalised(text: str | None) -> tuple[list[bytes], bytes]:
@@ -51,17 +48,33 @@ def normalised(text: str | None) -> tuple[list[bytes], bytes]:
     return words, b" ".join(words)
 
 
-def code_points(joined: bytes) -> np.ndarray:
-    return np.frombuffer(joined.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype="<u4")
-
-
-def class_table(alphabet: list[int]) -> np.ndarray:
-    """Class by code point."""
-    table = np.zeros(UNICODE, dtype=np.uint8)
-    table[32] = SPACE
-    for i, c in enumerate(alphabet):
-        table[c] = SPACE + 1 + i
-    return table
+def stretches(lines: list[bytes], order: int = ORDER, size: int = STRETCH) -> Iterator[list[tuple[int, bytes]]]:
+    """Groups of (number of the line, bytes): each line between its marks, a long one in pieces that begin with the state
+    in which the piece before ends."""
+    group, held = [], 0
+    for i, line in enumerate(lines):
+        line = MARK * (order - 1) + line + MARK
+        for at in range(0, len(line) - order + 1, size):
+            group.append((i, line[at : at + size + order - 1]))
+            held += len(group[-1][1])
+            if held >= size:
+                yield group
+                group, held = [], 0
+    if group:
+        yield group
+
+
+def arcs_taken(group: list[tuple[int, bytes]], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the line, and the n-gram as a number, of each arc that the pieces take; the last byte is the lowest."""
+    line = np.frombuffer(b"".join(p for _, p in group), dtype=np.uint8)
+    code = np.zeros(len(line) - order + 1, dtype=np.int64)
+    for k in range(order):
+        code = code << 8 | line[k : len(line) - order + 1 + k]
+    sizes = np.array([len(p) for _, p in group])
+    whole = np.ones(len(code), dtype=bool)
+    for k in range(1, order):  # what runs over a piece's end into the next one
+        whole[np.cumsum(sizes)[:-1] - k] = False
+    return np.repeat([i for i, _ in group], sizes - order + 1), code[whole]
 
 
 def merge_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,75 +104,35 @@ def count_words(docs: DataFrame, flush: int = 400_000) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def learn_alphabet(words: DataFrame, size: int = ALPHABET) -> list[int]:
-    """The most frequent code points of the counted words, ties by code point."""
+def count_ngrams(docs: DataFrame, order: int = ORDER, flush: int = 3_000_000) -> DataFrame:
+    """(code, n): the n-grams of ``docs`` (text) and how often each is taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if word != END_WORD:
-                    for c in word.decode("utf-8", "surrogatepass"):
-                        total[ord(c)] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["c", "n"])
-
-    counts = words.select("word", "n").mapInArrow(run, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    return [r["c"] for r in counts.orderBy(F.desc("n"), "c").limit(size).collect()]
-
+        total = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        held, size = [], 0
 
-def count_ngrams(docs: DataFrame, alphabet: list[int], order: int = ORDER) -> DataFrame:
-    """(code, n): n-grams of classes as base-CLASSES numbers, the last class lowest; start marks fill the first contexts."""
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            now = total
+            for group in stretches(held, order):
+                kinds, counts = np.unique(arcs_taken(group, order)[1], return_counts=True)
+                now = merge_counts(now, (kinds, counts.astype(np.int64)))
+            return now
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = class_table(alphabet)
-
-        def grams(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            line = np.concatenate(parts)
-            code = np.zeros(len(line) - order + 1, dtype=np.int64)
-            for k in range(order):
-                code = code * CLASSES + line[k : len(line) - order + 1 + k]
-            # windows that run over a text's end into the next text's start
-            ends = np.cumsum([len(p) for p in parts])[:-1]
-            whole = np.ones(len(code), dtype=bool)
-            for k in range(1, order):
-                whole[ends - k] = False
-            kinds, counts = np.unique(code[whole], return_counts=True)
-            return kinds, counts.astype(np.int64)
-
-        pad = np.full(order - 1, END, dtype=np.int64)
-        total = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-        parts, waiting = [], 0
         for batch in row_slices(batches, 128):
             for text in batch.column(0).to_pylist():
-                parts.append(np.concatenate([pad, table[code_points(normalised(text)[1])], [END]]))
-                waiting += len(parts[-1])
-                if waiting > STRETCH:
-                    total, parts, waiting = merge_counts(total, grams(parts)), [], 0
-            if len(total[0]) > 1_500_000:
+                held.append(normalised(text)[1])
+                size += len(held[-1])
+            if size > STRETCH:
+                total, held, size = merged(), [], 0
+            if len(total[0]) > flush:
                 yield pa.RecordBatch.from_arrays([pa.array(total[0]), pa.array(total[1])], names=["code", "n"])
                 total = (total[0][:0], total[1][:0])
-        if parts:
-            total = merge_counts(total, grams(parts))
+        total = merged()
         yield pa.RecordBatch.from_arrays([pa.array(total[0]), pa.array(total[1])], names=["code", "n"])
 
     return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Automaton:
-    """``step[state, class]`` is the next state, ``weight[state, class]`` the log10 probability of the class there."""
-
-    alphabet: list[int]
-    step: np.ndarray
-    weight: np.ndarray
-    start: int
-
-    @property
-    def other_cost(self) -> float:
-        """log10 of the share of one code point in the class of those outside the alphabet."""
-        return -math.log10(UNICODE - len(self.alphabet) - 1)
-
-
 def least_size(sizes: dict[int, int], room: int) -> int:
     """The least count, a power of two, that at most ``room`` of the things counted reach. sizes: number of them by floor(log2(count))."""
     least = 62
@@ -171,119 +144,79 @@ def least_size(sizes: dict[int, int], room: int) -> int:
     return 2**least
 
 
-def kept_ngrams(grams: DataFrame, order: int = ORDER, max_states: int = MAX_STATES) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By n-gram length, the n-grams (codes, counts) whose context is kept: at most ``max_states`` contexts in all.
+def frequent_rows(rows: DataFrame, size: int) -> DataFrame:
+    """The rows whose count ``n`` is at least the least power of two that at most ``size`` rows reach."""
+    by_size = rows.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).agg(F.count("*").alias("rows")).collect()  # at most 63
+    return rows.where(F.col("n") >= F.lit(least_size({r["size"]: r["rows"] for r in by_size}, size)).cast("long"))
+
 
-    One least count holds for contexts of all lengths, so with a context each of its prefixes is kept.
-    """
-    tables = {order: grams}
+def _suffix(code: Column, k: int) -> Column:
+    return code.bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long"))
+
+
+def automaton(grams: DataFrame, order: int = ORDER) -> tuple[dict[int, DataFrame], dict[int, DataFrame]]:
+    """By n-gram length k: arcs (code, n, chance), and states (context, backoff) of k - 1 bytes. ``grams``: code, n."""
+    counts, arcs, states = {order: grams}, {}, {}
     for k in range(order - 1, 0, -1):
-        tables[k] = checkpointed(tables[k + 1].groupBy(F.expr(f"code % {CLASSES**k}").alias("code")).agg(F.sum("n").alias("n")))
-    log2 = F.floor(F.log2("total")).cast("int").alias("size")
-    contexts, sizes = {}, Counter()
-    for k in range(2, order + 1):
-        contexts[k] = tables[k].groupBy(F.expr(f"code div {CLASSES}").alias("context")).agg(F.sum("n").alias("total"))
-        for r in contexts[k].groupBy(log2).agg(F.count("*").alias("contexts")).collect():  # at most 63 rows
-            sizes[r["size"]] += r["contexts"]
-    least = least_size(sizes, max_states)
-    out = {}
-    for k, rows in tables.items():
-        if k > 1:
-            often = contexts[k].where(F.col("total") >= F.lit(least).cast("long")).select("context")
-            rows = rows.withColumn("context", F.expr(f"code div {CLASSES}")).join(often, "context", "left_semi")
-        kept = rows.select("code", "n").toPandas()  # at most CLASSES rows for each kept context
-        at = np.argsort(kept["code"].to_numpy(dtype=np.int64))
-        out[k] = kept["code"].to_numpy(dtype=np.int64)[at], kept["n"].to_numpy(dtype=np.int64)[at]
-    return out
-
-
-def compile_automaton(alphabet: list[int], grams: dict[int, tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> Automaton:
-    """States are the contexts of the kept n-grams; a context's failure arc leads to its longest kept proper suffix."""
-    contexts = {k: np.unique(grams[k][0] // CLASSES) if k > 1 else np.zeros(1, dtype=np.int64) for k in range(1, order + 1)}
-    first, n = {}, 0
+        counts[k] = checkpointed(counts[k + 1].groupBy(_suffix(F.col("code"), k).alias("code")).agg(F.sum("n").alias("n")))
     for k in range(1, order + 1):
-        first[k] = n
-        n += len(contexts[k])
-
-    def find(codes: np.ndarray, length: int) -> np.ndarray:
-        """State of each context of ``length`` classes, or of its longest kept suffix."""
-        state = np.full(len(codes), -1, dtype=np.int64)
-        for k in range(length, -1, -1):
-            own = contexts[k + 1]
-            suffix = codes % CLASSES**k
-            at = np.minimum(np.searchsorted(own, suffix), max(len(own) - 1, 0))
-            hit = (state < 0) & (own[at] == suffix) if len(own) else np.zeros(len(codes), dtype=bool)
-            state[hit] = first[k + 1] + at[hit]
-        return state
-
-    chance = np.zeros((n, CLASSES), dtype=np.float64)
-    step = np.zeros((n, CLASSES), dtype=np.int32)
-    classes = np.arange(CLASSES, dtype=np.int64)
-    for k in range(1, order + 1):
-        codes, counts = grams[k]
-        rows = np.searchsorted(contexts[k], codes // CLASSES) if k > 1 else np.zeros(len(codes), dtype=np.int64)
-        seen = np.zeros((len(contexts[k]), CLASSES))
-        seen[rows, codes % CLASSES] = counts
-        total, kinds = seen.sum(axis=1), (seen > 0).sum(axis=1)
-        below = np.full((1, CLASSES), 1 / CLASSES) if k == 1 else chance[find(contexts[k] % CLASSES ** (k - 2), k - 2)]
-        backoff = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-        known = seen / np.maximum(total + kinds, 1)[:, None]
-        chance[first[k] : first[k] + len(contexts[k])] = known + backoff[:, None] * below
-        if len(contexts[k]):
-            following = (contexts[k][:, None] * CLASSES + classes).ravel()
-            length = min(k, order - 1)
-            step[first[k] : first[k] + len(contexts[k])] = find(following % CLASSES**length, length).reshape(-1, CLASSES)
-    start = find(np.array([sum(END * CLASSES**i for i in range(order - 1))]), order - 1)[0]
-    return Automaton(alphabet, step, np.log10(chance).astype(np.float32), int(start))
-
-
-def traverse(automaton: Automaton, texts: list[np.ndarray], order: int = ORDER, piece: int = PIECE) -> np.ndarray:
-    """log10 probability of each text, given as classes; the end mark is added.
-
-    Texts are traversed side by side in pieces. A state depends on the last order - 1 classes alone, so a later
-    piece first reads these from its predecessor, without weights.
-    """
-    line = np.concatenate([x for t in texts for x in (t, (END,))]).astype(np.int64)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    starts = ends - [len(t) + 1 for t in texts]
-    cuts = -(-(ends - starts) // piece)
-    text = np.repeat(np.arange(len(texts)), cuts)
-    at = np.arange(len(text)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-    begins = starts[text] + at * piece
-    lengths = np.minimum(begins + piece, ends[text]) - begins
-    step, weight = automaton.step.ravel(), automaton.weight.ravel()
-    state = np.where(at == 0, automaton.start, 0).astype(np.int64)
-    later = np.flatnonzero(at)
-    for k in range(order - 1, 0, -1):
-        state[later] = step[state[later] * CLASSES + line[begins[later] - k]]
-    by_length = np.argsort(-lengths, kind="stable")
-    state, begins, lengths = state[by_length], begins[by_length], lengths[by_length]
-    score = np.zeros(len(text))
-    running = len(text)
-    for k in range(int(lengths[0])):
-        while lengths[running - 1] <= k:
-            running -= 1
-        arc = state[:running] * CLASSES + line[begins[:running] + k]
-        score[:running] += weight[arc]
-        state[:running] = step[arc]
-    return np.bincount(text[by_length], score, len(texts))
+        rows = counts[k].withColumn("context", F.shiftright("code", 8))
+        totals = rows.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        states[k] = checkpointed(totals.select("context", "total", (F.col("kinds") / (F.col("total") + F.col("kinds"))).alias("backoff")))
+        rows = rows.join(states[k], "context").withColumn("shorter", _suffix(F.col("code"), k - 1) if k > 1 else F.lit(0).cast("long"))
+        if k > 1:
+            rows = rows.join(arcs[k - 1].select(F.col("code").alias("shorter"), F.col("chance").alias("below")), "shorter")
+        else:
+            rows = rows.withColumn("below", F.lit(1 / 256))
+        # n / (total + kinds), as 1 - backoff is total / (total + kinds)
+        arcs[k] = checkpointed(rows.select("code", "n", (F.col("n") / F.col("total") * (1 - F.col("backoff")) + F.col("backoff") * F.col("below")).alias("chance")))
+    return arcs, states
+
+
+def arc_weights(codes: DataFrame, arcs: dict[int, DataFrame], states: dict[int, DataFrame]) -> DataFrame:
+    """(code, weight): log10 weights of the distinct n-grams ``codes``, through failure arcs where the automaton lacks one."""
+    left, found = codes.select("code", F.lit(0.0).alias("so_far")), None
+    for k in range(max(arcs), 0, -1):
+        left = left.withColumn("at", _suffix(F.col("code"), k)).withColumn("context", F.shiftright("at", 8))
+        tried = left.join(arcs[k].select(F.col("code").alias("at"), "chance"), "at", "left").join(states[k].select("context", "backoff"), "context", "left")
+        tried = checkpointed(tried.select("code", "so_far", "chance", "backoff"))
+        hit = tried.where(F.col("chance").isNotNull()).select("code", (F.col("so_far") + F.log10("chance")).alias("weight"))
+        found = hit if found is None else found.unionByName(hit)
+        left = tried.where(F.col("chance").isNull()).select("code", (F.col("so_far") + F.coalesce(F.log10("backoff"), F.lit(0.0))).alias("so_far"))
+    return found.unionByName(left.select("code", (F.col("so_far") - math.log10(256)).alias("weight")))
+
+
+def traverse(lines: list[bytes], codes: np.ndarray, weights: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    """log10 weight of the arcs of each line that are in ``codes`` (ascending), and the others with how often each is taken."""
+    score, rest = np.zeros(len(lines)), [[] for _ in lines]
+    for group in stretches(lines, order):
+        owner, taken = arcs_taken(group, order)
+        kinds, inverse = np.unique(taken, return_inverse=True)
+        at = np.minimum(np.searchsorted(codes, kinds), max(len(codes) - 1, 0))
+        known = codes[at] == kinds if len(codes) else np.zeros(len(kinds), dtype=bool)
+        weight = np.zeros(len(kinds))
+        weight[known] = weights[at[known]]
+        score += np.bincount(owner, weight[inverse], len(lines))
+        other = ~known[inverse]
+        pairs, counts = np.unique(np.stack([owner[other], taken[other]]), axis=1, return_counts=True)
+        for i, code, n in zip(*pairs.tolist(), counts.tolist(), strict=True):
+            rest[i].append((code, n))
+    return score, rest
 
 
 class Scorer:
-    """Scores texts in a worker: automaton traversal, and the base figures of the frequent words."""
+    """Scores texts in a worker: arcs of the automaton, and the base figures of the frequent words."""
 
-    def __init__(self, automaton: Automaton, frequent: dict[bytes, int], n_tokens: int, n_kinds: int) -> None:
-        self.automaton, self.frequent = automaton, frequent
-        self.table = class_table(automaton.alphabet)
-        self.costs = base_cost(frequent, n_tokens, n_kinds)
+    def __init__(self, codes: np.ndarray, weights: np.ndarray, frequent: dict[bytes, int], n_tokens: int, n_kinds: int, order: int) -> None:
+        self.codes, self.weights, self.order = codes, weights, order
+        self.costs = {w: math.log10((c + 0.5) / (n_tokens + 0.5 * (n_kinds + 1))) for w, c in frequent.items()}
 
-    def score(self, texts: list[str | None]) -> list[tuple[int, int, float, float, list[tuple[bytes, int]]]]:
-        """(n_tokens, known frequent tokens, their base score, model score, other words with counts) of each text."""
-        figures, lines, others = [], [], []
+    def score(self, texts: list[str | None]) -> list[tuple[int, int, float, float, list[tuple[bytes, int]], list[tuple[int, int]]]]:
+        """(n_tokens, known frequent tokens, their base score, score of frequent arcs, other words, other arcs) of each text."""
+        figures, lines = [], []
         for text in texts:
             words, joined = normalised(text)
-            lines.append(self.table[code_points(joined)])
-            others.append(int(np.count_nonzero(lines[-1] == OTHER)))
+            lines.append(joined)
             counts = Counter(words)
             counts[END_WORD] += 1
             known, base, rare = 0, 0.0, []
@@ -295,68 +228,58 @@ class Scorer:
                     known += c
                     base += c * cost
             figures.append((len(words) + 1, known, base, rare))
-        scores = traverse(self.automaton, lines)
-        extra = self.automaton.other_cost
-        return [(n, k, b, float(s) + o * extra, r) for (n, k, b, r), s, o in zip(figures, scores, others, strict=True)]
+        scores, rest = traverse(lines, self.codes, self.weights, self.order)
+        return [(n, k, b, float(s), w, r) for (n, k, b, w), s, r in zip(figures, scores, rest, strict=True)]
 
 
-def base_cost(counts: dict[bytes, int], n_tokens: int, n_kinds: int) -> dict[bytes, float]:
-    return {w: math.log10((c + 0.5) / (n_tokens + 0.5 * (n_kinds + 1))) for w, c in counts.items()}
-
-
-def frequent_table(words: DataFrame, size: int = FREQUENT_WORDS) -> dict[bytes, int]:
-    """The words whose count is at least the least power of two that at most ``size`` words reach."""
-    by_size = words.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).agg(F.count("*").alias("words")).collect()
-    least = least_size({r["size"]: r["words"] for r in by_size}, size)
-    rows = words.where(F.col("n") >= F.lit(least).cast("long")).toPandas()
-    return dict(zip(map(bytes, rows["word"]), rows["n"].tolist(), strict=True))
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, max_states: int = MAX_STATES, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, frequent_arcs: int = FREQUENT_ARCS, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each input row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    held_out = crc_mod("doc_id") == 1
-    training = rows.where(~held_out)
+    training = rows.where(crc_mod("doc_id") != 1)
     words = checkpointed(count_words(training))
     n_tokens, n_kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    alphabet = learn_alphabet(words)
-    grams = checkpointed(count_ngrams(training, alphabet, order))
-    automaton = compile_automaton(alphabet, kept_ngrams(grams, order, max_states), order)
-    frequent = frequent_table(words, frequent_words)
-    shared, key = spark.sparkContext.broadcast((automaton, frequent)), new_key()
-    rare_kind = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("c", T.LongType())]))
+    arcs, states = automaton(checkpointed(count_ngrams(training, order)), order)
+    held = frequent_rows(arcs[order], frequent_arcs).select("code", F.log10("chance").alias("weight")).toPandas()
+    held = held.astype({"code": "int64", "weight": "float64"}).sort_values("code")
+    frequent = frequent_rows(words, frequent_words).toPandas()
+    frequent = dict(zip(map(bytes, frequent["word"]), frequent["n"].tolist(), strict=True))
+    shared, key = spark.sparkContext.broadcast((held["code"].to_numpy(), held["weight"].to_numpy(), frequent)), new_key()
+
+    def listed(name: str, kind: T.DataType) -> T.StructField:
+        return T.StructField(name, T.ArrayType(T.StructType([T.StructField("what", kind), T.StructField("c", T.LongType())])))
+
     schema = T.StructType(
         [T.StructField(n, T.LongType()) for n in ("doc_id", "row", "n_tokens", "known")]
-        + [T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", rare_kind)]
+        + [T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), listed("words", T.BinaryType()), listed("arcs", T.LongType())]
     )
-    arrow_rare = pa.list_(pa.struct([("word", pa.binary()), ("c", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        scorer = built_once("lm", key, lambda: Scorer(*shared.value, n_tokens, n_kinds))
+        scorer = built_once("lm", key, lambda: Scorer(*shared.value, n_tokens, n_kinds, order))
         row = TaskContext.get().partitionId() << 40
-        for batch in row_slices(batches, 1024):
-            found = scorer.score(batch.column(1).to_pylist())
-            n, known, base, score, rare = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(range(row, row + len(n)), pa.int64()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()),
-                 pa.array([[{"word": w, "c": c} for w, c in r] for r in rare], arrow_rare)],
-                names=schema.names,
-            )
+        for batch in row_slices(batches, 512):
+            n, known, base, score, *others = zip(*scorer.score(batch.column(1).to_pylist()), strict=True)
+            lists = [pa.array([[{"what": w, "c": c} for w, c in r] for r in o], pa.list_(pa.struct([("what", k), ("c", pa.int64())]))) for o, k in zip(others, (pa.binary(), pa.int64()), strict=True)]
+            columns = [pa.array(range(row, row + len(n)), pa.int64()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *lists], names=schema.names)
             row += len(n)
 
     scored = checkpointed(rows.mapInArrow(run, schema))
     floor = math.log10(0.5 / (n_tokens + 0.5 * (n_kinds + 1)))
-    cost = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(n_tokens + 0.5 * (n_kinds + 1)))
-    looked_up = scored.select("row", F.inline("rare")).join(words, "word").select("row", "c", (F.col("c") * (cost - F.lit(floor))).alias("gain"))
-    gains = looked_up.groupBy("row").agg(F.sum("c").alias("more"), F.sum("gain").alias("gain"))
+    cost = F.log10((F.col("n") + 0.5) / F.lit(n_tokens + 0.5 * (n_kinds + 1)))
+    rare = scored.select("row", F.inline("words")).join(words.withColumnRenamed("word", "what"), "what")
+    rare = rare.select("row", F.col("c").alias("more"), (F.col("c") * (cost - F.lit(floor))).alias("gain"), F.lit(0.0).alias("weight"))
+    other = scored.select("row", F.inline("arcs")).withColumnRenamed("what", "code")
+    weights = arc_weights(other.select("code").distinct(), arcs, states)
+    other = other.join(weights, "code").select("row", F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("gain"), (F.col("c") * F.col("weight")).alias("weight"))
+    gains = rare.unionByName(other).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more", "gain", "weight")])
     out = scored.select("doc_id", "row", "n_tokens", "known", "base", "score").join(gains, "row", "left")
-    more = F.coalesce("more", F.lit(0))
-    unknown = F.col("n_tokens") - F.col("known")
+    nothing = F.lit(0.0)
     return out.select(
-        "doc_id", (crc_mod("doc_id") == 1).alias("held_out"), "n_tokens", (F.col("known") + more).alias("n_known"),
+        "doc_id", (crc_mod("doc_id") == 1).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + unknown * F.lit(floor) + F.coalesce("gain", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + (F.col("n_tokens") - F.col("known")) * F.lit(floor) + F.coalesce("gain", nothing)).alias("base_score"),
+        (F.col("score") + F.coalesce("weight", nothing)).alias("score"),
     )

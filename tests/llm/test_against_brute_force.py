@@ -237,36 +237,41 @@ def test_lm_base_scores_and_probabilities(spark, documents):
     assert sum(got[i].score for i in held) > 0.9 * sum(shorter[i] for i in held)
 
 
-def test_lm_automaton_against_direct_backoff(spark):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["abra cadabra", "abra", "cab bar", "a b", "", "abacus bar"])], "doc_id long, text string")
-    alphabet = lm.learn_alphabet(lm.count_words(docs))
-    grams = lm.kept_ngrams(lm.count_ngrams(docs, alphabet))
-    automaton = lm.compile_automaton(alphabet, grams)
-    assert np.allclose((10.0 ** automaton.weight.astype(float)).sum(axis=1), 1, atol=1e-5)
-    kept = {k: dict(zip(c.tolist(), n.tolist(), strict=True)) for k, (c, n) in grams.items()}
+@pytest.mark.parametrize("frequent_arcs", [0, 40, 10**6])
+def test_lm_automaton_against_direct_backoff(spark, frequent_arcs):
+    texts = ["abra cadabra", "abra", "cab bar", "a b", "", None, "abacus bar", "zzz Cab é", "cadabra " * 200, "日本"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    learned = [lm.normalised(t)[1] for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = {k: Counter() for k in range(1, 7)}
+    for line in learned:
+        line = b"\n" * 5 + line + b"\n"
+        for i in range(5, len(line)):
+            for k in counts:
+                counts[k][line[i - k + 1 : i + 1]] += 1
 
     def chance(context, c):
-        """Interpolated Witten-Bell over the kept contexts."""
-        if len(context) == 0:
-            below, table, code = 1 / lm.CLASSES, kept[1], 0
-        else:
-            code = 0
-            for x in context:
-                code = code * lm.CLASSES + x
-            below, table = chance(context[1:], c), kept[len(context) + 1]
-        seen = {k: table[code * lm.CLASSES + k] for k in range(lm.CLASSES) if code * lm.CLASSES + k in table}
-        total, kinds = sum(seen.values()), len(seen)
-        return below if not total else (seen.get(c, 0) + kinds * below) / (total + kinds)
-
-    table = lm.class_table(alphabet)
-    for text in ("abra bar", "zzz cab", "", "cadabra " * 200):
-        classes = table[lm.code_points(lm.normalised(text)[1])]
-        line, want = [lm.END] * 5, 0.0
-        for c in [*classes.tolist(), lm.END]:
-            want += math.log10(chance(line[-5:], c))
-            line.append(c)
-        for piece in (512, 7):
-            assert lm.traverse(automaton, [classes], piece=piece)[0] == pytest.approx(want, rel=1e-4)
+        """Interpolated Witten-Bell over all contexts."""
+        below = chance(context[1:], c) if context else 1 / 256
+        seen = [n for g, n in counts[len(context) + 1].items() if g[:-1] == context]
+        return below if not seen else (counts[len(context) + 1][context + c] + len(seen) * below) / (sum(seen) + len(seen))
+
+    assert sum(chance(b"abra ", bytes([c])) for c in range(256)) == pytest.approx(1)
+    got = {r.doc_id: r.score for r in lm.score_documents(docs, frequent_arcs=frequent_arcs).collect()}
+    memory = {}
+    for i, t in enumerate(texts):
+        line, want = b"\n" * 5 + lm.normalised(t)[1] + b"\n", 0.0
+        for k in range(5, len(line)):
+            g = line[k - 5 : k + 1]
+            memory[g] = memory.get(g) or math.log10(chance(g[:-1], g[-1:]))
+            want += memory[g]
+        assert got[i] == pytest.approx(want, rel=1e-9)
+
+
+def test_lm_pieces_carry_the_state():
+    lines = [b"abra cadabra", b"", b"cab " * 30, b"x"]
+    whole = sorted(zip(*map(np.ndarray.tolist, lm.arcs_taken(next(lm.stretches(lines))))))
+    for size in (1, 7, 50):
+        assert sorted(p for g in lm.stretches(lines, size=size) for p in zip(*map(np.ndarray.tolist, lm.arcs_taken(g)))) == whole
 
 
 def plain_base_spans(text):

@@ -240,11 +240,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = checkpointed(count_words(training))
     n_tokens, n_kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     arcs, states = automaton(checkpointed(count_ngrams(training, order)), order)
-    held = frequent_rows(arcs[order], frequent_arcs).select("code", F.log10("chance").alias("weight")).toPandas()
-    held = held.astype({"code": "int64", "weight": "float64"}).sort_values("code")
-    frequent = frequent_rows(words, frequent_words).toPandas()
-    frequent = dict(zip(map(bytes, frequent["word"]), frequent["n"].tolist(), strict=True))
+    # as Arrow columns: rows as Python objects would take ten times the driver's memory
+    held = frequent_rows(arcs[order], frequent_arcs).select("code", F.log10("chance").alias("weight")).toArrow().sort_by("code")
+    frequent = frequent_rows(words, frequent_words).select("word", "n").toArrow()
+    frequent = dict(zip(frequent["word"].to_pylist(), frequent["n"].to_pylist(), strict=True))
     shared, key = spark.sparkContext.broadcast((held["code"].to_numpy(), held["weight"].to_numpy(), frequent)), new_key()
+    del held, frequent
 
     def listed(name: str, kind: T.DataType) -> T.StructField:
         return T.StructField(name, T.ArrayType(T.StructType([T.StructField("what", kind), T.StructField("c", T.LongType())])))

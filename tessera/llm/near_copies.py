@@ -13,9 +13,9 @@ bits that holds for each bit whether an odd number of shingle hashes falls on it
 that differ in d bits at most, and at a similarity of s two sets of p and q shingles differ in (1 - s) / (1 + s) * (p + q) at most.
 
 Postings longer than ``long_posting`` (texts that share much boilerplate, large groups of copies) first link their members
-to one head each, then to the member with most links so far. What is left apart, members outside a posting's largest
-component, is met with all members of other components, in tiles of ``TILE`` members, twice: first each gets its likeliest
-partner, then every pair is verified whose ends are still in different components. So each pair that shares a posting and
+to a few of their heads. What is left apart, members outside a posting's largest component, is met with all members of other
+components, in tiles of ``TILE`` members, and every pair is verified whose ends are in different components; where
+these are many, each member is verified with its likeliest partner first. So each pair that shares a posting and
 reaches the tally is verified or already connected, and components are those of all pairs.
 
 Defined results: texts of equal shingle sets, repeated rows among them, are one class (``set_key``); a null text or one
@@ -26,12 +26,11 @@ an empty table gives no links; only the two named columns of ``docs`` are read,
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpointed, row_slices
@@ -44,6 +43,10 @@ CHOSEN = 4
 LEAST_TALLY = 38
 #: Members of a crowded posting that one tile meets with those apart.
 TILE = 512
+#: Heads of a crowded posting, and how many of them a member is verified with.
+HEADS, PARTNERS = 16, 3
+#: Pairs left for each member of crowded postings that are verified without meeting likeliest partners first.
+MANY = 64
 #: Shingle sets of each side of a tile that one task verifies at a time.
 TILE_SETS = 256
 BITS = 1024
@@ -182,11 +185,16 @@ def verified_in_tiles(pairs: DataFrame, sets: DataFrame, similarity: float) -> D
     return placed.groupBy("i", "j").cogroup(needed.groupBy("k", "l")).applyInArrow(run, "a long, b long")
 
 
-def _star(long: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of each posting's head (a row of a class) and those of its other members that are likely near to it."""
-    member = long.alias("x").join(heads.select("key", "head.*").alias("y"), F.col("x.key") == F.col("y.key")).where(F.col("x.set_key") != F.col("y.set_key"))
-    ends = F.col("x.set_key"), F.col("y.set_key")
-    return member.where(likely("x", "y", similarity)).select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
+def _star(long: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each member of a crowded posting with those ``PARTNERS`` of its postings' heads that it agrees with most. Heads
+    are the ``HEADS`` members of a posting with the least hashes."""
+    by_hash = Window.partitionBy("key").orderBy(F.xxhash64("set_key"), "set_key")
+    heads = long.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= HEADS).drop("place")
+    met = long.alias("x").join(heads.alias("y"), F.col("x.key") == F.col("y.key")).where(F.col("x.set_key") != F.col("y.set_key"))
+    near = met.where(likely("x", "y", similarity)).select(F.col("x.set_key").alias("set_key"), F.struct(tally("x", "y").alias("t"), F.col("y.set_key").alias("head")).alias("p"))
+    best = near.groupBy("set_key").agg(F.slice(F.sort_array(F.collect_set("p"), asc=False), 1, PARTNERS).alias("best"))  # of HEADS for each of its 16 postings
+    pair = best.select("set_key", F.explode("best.head").alias("head"))
+    return pair.select(F.least("set_key", "head").alias("a"), F.greatest("set_key", "head").alias("b"))
 
 
 def _crossing(long: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
@@ -217,19 +225,21 @@ def near_links(
     long = shared.where(F.col("n") > long_posting)
     named = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).unionByName(long.select("set_key")).distinct()
     sets = _sets(named, classes, docs, id_col, text_col, shingle)
-    check = partial(verified, sets=sets, similarity=similarity)
     if long.isEmpty():
-        return check(pairs)
-    row = F.struct("set_key", *CLASS)
-    heads = long.groupBy("key").agg(F.min_by(row, "set_key").alias("head"))
-    edges = checkpointed(check(pairs.unionByName(_star(long, heads, similarity)).distinct()))
-    degrees = edges.select(F.explode(F.array("a", "b")).alias("set_key")).groupBy("set_key").agg(F.count("*").alias("degree"))
-    hubs = long.join(degrees, "set_key").groupBy("key").agg(F.max_by(row, F.struct("degree", "set_key")).alias("head"))
-    edges = checkpointed(edges.unionByName(check(_star(long, hubs, similarity).join(edges, ["a", "b"], "left_anti"))))
-    likeliest = _crossing(long, edges, similarity).groupBy("a").agg(F.max_by("b", F.struct("t", "b")).alias("b"))
-    likeliest = checkpointed(likeliest.select("a", "b"))
-    if likeliest.isEmpty():
+        return verified(pairs, sets, similarity)
+    edges = checkpointed(verified(pairs.unionByName(_star(long, similarity)).distinct(), sets, similarity))
+    members = long.count()
+    while True:
+        crossing = _crossing(long, edges, similarity)
+        likeliest = checkpointed(crossing.groupBy("a").agg(F.max_by("b", F.struct("t", "b")).alias("b"), F.count("*").alias("n")))
+        left = likeliest.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if left <= MANY * members:
+            break
+        # each member's likeliest partner first: what that joins need not be met
+        joined = checkpointed(verified(likeliest.select("a", "b"), sets, similarity))
+        if joined.isEmpty():
+            break
+        edges = edges.unionByName(joined)
+    if not left:
         return edges
-    edges = checkpointed(edges.unionByName(check(likeliest)))
-    rest = _crossing(long, edges, similarity).select("a", "b").distinct().join(likeliest, ["a", "b"], "left_anti")
-    return edges.unionByName(verified_in_tiles(rest, sets, similarity))
+    return edges.unionByName(verified_in_tiles(crossing.select("a", "b").distinct(), sets, similarity))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, row_slices
+from tessera.llm.common import compact, row_slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -134,7 +134,7 @@ def _met(rows: DataFrame, similarity: float) -> DataFrame:
 def _shared(index: DataFrame, classes: DataFrame) -> DataFrame:
     """(set_key, key, n, and the columns of ``CLASS``): rows of the index whose posting has n > 1 members."""
     sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return checkpointed(index.join(sizes, "key").join(classes.select("set_key", *CLASS), "set_key"))
+    return compact(index.join(sizes, "key").join(classes.select("set_key", *CLASS), "set_key"))
 
 
 def _sets(named: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -148,7 +148,7 @@ def _sets(named: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, te
             sets = [shingle_set(t, shingle).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["set_key", "members"])
 
-    return checkpointed(texts.mapInArrow(run, "set_key long, members array<long>").dropDuplicates(["set_key"]))
+    return compact(texts.mapInArrow(run, "set_key long, members array<long>").dropDuplicates(["set_key"]), 5_000)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -162,7 +162,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def verified_in_tiles(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """As ``verified``, for many pairs among few classes: a set is moved once for each tile of classes, not for each pair."""
-    pairs = checkpointed(pairs)
+    pairs = compact(pairs)
     named = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
     sides = named.count() // TILE_SETS + 1
     tile = [F.pmod(F.xxhash64(c), F.lit(sides)).alias(t) for c, t in (("a", "i"), ("b", "j"))]
@@ -203,7 +203,7 @@ def _crossing(long: DataFrame, edges: DataFrame, similarity: float) -> DataFrame
     from tessera.llm.simhash import components  # which imports this module
 
     roots = components(edges).withColumnRenamed("node", "set_key")
-    rooted = checkpointed(long.join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key")))
+    rooted = compact(long.join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key")))
     parts = rooted.groupBy("key", "root").agg(F.count("*").alias("size"))
     main = parts.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     mixed = rooted.join(main, "key").withColumn("tiles", (F.col("n") / TILE).cast("int") + 1)
@@ -221,22 +221,22 @@ def near_links(
 ) -> DataFrame:
     """(a, b): links between classes that connect the near copies of ``docs``; ``classes`` has one row for each, with the columns of ``sketches``."""
     shared = _shared(classes.select("set_key", F.explode(F.array(*KEYS)).alias("key")), classes)
-    pairs = checkpointed(_met(shared.where(F.col("n") <= long_posting), similarity))
+    pairs = compact(_met(shared.where(F.col("n") <= long_posting), similarity))
     long = shared.where(F.col("n") > long_posting)
     named = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).unionByName(long.select("set_key")).distinct()
     sets = _sets(named, classes, docs, id_col, text_col, shingle)
     if long.isEmpty():
         return verified(pairs, sets, similarity)
-    edges = checkpointed(verified(pairs.unionByName(_star(long, similarity)).distinct(), sets, similarity))
+    edges = compact(verified(pairs.unionByName(_star(long, similarity)).distinct(), sets, similarity))
     members = long.count()
     while True:
         crossing = _crossing(long, edges, similarity)
-        likeliest = checkpointed(crossing.groupBy("a").agg(F.max_by("b", F.struct("t", "b")).alias("b"), F.count("*").alias("n")))
+        likeliest = compact(crossing.groupBy("a").agg(F.max_by("b", F.struct("t", "b")).alias("b"), F.count("*").alias("n")))
         left = likeliest.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if left <= MANY * members:
             break
         # each member's likeliest partner first: what that joins need not be met
-        joined = checkpointed(verified(likeliest.select("a", "b"), sets, similarity))
+        joined = compact(verified(likeliest.select("a", "b"), sets, similarity))
         if joined.isEmpty():
             break
         edges = edges.unionByName(joined)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, fresh_names, row_slices
+from tessera.llm.common import ROWS_A_TASK, checkpointed, compact, fresh_names, row_slices
 from tessera.llm.near_copies import CLASS, KEYS, near_links, sketches
 
 #: The choices of two of the four aligned byte pairs.
@@ -120,15 +120,16 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, root): the smallest node of each node's component, by alternating large-star and small-star steps
     (Kiveris et al., 2014). ``edges`` has columns a, b. Each step cuts its lineage with a checkpoint. The
     minima are dealt anew before they meet the edges, so that a node with many edges is a plain skewed join."""
-    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
+    now = compact(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
+    tasks = now.count() // ROWS_A_TASK + 1
     for _ in range(max_rounds):
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("rebalance")
-        large = both.join(low, "u").where("v > u").select("v", F.col("m").alias("u")).distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m")).hint("rebalance")
+        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks).hint("rebalance")
+        large = both.join(low, "u").where("v > u").select("v", F.col("m").alias("u")).coalesce(tasks).distinct().coalesce(tasks)
+        low = large.groupBy("v").agg(F.min("u").alias("m")).coalesce(tasks).hint("rebalance")
         joined = large.join(low, "v")
-        small = joined.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low.select("v", F.col("m").alias("u"))).distinct()
-        now = checkpointed(small)
+        small = joined.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low.select("v", F.col("m").alias("u"))).coalesce(tasks)
+        now = compact(small.distinct())
         # settled: every node either has one smaller neighbour, which has none itself, or has none
         ends = now.select(F.col("v").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("u").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():

@@ -1,9 +1,10 @@
-"""Chunking of markdown, plain text and code. Each text is chunked by itself, in Arrow batches."""
+"""Chunking of markdown, plain text and code. Each text is chunked by itself, in Arrow batches, without a shuffle."""
 
 from __future__ import annotations
 
 import ast
 import re
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,88 +15,77 @@ from pyspark.sql import types as T
 MAX_CHARS, MIN_CHARS, OVERLAP, MIN_OVERLAP = 4000, 200, 300, 16
 CHUNKS = T.ArrayType(T.StringType())
 SYMBOLS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()), T.StructField("parent", T.ArrayType(T.StringType())), T.StructField("doc", T.StringType()), T.StructField("calls", T.ArrayType(T.StringType())), T.StructField("text", T.StringType())]))
-HEADING = re.compile(r"^#{1,2}\s", re.M)
-SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
-
-
-def sections(body: str) -> list[str]:
-    """Texts from one H1 or H2 line to the next."""
-    starts = [m.start() for m in HEADING.finditer(body)]
-    cuts = sorted({0, *starts, len(body)})
-    return [s.strip("\n") for a, b in zip(cuts, cuts[1:]) if (s := body[a:b]).strip()]
-
-
-def hard_split(text: str, limit: int) -> list[str]:
-    """Sentences; those beyond the limit in slices."""
-    out = []
-    for s in SENTENCE_END.split(text):
-        out += [s[i : i + limit] for i in range(0, len(s), limit)]
-    return out
-
-
-def by_size(section: str, limit: int) -> list[str]:
-    """Paragraphs joined while they fit."""
-    if len(section) <= limit:
-        return [section]
+HEADING = r"(?m)^#{1,2}\s"
+_OPENING = re.compile(rf"{HEADING}")
+_FRONT = re.compile(r"\A---\r?\n.*?\r?\n---\r?\n", re.S)
+_BLANK = re.compile(r"\r?\n\s*\n")
+_SENTENCES = re.compile(r".+?(?:[.!?](?=\s)|\Z)\s*", re.S)
+
+
+def units(body: str, limit: int, headed: bool) -> Iterator[tuple[bool, str]]:
+    """(opens, text): what chunks are made of, none beyond ``limit``. A unit is a whole section where that fits, else a
+    paragraph, else a sentence, else a slice; it opens where a section does. A section starts at each H1 or H2 line."""
+    at = [m.start() for m in _OPENING.finditer(body) if m.start()] if headed else []
+    for start, end in zip([0, *at], [*at, len(body)], strict=True):
+        section, opens = body[start:end].strip("\n"), True
+        for paragraph in [section] if len(section) <= limit else _BLANK.split(section):
+            for sentence in [paragraph] if len(paragraph) <= limit else (m[0].rstrip() for m in _SENTENCES.finditer(paragraph)):
+                for k in range(0, len(sentence), limit):
+                    if sentence.strip():
+                        yield opens, sentence[k : k + limit]
+                        opens = False
+
+
+def paced(parts: Iterable[tuple[bool, str]], limit: int, least: int) -> list[str]:
+    """Chunks of units in one pass. A new one is due where a section opens or a unit would pass the limit; it is put off,
+    and the size counted anew, while fewer than ``least`` characters are held."""
     out: list[str] = []
-    current = ""
-    for p in filter(None, re.split(r"\r?\n\s*\n", section)):
-        for unit in [p] if len(p) <= limit else hard_split(p, limit):
-            if current and len(current) + 2 + len(unit) > limit:
-                out.append(current)
-                current = unit
-            else:
-                current = f"{current}\n\n{unit}" if current else unit
-    return out + [current] if current else out
-
-
-def without_short(chunks: list[str], least: int) -> list[str]:
-    """Chunks under ``least`` characters join the next one."""
-    out, carried = [], ""
-    for i, c in enumerate(chunks):
-        c = f"{carried}\n\n{c}" if carried else c
-        carried = ""
-        if len(c) < least and i + 1 < len(chunks):
-            carried = c
-        else:
-            out.append(c)
-    return out
+    held, size = [], 0
+    for opens, unit in parts:
+        if held and (opens or size + 2 + len(unit) > limit):
+            size = 0
+            if len(whole := "\n\n".join(held).strip()) >= least:
+                out.append(whole)
+                held = []
+        held.append(unit)
+        size += len(unit) + (2 if size else 0)
+    return [*out, last] if (last := "\n\n".join(held).strip()) else out
 
 
-def overlap_tail(before: str, size: int) -> str:
-    """The end of a chunk from a sentence start, else from a word start; empty if that leaves too little."""
-    size = min(size, len(before) // 2)
-    if size < MIN_OVERLAP:
-        return ""
-    window = before[len(before) - size :]
-    starts = [m.end() for m in (SENTENCE_END.search(window), re.search(r"\s", window)) if m]
-    return next((t for s in starts if len(t := window[s:].strip()) >= MIN_OVERLAP), "")
+def led_in(chunks: Column, overlap: int) -> Column:
+    """Each chunk without a heading after the end of the one before: from a sentence's start, else from a word's, at most
+    ``overlap`` characters or half the chunk, at least MIN_OVERLAP."""
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
 
+    def tail(before: Column) -> Column:
+        size = F.least(F.lit(overlap), F.floor(F.length(before) / 2)).cast("int")
+        window = F.when(size >= MIN_OVERLAP, F.substring(before, F.length(before) - size + 1, size)).otherwise("")
+        starts = [trimmed(F.regexp_extract(window, p, 1)) for p in (r"(?s)[.!?]\s+(.*)$", r"(?s)\s(.*)$")]
+        return F.coalesce(*[F.when(F.length(t) >= MIN_OVERLAP, t) for t in starts])
 
-def markdown_chunks(text: str | None, limit: int = MAX_CHARS, least: int = MIN_CHARS, overlap: int = OVERLAP) -> list[str]:
-    """Sections by heading, cut by size, short ones merged, continuations led in by the end of the chunk before."""
-    body = re.sub(r"\A---\r?\n.*?\r?\n---\r?\n", "", text or "", flags=re.S)
-    pieces = [p.strip() for s in sections(body) for p in by_size(s, limit)]
-    chunks = without_short([p for p in pieces if p], least)
-    led = chunks[:1]
-    for before, c in zip(chunks, chunks[1:]):
-        tail = "" if HEADING.search(c) else overlap_tail(before, min(overlap, limit // 2))
-        led.append(f"{tail}\n\n{c}" if tail else c)
-    return [x for c in led for x in ([c] if len(c) <= 2 * limit else hard_split(c, limit))]
+    # the first chunk's predecessor is taken to be itself, and not used
+    def led(c: Column, i: Column) -> Column:
+        before = tail(F.element_at(chunks, F.greatest(i, F.lit(1))))
+        return F.when((i > 0) & ~c.rlike(HEADING) & before.isNotNull(), F.concat(before, F.lit("\n\n"), c)).otherwise(c)
 
-
-def plain_chunks(text: str | None, limit: int = MAX_CHARS, least: int = MIN_CHARS) -> list[str]:
-    return without_short([p for s in by_size(text or "", limit) if (p := s.strip())], least)
+    return F.transform(chunks, led)
 
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "markdown", limit: int = MAX_CHARS, least: int = MIN_CHARS, overlap: int = OVERLAP) -> DataFrame:
-    """(id, chunk_index, content)."""
+    """(id, chunk_index, content). Markdown loses its frontmatter, is cut at headings and its continuations are led in; other
+    text is cut by size alone. A chunk beyond twice the limit is sliced."""
+    headed = kind == "markdown"
 
     @F.pandas_udf(CHUNKS)
     def cut(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: markdown_chunks(t, limit, least, overlap) if kind == "markdown" else plain_chunks(t, limit, least))
-
-    return docs.select(F.col(id_col), F.posexplode(cut(F.col(text_col))).alias("chunk_index", "content"))
+        return text.map(lambda t: paced(units(_FRONT.sub("", t or "") if headed else t or "", limit, headed), limit, least))
+
+    rows = docs.select(F.col(id_col), cut(F.col(text_col)).alias("chunks"))
+    if headed:
+        led = led_in(F.col("chunks"), min(overlap, limit // 2))
+        slices = F.transform(led, lambda c: F.when(F.length(c) > 2 * limit, F.regexp_extract_all(c, F.lit(f"(?s).{{1,{limit}}}"), 0)).otherwise(F.array(c)))
+        rows = rows.withColumn("chunks", F.flatten(slices))
+    return rows.select(id_col, F.posexplode("chunks").alias("chunk_index", "content"))
 
 
 def fenced_code(text: Column, languages: tuple[str, ...] = ("python", "py", "typescript", "ts", "javascript", "js", "go", "rust", "java", "sql")) -> Column:

@@ -112,12 +112,22 @@ def test_page_log(spark):
     assert [(r.slug, r.deleted) for r in P.marked(log, log.select("slug").distinct(), True).collect()] == [("p", True)]
 
 
-def test_chunker():
+def test_chunker(spark):
     text = "# A\n\n" + "word " * 30 + "\n\n" + "Sentence one is here. Sentence two follows it. " * 10 + "\n\n# B\nshort"
-    chunks = C.markdown_chunks(text, limit=200, least=20, overlap=60)
+
+    def cut(text, **k):
+        df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+        return [r.content for r in C.chunked(df, **k).orderBy("chunk_index").collect()]
+
+    chunks = cut(text, limit=200, least=20, overlap=60)
     assert all(len(c) <= 400 for c in chunks) and chunks[0].startswith("# A") and chunks[-1].startswith("# B") and len(chunks) > 3
-    assert C.markdown_chunks(None) == [] and C.markdown_chunks("---\na: b\n---\nbody") == ["body"] and C.plain_chunks("x") == ["x"]
-    assert C.overlap_tail("short", 300) == "" and C.overlap_tail("x" * 100, 40) == ""
+    assert cut(None) == [] and cut("") == [] and cut("---\na: b\n---\nbody") == ["body"] and cut("x", kind="plain") == ["x"]
+    # short sections join the next one; a short last one stays
+    assert cut("# a\nx\n# b\n" + "y" * 30 + "\n# c\nz", least=20) == ["# a\nx\n\n# b\n" + "y" * 30, "# c\nz"]
+    # paragraphs are packed up to the limit, and continuations led in from a sentence's start, else a word's, else not at all
+    assert cut("Aa bb cc dd. Eight nine ten eleven.\n\n" + "w" * 30, limit=60, least=5, overlap=30)[1] == "nine ten eleven.\n\n" + "w" * 30
+    assert cut("q" * 50 + "\n\n" + "w" * 50, limit=60, least=5, overlap=30) == ["q" * 50, "w" * 50]
+    assert cut("v" * 95, kind="plain", limit=40, least=5) == ["v" * 40, "v" * 40, "v" * 15]
 
 
 def test_near_duplicate_hits(spark):

@@ -50,7 +50,7 @@ def fact_rows(pages: DataFrame, begin: str = BEGIN, end: str = END) -> DataFrame
 
     struck = cell("claim").rlike(r"^~~.*~~$")
     kind = F.when(F.lower(cell("kind")).isin(*KINDS), F.lower(cell("kind"))).otherwise("fact")
-    confidence = F.least(F.greatest(F.coalesce(F.expr("null").cast("double"), F.try_to_number(cell("confidence"), F.lit("9.99")).cast("double"), F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
+    confidence = F.least(F.greatest(F.coalesce(cell("confidence").try_cast("double"), F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
     number = F.when(F.col("cells")[0].rlike(r"^[1-9][0-9]*$"), F.col("cells")[0].cast("int")).otherwise(F.col("seq"))
     out = rows.select("slug", number.alias("row_num"), F.trim(F.regexp_replace(cell("claim"), "^~~|~~$", "")).alias("claim"), kind.alias("kind"), confidence.alias("confidence"),
                       F.try_to_date(cell("valid_from")).alias("valid_from"), F.try_to_date(cell("valid_until")).alias("valid_until"), cell("source").alias("source"), (~struck).alias("active"))

@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import trigram_similarity
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration in the cluster's shared folder, or a temporary one where none is named."""
-    sc = df.sparkSession.sparkContext
+def with_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints: the cluster's shared one, or in local mode a temporary one where none is named. Elsewhere
+    a missing ``spark.checkpoint.dir`` is an error: a folder of one machine is lost with it."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
+    return sc.getCheckpointDir()
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iteration in the shared folder."""
+    with_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -231,11 +231,13 @@ def query_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def neardup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token-set near duplicates of documents, between classes of equal sets, by prefix filtering on rare tokens."""
-    from tessera.operators.dedup import jaccard_pairs
+    """Token-set near duplicates of documents: each document's class of equal sets and its links to other classes, by prefix
+    filtering on rare tokens."""
+    from tessera.operators.dedup import near_duplicate_classes
 
-    d = texts(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), F.array_distinct(F.split(F.lower("text"), " ")).alias("tokens"))
-    return jaccard_pairs(d, 0.85).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    tokens = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda t: t != ""))
+    d = texts(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), tokens.alias("tokens"))
+    return near_duplicate_classes(d, 0.85).select(F.col("id").alias("doc_id"), "class_id", "links")
 
 
 @query("""WITH e AS (SELECT vec_id % 7 AS doc, vec_id, embedding::DOUBLE[] AS v FROM embeddings), g AS (SELECT label, embedding::DOUBLE[] AS c FROM embeddings WHERE vec_id % 20 = 0)

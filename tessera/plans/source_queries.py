@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from tessera.functions import text as X
 from tessera.operators import chunking as C
 from tessera.operators import evaluation as E
 from tessera.plans.registry import query, table, texts
+from tessera.operators.graph import with_checkpoint_dir
 from tessera.sources import files as S
 from tessera.sources import transcripts as H
 from tessera.streaming import streams as W
@@ -19,10 +19,7 @@ from tessera.streaming import streams as W
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the cluster's checkpoint folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return f"{with_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
 
 
 @query()

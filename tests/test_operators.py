@@ -1,5 +1,7 @@
 """Operators on small hand-made rows: hand-computed values, nulls, empty scopes, ties."""
 
+import random
+
 import datetime as dt
 import math
 
@@ -188,3 +190,25 @@ def test_timeline_windows(spark):
     day = F.lit("2024-02-29").cast("date")
     assert [r[0].year for r in L.on_this_day(e, day).collect()] == [2020]
     assert {r[0].day for r in L.in_week(e, day).collect()} == {29, 3}
+
+
+def test_near_duplicate_classes_against_all_pairs(spark):
+    from tessera.operators import dedup
+
+    r = random.Random(3)
+    sets = [sorted(set(r.choices("abcdefghijklmnop", k=r.randint(0, 14)))) for _ in range(120)]
+    sets += sets[:20] + [[]] * 3
+    got = {x.id: (x.class_id, x.links) for x in dedup.near_duplicate_classes(spark.createDataFrame(list(enumerate(sets)), "id int, tokens array<string>"), 0.7).collect()}
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(tuple(s), i)
+    for i, s in enumerate(sets):
+        near = [o for o in first if o != tuple(s) and len(set(s) & set(o)) > 0.7 * len(set(s) | set(o))]
+        assert got[i] == (first[tuple(s)], len(near))
+
+
+def test_confidence_of_any_number_of_digits(spark):
+    from tessera.operators import fences
+
+    body = "<!-- facts:begin -->\n| # | claim | confidence |\n|---|---|---|\n| 1 | a | 0.875 |\n| 2 | b | x |\n<!-- facts:end -->"
+    assert {r.claim: r.confidence for r in fences.fact_rows(spark.createDataFrame([("p", body)], "slug string, body string")).collect()} == {"a": 0.875, "b": 1.0}

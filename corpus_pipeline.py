@@ -1,4 +1,10 @@
-"""Corpus pipeline: documents to packed training sequences, in five stages that each apply one operator to all they get."""
+"""Corpus pipeline: documents to packed training sequences, in five stages that each apply one operator to all they get.
+
+Defined results: a null or empty text, or one without a letter, is rejected by the language stage; very long texts are read whole.
+Repeated rows and copies leave one row, the one with the least id, null ids last, then the least hash of the text; ties end there.
+Null values in other columns and extra columns, whatever their names, pass through all stages but the last. Empty
+tables give empty results, and without labelled languages every text with a letter stays.
+"""
 
 from __future__ import annotations
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import title_tokens
+
 # fixed values: weights and constants of the ranking formulas
 RRF_K = 60
 INTENT_WEIGHTS = {"exact": (0.95, 1.2), "factual": (1.0, 1.15), "howto": (1.0, 1.0), "topic": (1.1, 1.0), "personal": (1.1, 0.95)}
@@ -141,10 +143,68 @@ def intent_weight(intent: Column, arm: str) -> Column:
     return out
 
 
+# fixed values: phrasings that ask for a set of things, and signs that one named thing is meant
+SET_CUES = (
+    r"\ball\s+(the\s+)?(companies|people|projects|tools|papers|notes|places|options|ways|reasons|examples)\b",
+    r"\b(list|enumerate)\s+(all|every|the)\b",
+    r"\bwhat\s+are\s+(all\b|the\s+(different|various|main|possible|available|other|kinds|types|options|approaches|ways)\b)",
+    r"\bwhich\s+(ones|of\s+(them|these|those))\b",
+    r"\bdifferent\s+(kinds|types|approaches|ways|options)\b",
+    r"\bthe\s+landscape\s+of\b",
+    r"\bcompare\b[^.?!]*?\s(vs\.?|versus|and|with|against|to)\s+\S",
+    r"\bcompare\s+(the\s+)?(two|three|four|both|several|these|those)\b",
+    r"\bevery\s+(company|person|project|note|tool)\b",
+    r"\bwho\s+all\b",
+)
+NAMED_THING = (r'"[^"]{2,}"', "“[^”]{2,256}”", r"\b[a-z0-9]+(?:[-_][a-z0-9]+)+\b")
+# fixed values: words that say nothing about a title
+TITLE_STOPWORDS = ("the", "a", "an", "of", "and", "or", "to", "in", "on", "for", "with", "at", "by", "from", "as", "is", "it", "this", "that", "my", "your")
+# fixed values: multipliers
+TITLE_BOOST, ALIAS_BOOST, TRUTH_BOOST = 1.25, 1.05, 2.0
+EXACT_BOOST = {"entity": 1.25, "event": 1.1}
+CHRONICLE_PREFIXES = ("life/events/", "life/diary/")
+CHRONICLE_BOOST = {"on": 1.15, "strong": 1.25}
+
+
 def concept_shaped(query: Column) -> Column:
+    """Whether a question of three words or more asks for a set of things and names none."""
     words = F.size(F.filter(F.split(query, r"\s+"), lambda w: w.rlike(r"\w")))
-    cue = query.rlike(
-        r"(?i)\ball\s+(the\s+)?(companies|people|projects|tools|papers|notes|places|options|ways|reasons|examples)\b|\b(list|enumerate)\s+(all|every|the)\b"
-        r"|\bwhich\s+(ones|of\s+(them|these|those))\b|\bdifferent\s+(kinds|types|approaches|ways|options)\b|\bthe\s+landscape\s+of\b|\bevery\s+(company|person|project|note|tool)\b|\bwho\s+all\b"
-    )
-    return (words >= 3) & cue
+    return (words >= 3) & query.rlike("(?i)" + "|".join(SET_CUES)) & ~query.rlike("(?i)" + "|".join(NAMED_THING))
+
+
+def title_phrase(query: Column, title: Column) -> Column:
+    """Whether the query is the title, or a run of its tokens with two words of content; false for null."""
+    words, whole = title_tokens(query), title_tokens(title)
+    content = F.size(F.filter(words, lambda w: ~w.isin(*TITLE_STOPWORDS)))
+    spaced = lambda ws: F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
+    run = (content >= 2) & spaced(whole).contains(spaced(words))
+    return F.coalesce((F.size(words) > 0) & (F.size(whole) > 0) & ((words == whole) | run), F.lit(False))
+
+
+def exact_match(query: Column, slug: Column, title: Column) -> Column:
+    """Whether the query is the slug, its last part, or the title."""
+    asked = F.lower(F.trim(query))
+    kebab, own = F.regexp_replace(asked, r"\s+", "-"), F.lower(slug)
+    hit = (own == asked) | (own == kebab) | F.endswith(own, F.concat(F.lit("/"), kebab)) | (F.lower(F.trim(title)) == asked)
+    return (asked != "") & F.coalesce(hit, F.lit(False))
+
+
+def exact_boost(kind: Column, matched: Column) -> Column:
+    """Multiplier of a match, by the class of the question."""
+    out = F.lit(1.0)
+    for name, factor in EXACT_BOOST.items():
+        out = F.when(matched & (kind == name), factor).otherwise(out)
+    return out
+
+
+def chronicle_boost(path: Column, mode: Column) -> Column:
+    """Multiplier of events and diary pages where recency is asked for (off, on, strong)."""
+    of_life = F.lit(False)
+    for prefix in CHRONICLE_PREFIXES:
+        of_life = of_life | F.coalesce(F.regexp_replace(path, "^page://", "").startswith(prefix), F.lit(False))
+    return F.when(of_life & (mode == "strong"), CHRONICLE_BOOST["strong"]).when(of_life & (mode == "on"), CHRONICLE_BOOST["on"]).otherwise(1.0)
+
+
+def truth_boost(path: Column, detail: Column) -> Column:
+    """Compiled-truth mirrors count double where little detail is wanted."""
+    return F.when(path.startswith("page-truth://") & (detail == "low"), TRUTH_BOOST).otherwise(1.0)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,30 +101,43 @@ def duplicates(new: DataFrame, stored: DataFrame, same: float = 0.95, likely: fl
     return best.select("id", "entity_slug", "r.stored_id", "r.similarity", verdict.alias("verdict"))
 
 
-def leader_clusters(facts: DataFrame, threshold: float = 0.85, limit: int = 100) -> DataFrame:
-    """(source_id, entity_slug, id, leader): in id order a fact joins the first leader of its entity that is near enough.
+def leader_clusters(facts: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(source_id, entity_slug, id, leader): in id order a fact joins the first leader of its entity that is near enough, else it leads.
 
-    The order decides, so one group is one task; a group beyond ``limit`` facts is cut into runs of that many by id,
-    each clustered by itself.
+    The order decides, so an entity's facts pass through one task, sorted by Spark and read batch by batch; kept in memory are the
+    leaders of one entity alone. Vectors are of one width; a null or zero vector leads itself and no other.
     """
-    order = Window.partitionBy("source_id", "entity_slug").orderBy("id")
-    runs = facts.select("source_id", "entity_slug", "id", "embedding").withColumn("_run", F.floor((F.row_number().over(order) - 1) / limit))
-
-    def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        leaders, out = [], []
-        for r in group.sort_values("id").itertuples():
-            v = np.asarray(r.embedding, dtype=float)
-            v = v / (np.linalg.norm(v) or 1.0)
-            own = next((i for i, u in leaders if float(u @ v) >= threshold), None)
-            if own is None:
-                leaders.append((r.id, v))
-                own = r.id
-            out.append(own)
-        return group.sort_values("id").assign(leader=out)[["source_id", "entity_slug", "id", "leader"]]
-
-    return runs.groupBy("source_id", "entity_slug", "_run").applyInPandas(cluster, "source_id string, entity_slug string, id long, leader long")
+    keys = ["source_id", "entity_slug"]
+
+    def cluster(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        entity, ids, units, n = None, [], np.zeros((0, 0)), 0
+        for batch in batches:
+            led = []
+            for row in batch.itertuples(index=False):
+                if (own := (row.source_id, row.entity_slug)) != entity:
+                    entity, ids, n = own, [], 0
+                v = np.asarray([] if row.embedding is None else row.embedding, dtype=float)
+                length = np.linalg.norm(v)
+                if not length:
+                    led.append(row.id)
+                    continue
+                if units.shape[1] != len(v):
+                    units = np.zeros((16, len(v)))
+                v = v / length
+                near = np.flatnonzero(units[:n] @ v >= threshold)
+                if len(near):
+                    led.append(ids[near[0]])
+                    continue
+                if n == len(units):
+                    units = np.concatenate([units, np.zeros_like(units)])
+                units[n] = v
+                n += 1
+                ids.append(row.id)
+                led.append(row.id)
+            yield batch[[*keys, "id"]].assign(leader=led)
+
+    sorted_ = facts.select(*keys, "id", "embedding").repartition(*keys).sortWithinPartitions(*keys, "id")
+    return sorted_.mapInPandas(cluster, "source_id string, entity_slug string, id long, leader long")
 
 
 def promote(clusters: DataFrame, facts: DataFrame, least: int = 3) -> DataFrame:

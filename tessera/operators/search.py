@@ -6,6 +6,11 @@ per query before texts are joined.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,10 +54,52 @@ def keyword_arm(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top_k(whole.select("query_id", "id", (F.col("tf") / F.log(F.col("n_terms") + F.lit(2.0))).alias("score")), k)
 
 
-def vector_arm(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact nearest neighbours by cosine. ``queries`` (query_id, query_vector) is a stated block of queries that meets every vector."""
-    scored = vectors.crossJoin(F.broadcast(queries)) if queries.isLocal() else vectors.crossJoin(queries)
-    return top_k(scored.select("query_id", "id", cosine(F.col("vector"), F.col("query_vector")).alias("score")), k)
+BLOCK_ROWS = 2048
+
+
+def _blocks(vectors: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
+    """(keys, width, units): blocks of at most ``rows`` vectors as unit vectors in one binary value, keys ascending."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                part = pa.Table.from_batches([whole.slice(at, rows)])
+                part = part.filter(pc.is_valid(part.column(1))).combine_chunks()
+                if not part.num_rows:
+                    continue
+                part = part.take(pc.sort_indices(part.column(0))).combine_chunks()
+                values = np.asarray(part.column(1).combine_chunks().flatten(), dtype=np.float64).reshape(part.num_rows, -1)
+                lengths = np.sqrt((values * values).sum(axis=1, keepdims=True))
+                units = np.divide(values, lengths, out=np.zeros_like(values), where=lengths > 0)
+                keys = pa.array([part.column(0).to_pylist()], pa.list_(part.schema.field(0).type))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([units.shape[1]], pa.int32()), pa.array([units.tobytes()], pa.binary())], names=["keys", "width", "units"])
+
+    kind = vectors.schema[key].dataType.simpleString()
+    return vectors.select(key, F.col(vector).cast("array<double>")).mapInArrow(pack, f"keys array<{kind}>, width int, units binary")
+
+
+def vector_arm(vectors: DataFrame, queries: DataFrame, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact nearest neighbours by cosine of a stated set of queries (query_id, query_vector) among vectors (id, vector) of the same width.
+
+    Blocks of queries meet blocks of vectors, each meeting being one matrix product that gives the k best of every query in it, so what
+    is shuffled is k rows for each query and block of vectors. Scores are told apart to twelve decimals; ties go to the lesser id. A null
+    vector is in no result, a zero vector has cosine 0.
+    """
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked, ids = batch.column("query_keys")[i].values, batch.column("keys")[i].values
+                block = lambda name, width=batch.column("width")[i].as_py(), i=i: np.frombuffer(batch.column(name)[i].as_buffer(), dtype=np.float64).reshape(-1, width)
+                scores = np.round(block("query_units") @ block("units").T, 12)
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                out = [asked.take(pa.array(np.repeat(np.arange(len(best)), best.shape[1]))), ids.take(pa.array(best.ravel())), pa.array(np.take_along_axis(scores, best, 1).ravel())]
+                yield pa.RecordBatch.from_arrays(out, names=["query_id", "id", "score"])
+
+    asked = _blocks(queries, "query_id", "query_vector", rows).select(F.col("keys").alias("query_keys"), F.col("units").alias("query_units"))
+    pairs = _blocks(vectors, "id", "vector", rows).crossJoin(asked)  # blocks with blocks
+    return top_k(pairs.mapInArrow(meet, f"query_id {kinds[0]}, id {kinds[1]}, score double"), k)
 
 
 def query_ngrams(query: Column, longest: int = 8) -> Column:

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions import rank as R
 from tessera.functions import text as X
+from tessera.functions.vector import cosine
 from tessera.operators import budgets as B
 from tessera.operators import fences as N
 from tessera.operators import ingest as I
 from tessera.operators import links as L
 from tessera.operators import search as S
 from tessera.plans.registry import query, table, texts
+from tessera.plans.search_queries import keyword_queries, longest_words
 
 NOTES = [
     ("people/ada", "person", "Ada", "Ada founded [[Acme]] with [[Bob]]. Later Ada advised [[Initech|them]] `[[code]]`."),
@@ -176,25 +178,43 @@ def embedding_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole retrieval chain for several queries: arms, fusion, boosts, cap, diversity, near duplicates, budget, evidence."""
-    docs = texts(spark, sf_dir, "documents", "doc_id", "text", "source")
-    queries = spark.createDataFrame([("q1", "the that with"), ("q2", "les dans pour"), ("q3", "und nicht")], "query_id string, query string")
-    k = 10
-    fanout = max(20, 3 * k)
-    keyword = S.keyword_arm(S.term_index(docs, "doc_id", "text", S.query_terms(queries)), queries, fanout)
-    titled = docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("title"))
-    title = S.title_arm(titled, queries, fanout)
-    weight = R.intent_weight(F.col("intent"), "keyword")
+    """The retrieval chain for a block of queries (the longest words of every document whose id is divisible by 20).
+
+    Keyword, vector and title arms are fused by rank, rescored by cosine, boosted by path, kind, age, label, length and links, capped,
+    diversified, freed of near duplicates, cut to a token budget and to what suits the question, and marked with their evidence. A
+    document's title is its longest word; vectors are the rows of ``embeddings`` with its id. The relational arm answers questions
+    about relations only and is a query of its own (relational_recall).
+    """
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text", "source", "lang", "n_chars")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    queries = keyword_queries(docs)
+    fanout = 30
+    asked = vectors.join(queries.select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    titled = docs.select(F.col("doc_id").alias("id"), F.element_at(longest_words(F.col("text"), 1), 1).alias("title")).where("title IS NOT NULL")
+    found = {
+        "keyword": S.keyword_arm(S.term_index(docs, "doc_id", "text", S.query_terms(queries)), queries, fanout),
+        "vector": S.vector_arm(vectors, asked, fanout),
+        "title": S.title_arm(titled, queries, fanout),
+    }
     intents = queries.select("query_id", R.query_intent(F.col("query")).alias("intent"))
-    arms = keyword.join(intents, "query_id").select("query_id", "id", "rank", weight.alias("weight"), F.lit("keyword").alias("arm"))
-    arms = arms.unionByName(title.select("query_id", "id", "rank", F.lit(1.0).alias("weight"), F.lit("title").alias("arm")))
-    flags = arms.groupBy("query_id", "id").agg(F.bool_or(F.col("arm") == "title").alias("title_hit"), F.bool_or(F.col("arm") == "keyword").alias("keyword_hit"))
-    fused = S.top_k(S.fuse(arms), fanout).drop("rank").join(flags, ["query_id", "id"]).withColumn("vector_hit", F.lit(False))
-    rows = docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("type"), F.concat(F.lit("writing/"), "source").alias("path"))
-    hits = fused.join(rows, "id").withColumns({"document_id": F.col("id"), "updated_at": F.lit("2024-01-01").cast("timestamp"), "kind": F.lit("vault"), "weight": F.lit(1.0), "pinned": F.lit(False), "salience": F.lit(0.0), "backlinks": F.lit(0)})
+    weights = {"keyword": R.intent_weight(F.col("intent"), "keyword"), "vector": R.intent_weight(F.col("intent"), "vector"), "title": F.lit(1.0)}
+    parts = [hits.join(intents, "query_id").select("query_id", "id", "rank", weights[arm].alias("weight"), F.lit(arm).alias("arm")) for arm, hits in found.items()]
+    arms = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    flags = arms.groupBy("query_id", "id").agg(*(F.bool_or(F.col("arm") == arm).alias(f"{arm}_hit") for arm in found))
+    fused = S.top_k(S.fuse(arms), fanout).drop("rank").join(flags, ["query_id", "id"])
+    near = fused.select("query_id", "id").join(vectors, "id").join(asked, "query_id").select("query_id", "id", cosine(F.col("vector"), F.col("query_vector")).alias("cosine"))
+    rescored = S.cosine_blend(fused.join(near, ["query_id", "id"], "left"))
+    quality = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
+    rows = docs.select(
+        F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"), "text", F.col("source").alias("type"), F.concat(F.lit("writing/"), "source").alias("path"),
+        F.when(F.col("lang") == "en", "vault").otherwise("memory").alias("kind"), F.expr("timestamp'2024-02-01' - make_dt_interval(cast(n_chars % 400 AS int))").alias("updated_at"),
+        (F.col("n_chars") / 20_000).alias("salience"), (F.col("doc_id") % 7).alias("backlinks"),
+    )
+    hits = rescored.join(rows, "id").join(quality, "id", "left").withColumns({"weight": F.when(F.col("quality") == 1, 1.2).otherwise(1.0), "pinned": F.lit(False)})
     ranked = S.top_k(S.boosted(hits, F.lit("2024-02-01").cast("timestamp")), fanout)
-    shaped = S.near_duplicate_texts(S.diversify_types(S.cap_per_document(ranked, 2)).select("query_id", "id", "rank", "score", "text", "title_hit", "keyword_hit", "vector_hit"))
-    return S.evidence(S.within_token_budget(shaped.where(F.col("rank") <= fanout), 12_000)).select("query_id", "id", "rank", F.round("score", 6).alias("score"), "evidence", "create_safety")
+    few = S.diversify_types(S.cap_per_document(ranked, 2)).select("query_id", "id", "rank", "score", "text", *(f"{arm}_hit" for arm in found))
+    shaped = S.within_token_budget(S.near_duplicate_texts(few), 12_000).join(intents, "query_id")
+    return S.evidence(S.adaptive_return(shaped)).select("query_id", "id", "rank", F.round("score", 6).alias("score"), "evidence", "create_safety")
 
 
 @query("""WITH d AS (SELECT doc_id, source, CASE WHEN length(text) < 100 THEN 'short' END AS a, CASE WHEN contains(text, '|') THEN 'table' END AS b FROM documents),

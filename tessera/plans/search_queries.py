@@ -14,13 +14,21 @@ from tessera.plans.registry import query, table, texts
 NOW = "2024-02-01 00:00:00"
 
 
-def keyword_queries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("q1", "the that with"), ("q2", "les dans pour"), ("q3", "und nicht")], "query_id string, query string")
+def longest_words(text, n: int = 3):
+    """The ``n`` longest different words of a text, longest first, ties by spelling."""
+    ranked = F.sort_array(F.transform(F.array_distinct(X.tokens(text)), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    return F.slice(F.transform(ranked, lambda r: r["w"]), 1, n)
+
+
+def keyword_queries(docs: DataFrame) -> DataFrame:
+    """The stated block of queries: for every document whose id is divisible by 20 its three longest words."""
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(longest_words(F.col("text")), " ").alias("query"))
+    return asked.where("query <> ''")
 
 
 KEYWORD_SQL = r"""
-WITH q(query_id, query) AS (VALUES ('q1','the that with'), ('q2','les dans pour'), ('q3','und nicht')),
-terms AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}]+')) AS term FROM q),
+WITH q AS (SELECT doc_id AS query_id, list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')), lambda w: {'n': -length(w), 'w': w})), lambda r: r.w)[1:3] AS query FROM documents WHERE doc_id % 20 = 0),
+terms AS (SELECT DISTINCT query_id, unnest(query) AS term FROM q),
 n AS (SELECT query_id, count(*) AS wanted FROM terms GROUP BY 1),
 w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM documents),
 ix AS (SELECT doc_id, len(words) AS n_terms, unnest(words) AS term FROM w),
@@ -34,7 +42,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-terms lexical search for several queries; texts are joined after the cut."""
     docs = texts(spark, sf_dir, "documents", "doc_id", "text")
-    hits = S.keyword_arm(S.term_index(docs, "doc_id", "text", S.query_terms(keyword_queries(spark))), keyword_queries(spark), 10)
+    hits = S.keyword_arm(S.term_index(docs, "doc_id", "text", S.query_terms(keyword_queries(docs))), keyword_queries(docs), 10)
     return hits.join(docs.select(F.col("doc_id").alias("id"), F.length("text").alias("n_chars")), "id").select("query_id", "id", F.round("score", 6).alias("score"), "rank", "n_chars")
 
 
@@ -160,7 +168,7 @@ FROM r JOIN documents d ON d.doc_id = r.id WHERE rank <= 50) SELECT query_id, id
 def token_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix of a ranking whose texts fit a token budget."""
     docs = texts(spark, sf_dir, "documents", "doc_id", "text")
-    hits = S.keyword_arm(S.term_index(docs, "doc_id", "text", S.query_terms(keyword_queries(spark))), keyword_queries(spark), 50)
+    hits = S.keyword_arm(S.term_index(docs, "doc_id", "text", S.query_terms(keyword_queries(docs))), keyword_queries(docs), 50)
     found = hits.join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
     return S.within_token_budget(found, 12000).select("query_id", "id", "rank", F.col("spent").cast("long").alias("spent"))
 

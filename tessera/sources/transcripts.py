@@ -6,6 +6,9 @@ logs. Drops everything that is not visible speech of the user or the assistant.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,22 +127,25 @@ def latest_items(items: DataFrame, key: str = "number", updated: str = "updated_
 
 def packed_parts(turns: DataFrame, budget: int, separator: int = 2) -> DataFrame:
     """(session_id, part, turn): turns in parts of at most ``budget`` bytes, in order, with one turn carried over where it is at
-    most a quarter of the budget and still fits. Greedy, so a session is one group."""
-    import pandas as pd
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        out, current, used, part = [], [], 0, 1
-        for turn, size in group.sort_values("turn")[["turn", "bytes"]].itertuples(index=False):
-            if current and used + separator + size > budget:
-                out += [(part, t) for t, _ in current]
-                last = current[-1]
-                part, current, used = part + 1, [], 0
-                if last[1] * 4 <= budget and last[1] + separator + size <= budget:
-                    current, used = [last], last[1]
-            used += (separator if current else 0) + size
-            current.append((turn, size))
-        out += [(part, t) for t, _ in current]
-        return pd.DataFrame([(group["session_id"].iloc[0], p, t) for p, t in out], columns=["session_id", "part", "turn"])
-
-    sized = turns.select("session_id", "turn", F.octet_length("text").alias("bytes"))
-    return sized.groupBy("session_id").applyInPandas(pack, f"session_id {turns.schema['session_id'].dataType.simpleString()}, part int, turn long")
+    most a quarter of the budget and still fits. Greedy, so a session's turns pass through one task, sorted by Spark and read batch
+    by batch; only the size of the open part is kept."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, part, held, used, last = None, 1, 0, 0, None
+        for batch in batches:
+            out = []
+            for own, turn, size in batch[["session_id", "turn", "bytes"]].itertuples(index=False):
+                if session is None or own != session[0]:
+                    session, part, held, used = (own,), 1, 0, 0
+                if held and used + separator + size > budget:
+                    part, held, used = part + 1, 0, 0
+                    if last[1] * 4 <= budget and last[1] + separator + size <= budget:
+                        out.append((own, part, last[0]))
+                        held, used = 1, last[1]
+                used += (separator if held else 0) + size
+                held, last = held + 1, (turn, size)
+                out.append((own, part, turn))
+            yield pd.DataFrame(out, columns=["session_id", "part", "turn"])
+
+    sized = turns.select("session_id", "turn", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).repartition("session_id").sortWithinPartitions("session_id", "turn")
+    return sized.mapInPandas(pack, f"session_id {turns.schema['session_id'].dataType.simpleString()}, part int, turn long")

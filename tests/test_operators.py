@@ -212,3 +212,59 @@ def test_confidence_of_any_number_of_digits(spark):
 
     body = "<!-- facts:begin -->\n| # | claim | confidence |\n|---|---|---|\n| 1 | a | 0.875 |\n| 2 | b | x |\n<!-- facts:end -->"
     assert {r.claim: r.confidence for r in fences.fact_rows(spark.createDataFrame([("p", body)], "slug string, body string")).collect()} == {"a": 0.875, "b": 1.0}
+
+
+def test_leader_clusters_have_no_limit_and_no_batches(spark):
+    rng = np.random.default_rng(5)
+    rows = [("s", None if i % 50 == 0 else f"e{i % 50 % 2}", i, None if i % 41 == 0 else [float(x) for x in rng.normal(size=4)]) for i in range(900)]
+    want, leaders = {}, {}
+    for _, entity, i, v in rows:
+        u = np.zeros(4) if v is None else np.array(v) / np.linalg.norm(v)
+        own = next((j for j, w in leaders.setdefault(entity, []) if u @ w >= 0.7), None)
+        if own is None:
+            leaders[entity].append((i, u))
+        want[i] = i if own is None else own
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        df = spark.createDataFrame(rows, "source_id string, entity_slug string, id long, embedding array<double>").repartition(7)
+        got = {r["id"]: r["leader"] for r in K.leader_clusters(df, 0.7).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
+def test_parts_equal_a_plain_greedy_pass_over_batches(spark):
+    r = random.Random(9)
+    turns = [(s, t, "x" * r.choice([0, 1, 5, 30, 90, 200])) for s in range(6) for t in range(60)]
+
+    def plain(sizes, budget):
+        out, current, part = [], [], 1
+        used = lambda: sum(n for _, n in current) + 2 * (len(current) - 1) if current else 0
+        for t, n in sizes:
+            if current and used() + 2 + n > budget:
+                out += [(part, x) for x, _ in current]
+                last, part = current[-1], part + 1
+                current = [last] if last[1] * 4 <= budget and last[1] + 2 + n <= budget else []
+            current.append((t, n))
+        return out + [(part, x) for x, _ in current]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(tuple(x) for x in H.packed_parts(spark.createDataFrame(turns, "session_id int, turn long, text string"), 120).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted((s, p, t) for s in range(6) for p, t in plain([(t, len(x)) for o, t, x in turns if o == s], 120))
+
+
+def test_vector_arm_equals_brute_force_over_blocks(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(f"v{i % 60:02d}-{i // 60}", [float(x) for x in np.random.default_rng(i % 60).normal(size=5)]) for i in range(150)] + [("zero", [0.0] * 5), ("none", None)]
+    asked = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(9)]
+    unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1.0)
+    want = []
+    for q, u in asked:
+        best = sorted((-round(float(unit(u) @ unit(v)), 12), i) for i, v in vectors if v is not None)[:12]
+        want += [(q, i, n) for n, (_, i) in enumerate(best, 1)]
+    got = S.vector_arm(spark.createDataFrame(vectors, "id string, vector array<double>").repartition(3), spark.createDataFrame(asked, "query_id int, query_vector array<double>"), 12, rows=11)
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in got.collect()) == sorted(want)
+    assert S.vector_arm(spark.createDataFrame([], "id string, vector array<double>"), spark.createDataFrame(asked, "query_id int, query_vector array<double>"), 3).collect() == []

@@ -32,10 +32,16 @@ PII_PATTERNS = (
 
 # fixed values: junk signs of fetched pages, by name
 JUNK_PATTERNS = {
-    "cloudflare_challenge": r"(?i)checking your browser before accessing|cf-browser-verification",
-    "access_denied": r"(?im)^[\t ]*access denied\b",
+    "cloudflare_attention_required": r"(?i)attention required.*cloudflare",
+    "cloudflare_just_a_moment": r"(?i)just a moment\.\.\.[\s\S]{0,500}cdn-cgi/challenge-platform",
+    "cloudflare_ray_id": r"(?i)cloudflare ray id:",
+    "cloudflare_checking_browser": r"(?i)checking your browser before",
+    "cf_browser_verification": r"(?i)cf[-_]browser[-_]verification",
+    "enable_javascript_cookies": r"(?i)enable javascript and cookies to continue",
+    "access_denied": r"(?im)^[\t\x0B\f \xA0\u1680\u2000-\u200A\u202F\u205F\u3000\uFEFF]*access denied\b",
     "captcha_required": r"(?i)verify you are (a )?human|captcha required|please complete the security check",
     "error_page_title": r"(?i)^(403|404|500|502|503|error \d{3}|page not found|forbidden|access denied|service unavailable|robot check|verify you are human)\s*$",
+    "cloudflare_challenge_title": r"(?i)^just a moment\.{0,3}$",
 }
 WARN_BYTES, BLOCK_BYTES, MAX_MARKUP, HEAD_CHARS = 50_000, 500_000, 0.85, 2048
 

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import sanity_flags
+from tessera.functions.text import JUNK_PATTERNS, sanity_flags
 from tessera.operators.chunking import chunked
 
-BLOCKING = ("too_large", "cloudflare_challenge", "access_denied", "captcha_required", "error_page_title")
+BLOCKING = ("too_large", *JUNK_PATTERNS)
 DIM = 64
 EMBEDDER = "hashed-words"
 

@@ -10,10 +10,10 @@ from tessera.operators.graph import connecting, traverse
 
 # fixed values: verb phrases that give a link its type, tried in this order
 VERB_PHRASES = {
-    "founded": r"(?i)\b(?:founded|co-?founded|started the company|incorporated|founder of|the founder|is a co-?founder)\b",
-    "invested_in": r"(?i)\b(?:invested in|invests in|investing in|investment in|backed by|funding from|funded by|raised from|led the (?:seed|Series|round|investment)|term sheet for)\b",
-    "advises": r"(?i)\b(?:advises|advised|advisor (?:to|at|for|of)|advisory (?:board|role|position)|board advisor)\b",
-    "works_at": r"(?i)\b(?:CEO of|CTO of|COO of|CFO of|VP at|VP of|works at|worked at|working at|employed by|employed at|joined as|engineer at|engineer for|director of|head of)\b",
+    "founded": r"(?i)\b(?:founded|co-?founded|started the company|incorporated|founder of|founders? (?:include|are)|the founder|is a co-?founder|is one of the founders)\b",
+    "invested_in": r"(?i)\b(?:invested in|invests in|investing in|invest in|investment in|investments in|backed by|funding from|funded by|raised from|led the (?:seed|Series|round|investment)|led .{0,30}(?:Series [A-Z]|seed|round|investment)|participated in (?:the )?(?:seed|Series|round)|wrote (?:a |the )?check|first check|early investor|portfolio (?:company|includes)|board seat (?:at|in|on)|term sheet for)\b",
+    "advises": r"(?i)\b(?:advises|advised|advisor (?:to|at|for|of)|advisory (?:board|role|position|capacity|engagement|partnership|contract|relationship|work)|board advisor|on .{0,20} advisory board|joined .{0,20} advisory board|in an? advisory (?:capacity|role|position)|as an? (?:advisor|security advisor|technical advisor|strategic advisor|industry advisor|product advisor|board advisor|senior advisor)|(?:strategic|technical|security|product|industry|senior|board) advisor (?:to|at|for|of)|consults for|consulting role (?:at|with))\b",
+    "works_at": r"(?i)\b(?:CEO of|CTO of|COO of|CFO of|CMO of|CRO of|VP at|VP of|VPs? Engineering|VPs? Product|works at|worked at|working at|employed by|employed at|joined as|joined the team|engineer at|engineer for|director at|director of|head of|heads up .{0,20} at|leads engineering|leads product|leads the .{0,20} (?:team|org) at|manages engineering at|manages product at|running (?:engineering|product|design) at|currently at|previously at|previously worked at|spent .* (?:years|months) at|stint at|stint as|tenure at|tenure as|role at|position at|(?:senior|staff|principal|lead|backend|frontend|full-?stack|ML|data|security) engineer at|promoted to (?:senior|staff|principal|lead) .{0,20} at|(?:his|her|their|my) time at)\b",
 }
 # fixed values: link types and directions that page fields stand for
 FIELD_LINKS = {

@@ -268,3 +268,10 @@ def test_vector_arm_equals_brute_force_over_blocks(spark):
     got = S.vector_arm(spark.createDataFrame(vectors, "id string, vector array<double>").repartition(3), spark.createDataFrame(asked, "query_id int, query_vector array<double>"), 12, rows=11)
     assert sorted((r["query_id"], r["id"], r["rank"]) for r in got.collect()) == sorted(want)
     assert S.vector_arm(spark.createDataFrame([], "id string, vector array<double>"), spark.createDataFrame(asked, "query_id int, query_vector array<double>"), 3).collect() == []
+
+
+def test_junk_signs_of_fetched_pages(spark):
+    pages = [("Attention Required! | Cloudflare", "cloudflare_attention_required"), ("Just a moment... x /cdn-cgi/challenge-platform", "cloudflare_just_a_moment"), ("a Cloudflare Ray ID: 7", "cloudflare_ray_id"),
+             ("x\n\u00a0 Access denied", "access_denied"), ("please enable JavaScript and cookies to continue", "enable_javascript_cookies"), ("just a moment", "cloudflare_challenge_title")]
+    got = spark.createDataFrame(pages, "text string, want string").select(X.sanity_flags(F.col("text")).alias("flags"), "want").collect()
+    assert all(r["want"] in r["flags"] for r in got)

@@ -89,7 +89,9 @@ def relational_questions(queries: DataFrame) -> DataFrame:
         second = clean(F.regexp_extract("query", pattern, 2)) if kind == "connects" else F.lit(None).cast("string")
         found = F.struct(F.lit(kind).alias("kind"), clean(F.regexp_extract("query", pattern, 1)).alias("seed"), second.alias("seed2"), F.lit(link).cast("string").alias("link"), F.lit(direction).alias("direction"))
         out = F.when(F.col("query").rlike(pattern), found).otherwise(out)
-    return queries.select("query_id", out.alias("r")).where("r IS NOT NULL AND r.seed <> ''").select("query_id", "r.*")
+    # exploded, so that the chain of shapes is generated and run once, not once for each field
+    asked = F.filter(F.array(out), lambda r: r.isNotNull() & (r["seed"] != ""))
+    return queries.select("query_id", F.explode(asked).alias("r")).select("query_id", "r.*")
 
 
 def relational_answers(questions: DataFrame, edges: DataFrame) -> DataFrame:

@@ -178,14 +178,6 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.gazetteer(n.unionAll(table(spark, sf_dir, "region").select("r_name", F.concat(F.lit("region/"), "r_regionkey"))))
 
 
-@query("SELECT * FROM (VALUES (1, 'united states', 'us', 1), (1, 'france', 'fr', 4), (2, 'united kingdom', 'uk', 0)) t(id, phrase, slug, \"at\")")
-def gazetteer_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest matches of page names in texts."""
-    phrases = spark.createDataFrame([("united states", "us"), ("states", "st"), ("france", "fr"), ("united kingdom", "uk")], "phrase string, slug string")
-    texts = spark.createDataFrame([(1, "The United States and France"), (2, "United Kingdom!"), (3, None)], "id int, text string")
-    return G.gazetteer_mentions(texts, phrases)
-
-
 @query("SELECT * FROM (VALUES ('people/ada-lovelace','people/ada-lovelace','exact'), ('countess','people/ada-lovelace','alias'), ('grace-hopper','people/grace-hopper','tail'), ('alan','people/alan-turing','prefix'), ('grace-hoper','people/grace-hopper','trigram')) t(name, slug, stage)")
 def slug_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names resolved to pages by a cascade of rules."""

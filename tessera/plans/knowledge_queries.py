@@ -16,59 +16,6 @@ from tessera.operators import search as S
 from tessera.plans.registry import query, table, texts
 from tessera.plans.search_queries import keyword_queries, longest_words
 
-NOTES = [
-    ("people/ada", "person", "Ada", "Ada founded [[Acme]] with [[Bob]]. Later Ada advised [[Initech|them]] `[[code]]`."),
-    ("people/bob", "person", "Bob", "Bob works at [[companies/acme#team]] and met [[Nobody]]."),
-    ("companies/acme", "company", "Acme", "No links."),
-    ("companies/initech", "company", "Initech", None),
-]
-
-
-def notes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NOTES, "slug string, type string, title string, body string")
-
-
-@query("SELECT * FROM (VALUES ('people/ada','Acme','companies/acme'), ('people/ada','Bob','people/bob'), ('people/ada','Initech','companies/initech'), ('people/bob','companies/acme','companies/acme'), ('people/bob','Nobody',NULL)) t(src, target, dst)")
-def wikilink_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wikilinks of pages, resolved by slug or title."""
-    return L.resolved_links(L.page_wikilinks(notes(spark)), notes(spark))
-
-
-@query("SELECT * FROM (VALUES ('people/ada','Acme','founded'), ('people/ada','Bob','founded'), ('people/ada','Initech','founded'), ('people/bob','companies/acme#team','works_at'), ('people/bob','Nobody','works_at')) t(src, target, type)")
-def verb_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wikilinks typed by the words around them."""
-    return L.verb_links(notes(spark))
-
-
-@query("SELECT * FROM (VALUES ('ada','acme','works_at',0.8::DOUBLE), ('ada','initech','works_at',0.8), ('bob','m1','attended',0.8), ('ada','x','related_to',0.8)) t(src, dst, type, confidence)")
-def field_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed links from page fields."""
-    rows = [("ada", "person", "companies", "Acme, Initech,acme"), ("m1", "meeting", "attendees", "bob"), ("ada", "person", "related", "x"), ("m1", "meeting", "companies", "no")]
-    return L.field_links(spark.createDataFrame(rows, "slug string, type string, field string, value string"))
-
-
-@query("SELECT * FROM (VALUES (1,'bob'), (2,'acme'), (4,'ada')) t(query_id, node)")
-def relational_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions about relations answered from the graph."""
-    q = spark.createDataFrame([(1, "Who works at Acme?"), (2, "Where does Bob work"), (3, "nice weather"), (4, "who founded the Acme")], "query_id int, query string")
-    e = spark.createDataFrame([("bob", "acme", "works_at"), ("ada", "acme", "founded")], "src string, dst string, type string")
-    return L.relational_answers(L.relational_questions(q), e)
-
-
-@query("SELECT 'b' AS node, 2 AS depth")
-def relational_connects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes that connect two others."""
-    e = spark.createDataFrame([("a", "b"), ("c", "b"), ("c", "d")], "src string, dst string")
-    return L.between(e, "a", "c", 1)
-
-
-@query("SELECT * FROM (VALUES (1,'core/app.py','d1'), (2,'app.py','d1'), (2,'app.py','d2')) t(id, path, document_id)")
-def file_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suffix join of file references."""
-    refs = spark.createDataFrame([(1, "core/app.py"), (2, "app.py"), (3, "pp.py")], "id int, path string")
-    docs = spark.createDataFrame([("d1", "/src/core/app.py"), ("d2", "/x/app.py")], "document_id string, source_path string")
-    return L.file_references(refs, docs)
-
 
 @query("""WITH h AS (SELECT n_regionkey AS query_id, n_nationkey AS id, 1.0 / (1 + n_nationkey) AS score FROM nation),
 q AS (SELECT r_regionkey AS query_id, CASE r_regionkey WHEN 0 THEN 'algeria' WHEN 1 THEN 'china' ELSE 'none' END AS alias FROM region),
@@ -84,14 +31,6 @@ def alias_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.alias_hop(hits, queries, n.select(F.col("n_name").alias("alias"), F.col("n_nationkey").alias("id"))).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT * FROM (VALUES ('countess','people/ada',0.9::DOUBLE), ('bob','people/bob',0.8), ('acme corp','companies/acme-corp',0.6)) t(mention, slug, confidence)")
-def slug_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions resolved by alias, title or slug tail."""
-    pages = spark.createDataFrame([("people/ada", "Ada"), ("people/bob", "Bob"), ("companies/acme-corp", "The Acme")], "slug string, title string")
-    aliases = spark.createDataFrame([("Countess", "people/ada")], "alias string, slug string")
-    return L.pointers(spark.createDataFrame([("Countess ",), ("bob",), ("acme corp",), ("zz",)], "mention string"), aliases, pages)
-
-
 @query("""WITH f AS (SELECT user_id AS query_id, event_type AS slug, max(value) / 100 AS c FROM events GROUP BY 1, 2), s AS (SELECT *, least(c + 0.05, 0.99) AS sure FROM f),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sure DESC, slug) AS n FROM s WHERE sure >= 0.7) SELECT query_id, slug, round(sure, 6) AS sure FROM r WHERE n <= 3""")
 def volunteer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,31 +48,6 @@ def volunteer_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.volunteer_precision(e.where("id % 2 = 0").withColumn("channel", (F.col("id") % 3).cast("string")), later).withColumn("precision", F.round("precision", 6))
 
 
-FENCE = "# P\n<!-- facts:begin -->\n| # | claim | kind | confidence | valid_from |\n|---|---|---|---|---|\n| 1 | likes tea | preference | 0.9 | 2024-01-02 |\n| 2 | ~~old~~ | odd | 7 | bad |\n| 3 | | fact | 1 | |\n<!-- facts:end -->\n| 9 | outside | fact | 1 | |"
-OLD_FENCE = "<!-- facts:begin -->\n| 1 | plain | 0.5 | src |\n<!-- facts:end -->"
-
-
-@query("SELECT * FROM (VALUES ('p',1,'likes tea','preference',0.9::DOUBLE,DATE '2024-01-02',NULL,true), ('p',2,'old','fact',1.0,NULL,NULL,false), ('q',1,'plain','fact',0.5,NULL,'src',true)) t(slug, row_num, claim, kind, confidence, valid_from, source, active)")
-def fact_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fact tables of pages, with a header or in the old order."""
-    return N.fact_rows(spark.createDataFrame([("p", FENCE), ("q", OLD_FENCE), ("r", "none")], "slug string, body string")).drop("valid_until")
-
-
-@query("SELECT 'p' AS slug, '<!-- facts:begin -->' || chr(10) || '| # | claim | kind | confidence |' || chr(10) || '|---|---|---|---|' || chr(10) || '| 1 | a | fact | 0.5 |' || chr(10) || '| 2 | ~~b~~ | event | 1.0 |' || chr(10) || '<!-- facts:end -->' AS fence")
-def fact_fence_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts rendered as a table."""
-    return N.rendered_facts(spark.createDataFrame([("p", 2, "b", "event", 1.0, False), ("p", 1, "a", "fact", 0.5, True)], "slug string, row_num int, claim string, kind string, confidence double, active boolean"))
-
-
-BODY = "# P\n- 2024-01-01: before\n## Timeline\n- **2024-01-02** — met Bob\n- 2024-02-30: no such day\n### 2024-03-01 Launch\n- 2024-01-02: met Bob\n## Notes\nShipped it [Source: mail, 2024-04-01]\n- 2024-05-01: after"
-
-
-@query("SELECT * FROM (VALUES ('p','bullet',DATE '2024-01-02','met Bob',''), ('p','header',DATE '2024-03-01','Launch',''), ('p','citation',DATE '2024-04-01','Shipped it','Source: mail')) t(slug, kind, day, event, detail)")
-def body_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dated bullets, headings and citations of a page."""
-    return N.body_timeline(spark.createDataFrame([("p", BODY)], "slug string, body string"))
-
-
 @query("SELECT 'm' || o_orderkey AS slug, 'm' || o_orderkey AS event_slug, 't' AS event FROM orders UNION ALL SELECT 'c' || o_custkey, 'm' || o_orderkey, 'Attended t' FROM orders")
 def meeting_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Meetings on their own and their attendees' timelines."""

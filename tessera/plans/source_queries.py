@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import text as X
 from tessera.operators import chunking as C
 from tessera.operators import evaluation as E
 from tessera.plans.registry import query, table, texts
@@ -36,64 +35,6 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.trim("line") != "").alias("n_full"), F.max(F.length("line")).alias("longest"))
 
 
-MARKDOWN = "# One\n\nSee [[Page A|a]] and [[Page B]] #Tag1 on 2024-02-03 and 3024-01-01.\n\n```python\ndef f():\n    return g()\n```\n\n## Two\n\n[x](../notes/b.md#h) `[[no]]` src/app.py:12 mail a.b@c.org key https://u:p@h.org/x"
-
-
-@query("""SELECT ['Page A', 'Page B'] AS wikilinks, ['tag1'] AS hashtags, ['2024-02-03'] AS dates, ['notes/b'] AS links, 'src/app.py' AS ref_path, 12 AS ref_line, 'def f():' || chr(10) || '    return g()' || chr(10) AS code, true AS redacted""")
-def markdown_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links, tags, dates, code and references of a note."""
-    d, t = spark.createDataFrame([(MARKDOWN,)], "t string"), F.col("t")
-    return d.select(X.wikilinks(X.strip_code(t)).alias("wikilinks"), X.hashtags(t).alias("hashtags"), X.iso_dates(t).alias("dates"), X.markdown_links(t).alias("links"), X.code_refs(t)[0]["path"].alias("ref_path"),
-                    X.code_refs(t)[0]["line"].alias("ref_line"), C.fenced_code(t)[0]["code"].alias("code"), X.redact_url_credentials(t).contains("https://***:***@h.org/x").alias("redacted"))
-
-
-@query("SELECT * FROM (VALUES ('a.py','A','class',1,4,'g'), ('a.py','m','method',3,4,'g'), ('a.py','top','function',6,7,'A,A().m')) t(path, name, kind, start_line, end_line, calls)")
-def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols of Python source with their calls."""
-    source = "class A:\n    x = 1\n    def m(self):\n        return g()\n\ndef top():\n    return A().m()"
-    d = spark.createDataFrame([("a.py", source), ("b.py", "not ( python")], "path string, text string")
-    return C.code_symbols(d).select("path", "name", "kind", "start_line", "end_line", F.array_join("calls", ",").alias("calls"))
-
-
-@query("SELECT * FROM (VALUES (1, 'Title', 'a,b', 'Body' || chr(10)), (2, NULL, NULL, 'no block')) t(id, title, tags, body)")
-def frontmatter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frontmatter scalars and lists."""
-    d = spark.createDataFrame([(1, '---\ntitle: "Title"\ntags:\n- a\n- b\n---\nBody\n'), (2, "no block")], "id int, text string").withColumn("f", S.frontmatter("text"))
-    get = lambda k: F.array_join(F.try_element_at("f.fields", F.lit(k)), ",")
-    return d.select("id", get("title").alias("title"), get("tags").alias("tags"), F.col("f.body").alias("body"))
-
-
-@query("""SELECT * FROM (VALUES (1,1,'Alice','2024-03-15T18:37:00Z','hi' || chr(10) || 'more'), (1,2,'Bob','1970-01-01T00:00:00Z','yo'), (1,3,'carl','1970-01-01T00:00:00Z','irc'), (1,4,'Dora','1970-01-01T09:05:00Z','x')) t(id, n, speaker, "at", text)""")
-def chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of a chat log in four line grammars with continuation lines."""
-    log = "lost line\n[2024-03-15, 18:37] Alice: hi\n  more\nBob: yo\n<carl> irc\n[9:05] Dora: x"
-    return H.chat_log_messages(spark.createDataFrame([(1, log)], "id int, text string"))
-
-
-@query("SELECT * FROM (VALUES ('c1', 0, 'user', 'hello'), ('c1', 1, 'assistant', 'new answer')) t(session_id, turn, role, text)")
-def tree_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The current branch of a tree export."""
-    node = lambda parent, children, role, text, t: {"parent": parent, "children": children, "message": {"author": {"role": role}, "create_time": t, "content": {"parts": [text]}}}
-    import json
-
-    tree = {"conversation_id": "c1", "current_node": "d", "mapping": {"r": {"parent": None, "children": ["a"]}, "a": node("r", ["b", "d"], "user", "hello", 1.0), "b": node("a", [], "assistant", "old answer", 2.0), "d": node("a", [], "assistant", "new answer", 3.0)}}
-    d = spark.createDataFrame([(json.dumps(tree),)], "j string").select(F.from_json("j", H.TREE).alias("x")).select("x.*")
-    return H.tree_turns(d).select("session_id", "turn", "role", "text")
-
-
-@query("SELECT * FROM (VALUES ('s1', 0, 'user', 'ask'), ('s1', 1, 'assistant', 'part one' || chr(10) || chr(10) || 'part two')) t(session_id, turn, role, text)")
-def session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speech of a session log: side chains dropped, parts of a reply joined."""
-    rows = [
-        '{"type":"user","sessionId":"s1","uuid":"1","message":{"role":"user","content":"ask"}}',
-        '{"type":"assistant","sessionId":"s1","uuid":"2","message":{"role":"assistant","id":"m","content":[{"type":"thinking","text":"hm"},{"type":"text","text":"part one"}]}}',
-        '{"type":"assistant","sessionId":"s1","uuid":"3","message":{"role":"assistant","id":"m","content":[{"type":"text","text":"part two"}]}}',
-        '{"type":"assistant","sessionId":"s1","isSidechain":true,"uuid":"4","message":{"role":"assistant","id":"n","content":"aside"}}',
-    ]
-    d = spark.createDataFrame(list(enumerate(rows)), "line int, j string").select("line", F.from_json("j", H.SESSION).alias("x")).select("line", "x.*")
-    return H.session_turns(d).select("session_id", "turn", "role", "text")
-
-
 @query("""WITH i AS (SELECT o_custkey AS number, o_orderkey, o_orderdate AS updated_at, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders)
 SELECT number, updated_at FROM i WHERE n = 1""")
 def latest_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,15 +30,6 @@ def fact_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.list_facts(p, kinds=kinds, text="sMall", least_confidence=950).select("id")
 
 
-@query("SELECT * FROM (VALUES ('k1',1.0::DOUBLE,0), ('k2',0.5,1), ('k3',0.5,1), ('k4',0.333333,2)) t(id, score, hop)")
-def structural_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Callers and callees of anchor chunks, two hops."""
-    chunks = spark.createDataFrame([("k1", "m.a", "a"), ("k2", "m.b", "b"), ("k3", "m.c", "c"), ("k4", "m.d", "d"), ("k5", "m.e", "e")], "id string, symbol string, bare_symbol string")
-    edges = spark.createDataFrame([("m.b", "m.a", "k2"), ("m.a", "c", "k1"), ("m.c", "m.d", "k3"), ("m.d", "m.e", "k4")], "caller string, callee string, caller_chunk string")
-    anchors = spark.createDataFrame([("k1", 1.0, "m.a")], "id string, score double, symbol string")
-    return U.structural_expansion(anchors, edges, chunks).withColumn("score", F.round("score", 6))
-
-
 @query("SELECT 'doc_' || substr(sha256(p_name), 1, 16) AS id, p_name AS path FROM part WHERE p_size = 7")
 def document_id_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose id does not follow from their path."""
@@ -106,13 +97,6 @@ def calibration_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.calibration_profiles(g).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query("SELECT * FROM (VALUES ('mrr',0.8::DOUBLE,0.79::DOUBLE,true), ('ndcg',0.9,0.7,false)) t(metric, before, now, passes)")
-def evaluation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics that may not drop by more than a limit."""
-    before = spark.createDataFrame([("mrr", 0.8), ("ndcg", 0.9)], "metric string, value double")
-    return U.gate(spark.createDataFrame([("mrr", 0.79), ("ndcg", 0.7)], "metric string, value double"), before, 0.05)
-
-
 @query("SELECT 'customer' AS t, c_nationkey AS source, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'supplier', s_nationkey, count(*) FROM supplier GROUP BY 2")
 def source_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each table that refer to a source."""

@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import trigram_similarity
+from tessera.functions.text import trigram_similarity, trigrams
 
 
 def with_checkpoint_dir(spark: SparkSession) -> str:
@@ -160,25 +160,41 @@ def gazetteer_mentions(texts: DataFrame, phrases: DataFrame, longest: int = 4) -
     return hits.withColumn("_reach", reach).where(F.col("_reach").isNull() | (F.col("at") + F.col("n") > F.col("_reach"))).select("id", "phrase", "slug", "at")
 
 
-def canonical_slugs(names: DataFrame, pages: DataFrame, aliases: DataFrame, accept: float = 0.7, margin: float = 0.1) -> DataFrame:
-    """(name, slug, stage): exact slug, alias, unique tail, unique prefix, then a clear trigram winner.
+def alike_by_trigrams(names: DataFrame, tails: DataFrame, least: float) -> DataFrame:
+    """(name, tail, sim) of distinct names and tails whose trigram sets have at least the similarity ``least``. In an order by
+    rarity such sets share one of their first size - ceil(least * size) + 1 trigrams, so only these are joined."""
+    grams = lambda rows, col: rows.select(col, F.size(trigrams(F.col(col))).alias("n"), F.explode(trigrams(F.col(col))).alias("g"))
+    of_names, of_tails = grams(names, "name"), grams(tails, "tail")
+    rarity = of_tails.groupBy("g").agg(F.count("*").alias("df"))
+    rare = lambda rows, col: (
+        rows.join(rarity, "g", "left")
+        .withColumn("at", F.row_number().over(Window.partitionBy(col).orderBy(F.coalesce("df", F.lit(0)), "g")))
+        .where(F.col("at") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)
+        .select(col, "g")
+    )
+    met = rare(of_names, "name").join(rare(of_tails, "tail"), "g").select("name", "tail").distinct()
+    return met.withColumn("sim", trigram_similarity(F.col("name"), F.col("tail"))).where(F.col("sim") >= least - 1e-9)
 
-    Trigram candidates are the pages that share the name's first letter.
-    """
-    tail = F.element_at(F.split("slug", "/"), -1)
+
+def canonical_slugs(names: DataFrame, pages: DataFrame, aliases: DataFrame, accept: float = 0.7, margin: float = 0.1) -> DataFrame:
+    """(name, slug, stage): exact slug, alias, unique tail, unique prefix, then a trigram winner of at least ``accept``, by a
+    ``margin`` over the next slug. All stages are equi joins; a runner-up below accept - margin is too far to matter."""
     base = names.select("name").distinct()
-    exact = base.join(pages.select(F.col("slug").alias("name"), "slug"), "name").select("name", "slug", F.lit(1).alias("at"), F.lit("exact").alias("stage"))
-    alias = base.join(aliases.groupBy(F.col("alias").alias("name")).agg(F.min("slug").alias("slug"), F.countDistinct("slug").alias("n")).where("n = 1"), "name").select("name", "slug", F.lit(2).alias("at"), F.lit("alias").alias("stage"))
-    tails = pages.select(tail.alias("name"), "slug").groupBy("name").agg(F.min("slug").alias("slug"), F.count("*").alias("n")).where("n = 1")
-    by_tail = base.join(tails, "name").select("name", "slug", F.lit(3).alias("at"), F.lit("tail").alias("stage"))
-    letters = pages.select("slug", tail.alias("tail")).withColumn("first", F.substring("tail", 1, 1))
-    near = base.withColumn("first", F.substring("name", 1, 1)).join(letters, "first")
-    prefix = near.where(F.col("tail").startswith(F.col("name"))).groupBy("name").agg(F.min("slug").alias("slug"), F.count("*").alias("n")).where("n = 1").select("name", "slug", F.lit(4).alias("at"), F.lit("prefix").alias("stage"))
-    best = Window.partitionBy("name").orderBy(F.desc("sim"), "slug")
-    ranked = near.withColumn("sim", trigram_similarity(F.col("name"), F.col("tail"))).withColumns({"_n": F.row_number().over(best), "_next": F.coalesce(F.lead("sim").over(best), F.lit(0.0))})
-    fuzzy = ranked.where((F.col("_n") == 1) & (F.col("sim") >= accept) & (F.col("sim") - F.col("_next") >= margin)).select("name", "slug", F.lit(5).alias("at"), F.lit("trigram").alias("stage"))
-    found = exact.unionByName(alias).unionByName(by_tail).unionByName(prefix).unionByName(fuzzy)
-    return found.groupBy("name").agg(F.min_by(F.struct("slug", "stage"), "at").alias("r")).select("name", "r.slug", "r.stage")
+    stage = lambda rows, at, name: rows.select("name", "slug", F.lit(at).alias("at"), F.lit(name).alias("stage"))
+    only = lambda rows: rows.groupBy("name").agg(F.min("slug").alias("slug"), F.countDistinct("slug").alias("n")).where("n = 1").drop("n")
+    ends = pages.select(F.element_at(F.split("slug", "/"), -1).alias("tail"), "slug")
+    exact = stage(base.join(pages.select(F.col("slug").alias("name"), "slug"), "name"), 1, "exact")
+    alias = stage(base.join(only(aliases.select(F.col("alias").alias("name"), "slug")), "name"), 2, "alias")
+    tail = stage(base.join(only(ends.withColumnRenamed("tail", "name")), "name"), 3, "tail")
+    starts = ends.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("tail"), F.lit(1))), lambda i: F.substring(F.col("tail"), F.lit(1), i))).alias("name"), "slug")
+    prefix = stage(only(base.join(starts, "name")), 4, "prefix")
+    found = exact.unionByName(alias).unionByName(tail).unionByName(prefix)
+    by_tail = ends.groupBy("tail").agg(F.min("slug").alias("slug"), F.countDistinct("slug").alias("n"))
+    close = alike_by_trigrams(base.join(found, "name", "left_anti"), by_tail.select("tail"), accept - margin).join(by_tail, "tail")
+    best = Window.partitionBy("name").orderBy(F.desc("sim"), "tail")
+    ranked = close.withColumns({"_n": F.row_number().over(best), "_next": F.when(F.col("n") > 1, F.col("sim")).otherwise(F.coalesce(F.lead("sim").over(best), F.lit(0.0)))})
+    fuzzy = stage(ranked.where((F.col("_n") == 1) & (F.col("sim") >= accept) & (F.col("sim") - F.col("_next") >= margin)), 5, "trigram")
+    return found.unionByName(fuzzy).groupBy("name").agg(F.min_by(F.struct("slug", "stage"), "at").alias("r")).select("name", "r.slug", "r.stage")
 
 
 def longest_prefix(paths: DataFrame, sources: DataFrame) -> DataFrame:

@@ -178,15 +178,6 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.gazetteer(n.unionAll(table(spark, sf_dir, "region").select("r_name", F.concat(F.lit("region/"), "r_regionkey"))))
 
 
-@query("SELECT * FROM (VALUES ('people/ada-lovelace','people/ada-lovelace','exact'), ('countess','people/ada-lovelace','alias'), ('grace-hopper','people/grace-hopper','tail'), ('alan','people/alan-turing','prefix'), ('grace-hoper','people/grace-hopper','trigram')) t(name, slug, stage)")
-def slug_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names resolved to pages by a cascade of rules."""
-    pages = spark.createDataFrame([("people/ada-lovelace",), ("people/grace-hopper",), ("people/alan-turing",)], "slug string")
-    aliases = spark.createDataFrame([("countess", "people/ada-lovelace")], "alias string, slug string")
-    names = spark.createDataFrame([(n,) for n in ("people/ada-lovelace", "countess", "grace-hopper", "alan", "grace-hoper", "nobody")], "name string")
-    return G.canonical_slugs(names, pages, aliases)
-
-
 @query("SELECT n_name AS name, 'nation' AS kind FROM nation UNION SELECT r_name, 'region' FROM region")
 def union_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct union."""

@@ -230,6 +230,22 @@ def gazetteer_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.gazetteer_mentions(texts, phrases)
 
 
+@query("""WITH p AS (SELECT DISTINCT 'parts/' || replace(p_name, ' ', '-') AS slug, replace(p_name, ' ', '-') AS tail FROM part),
+n AS (SELECT slug AS name FROM p UNION SELECT 'The ' || tail FROM p UNION SELECT tail FROM p UNION SELECT left(tail, length(tail) - 1) FROM p UNION SELECT tail || 's' FROM p UNION SELECT 'z' || substr(tail, 2) FROM p),
+g AS (SELECT name, tail, slug, list_distinct(flatten(list_transform(string_split(name, '-'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS a, list_distinct(flatten(list_transform(string_split(tail, '-'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS b FROM n, p WHERE NOT contains(name, '/') AND NOT contains(name, ' ')),
+s AS (SELECT name, slug, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS sim FROM g),
+r AS (SELECT name, slug, sim, row_number() OVER w AS i, coalesce(lead(sim) OVER w, 0) AS nxt FROM s WINDOW w AS (PARTITION BY name ORDER BY sim DESC, slug)),
+x AS (SELECT name, slug, 1 AS stage FROM n JOIN p ON slug = name UNION ALL SELECT name, slug, 2 FROM n JOIN p ON name = 'The ' || tail UNION ALL SELECT name, slug, 3 FROM n JOIN p ON name = tail
+ UNION ALL SELECT name, min(slug), 4 FROM n JOIN p ON starts_with(tail, name) GROUP BY name HAVING count(*) = 1 UNION ALL SELECT name, slug, 5 FROM r WHERE i = 1 AND sim >= 0.7 AND sim - nxt >= 0.1)
+SELECT name, min_by(slug, stage) AS slug, (['exact', 'alias', 'tail', 'prefix', 'trigram'])[min(stage)] AS stage FROM x GROUP BY name""")
+def slug_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of all parts, right, by alias, as tails, cut short, too long or with another first letter, resolved by a cascade of rules."""
+    pages = table(spark, sf_dir, "part").select(F.regexp_replace("p_name", " ", "-").alias("tail")).distinct().select("tail", F.concat(F.lit("parts/"), "tail").alias("slug"))
+    t = F.col("tail")
+    forms = F.array("slug", F.concat(F.lit("The "), t), t, F.substring(t, F.lit(1), F.length(t) - 1), F.concat(t, F.lit("s")), F.concat(F.lit("z"), F.substring(t, 2, 1000)))
+    return G.canonical_slugs(pages.select(F.explode(forms).alias("name")), pages, pages.select(F.concat(F.lit("The "), "tail").alias("alias"), "slug"))
+
+
 @query("""WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 0), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 w AS (SELECT 8::BIGINT AS k, 0 AS hop UNION SELECT u.b, w.hop + 1 FROM w JOIN u ON u.a = w.k WHERE w.hop < 2)
 SELECT 'k' || k AS id, round(1.0 / (1 + min(hop)), 6)::DOUBLE AS score, min(hop) AS hop FROM w GROUP BY k""")

@@ -197,6 +197,15 @@ def evaluation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.gate(spark.createDataFrame([("mrr", 0.79), ("ndcg", 0.7)], "metric string, value double"), before, 0.05)
 
 
+@query("SELECT * FROM (VALUES ('people/ada-lovelace','people/ada-lovelace','exact'), ('countess','people/ada-lovelace','alias'), ('grace-hopper','people/grace-hopper','tail'), ('alan','people/alan-turing','prefix'), ('grace-hoper','people/grace-hopper','trigram'), ('nargaret-hamiltonian','people/margaret-hamiltonian','trigram')) t(name, slug, stage)")
+def slug_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names resolved to pages by a cascade of rules."""
+    pages = spark.createDataFrame([("people/ada-lovelace",), ("people/grace-hopper",), ("people/alan-turing",), ("people/margaret-hamiltonian",)], "slug string")
+    aliases = spark.createDataFrame([("countess", "people/ada-lovelace")], "alias string, slug string")
+    names = spark.createDataFrame([(n,) for n in ("people/ada-lovelace", "countess", "grace-hopper", "alan", "grace-hoper", "nargaret-hamiltonian", "nobody")], "name string")
+    return G.canonical_slugs(names, pages, aliases)
+
+
 @pytest.mark.parametrize("name", sorted(CASES))
 def test_written_case(spark, name):
     f, sql = CASES[name]

@@ -36,6 +36,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``checkpointed``, but as a compressed Parquet table in the shared checkpoint folder, for columns that are wide or many."""
+    spark = df.sparkSession
+    with_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: Rows of small columns that one task takes in a step that is repeated many times.
 ROWS_A_TASK = 200_000
 

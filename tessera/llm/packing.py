@@ -15,157 +15,27 @@ a repeated doc_id) are packed each; a null doc_id is kept; an empty table gives
 from __future__ import annotations
 
 import bisect
-import json
-import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import checkpointed, fresh_names, row_slices
+from tessera.llm.common import checkpointed, fresh_names
+from tessera.llm.tokens import CLOSING_ID, WordEncoder, default_tokenizer_path, token_pieces
+
+__all__ = ["CLOSING_ID", "WordEncoder", "default_tokenizer_path", "token_pieces"]
 
 CAPACITY = 2048
-CLOSING_ID = 1
 #: Pieces that one task ranks.
 GROUP_ROWS = 200_000
-#: Word encodings that a worker keeps in each half of its memory.
-KEPT_WORDS = 300_000
-
-
-def default_tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-class WordEncoder:
-    """Encodes texts with a tokenizer whose tokens do not span ASCII white space, word by word with memory.
-
-    New words are cut as the tokenizer's own rule cuts them and encoded many at a time; the ids are told apart by
-    their end-of-word marks. Words outside the Latin blocks are encoded one by one.
-    """
+Patterns = list[tuple[tuple[int, ...], int]]
 
-    #: Characters below U+0180 that neither compose nor change their number in lower case.
-    LATIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]+").fullmatch
-    #: The tokenizer's rule for cutting, after lower-casing.
-    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    CUT = regex.compile(SPLIT).findall
-    TOGETHER = 500
 
-    def __init__(self, path: str, closing_id: int = CLOSING_ID, kept_words: int = KEPT_WORDS) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        rules = json.loads(self.tokenizer.to_str())
-        cutting = [r.get("pattern", {}).get("Regex") for r in (rules["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        if rules["model"].get("end_of_word_suffix") != "</w>" or cutting[:1] != [self.SPLIT] or {"type": "Lowercase"} not in (rules["normalizer"] or {}).get("normalizers", []):
-            raise ValueError(f"{path} does not cut words as this encoder does")
-        self.closing = np.array([closing_id], dtype="<u4").tobytes()
-        self.kept_words = kept_words
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        # by word, and by what words are cut into; older entries are let go half at a time
-        self.words: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
-        self.parts: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _missing(self, memory: tuple[dict, dict], wanted: set) -> list:
-        """What is in neither half; what is in the older half moves to the newer one."""
-        new, old = memory
-        out = []
-        for x in wanted.difference(new):
-            if (known := old.get(x)) is None:
-                out.append(x)
-            else:
-                new[x] = known
-        return out
-
-    def _renewed(self, memory: tuple[dict, dict]) -> tuple[dict, dict]:
-        return ({}, memory[0]) if len(memory[0]) > self.kept_words else memory
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        known = self.parts[0]
-        groups = [parts[i : i + self.TOGETHER] for i in range(0, len(parts), self.TOGETHER)]
-        encoded = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
-        for group, e in zip(groups, encoded, strict=True):
-            ids = np.array(e.ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(group):
-                known.update((p, self._ids(p)) for p in group)
-                continue
-            raw, at = ids.tobytes(), 0
-            for part, end in zip(group, (ends * 4).tolist(), strict=True):
-                known[part] = raw[at:end]
-                at = end
-
-    def _learn_words(self, words: list[bytes]) -> None:
-        cut = {}
-        for w in words:
-            text = w.decode("utf-8", "replace")
-            if self.LATIN(text):
-                body = text[:-1]
-                if text.isalpha():
-                    cut[w] = (text.lower(),)
-                elif text[-1] in ".," and body.isalpha():
-                    cut[w] = (body.lower(), text[-1])
-                else:
-                    cut[w] = self.CUT(text.lower())
-            else:
-                self.words[0][w] = self._ids(text)
-        if parts := self._missing(self.parts, {p for ps in cut.values() for p in ps}):
-            self._learn_parts(parts)
-        known = self.parts[0]
-        self.words[0].update((w, b"".join([known[p] for p in ps])) for w, ps in cut.items())
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, and the closing id."""
-        self.words, self.parts = self._renewed(self.words), self._renewed(self.parts)
-        # where a special token's string may stand, the tokenizer itself looks for it
-        lines = [None if "<|" in (t or "") else (t or "").encode("utf-8", "replace").split() for t in texts]
-        if new := self._missing(self.words, set().union(*(x for x in lines if x))):
-            self._learn_words(new)
-        known = self.words[0]
-        return [(self._ids(t) if x is None else b"".join([known[w] for w in x])) + self.closing for t, x in zip(texts, lines, strict=True)]
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def token_pieces(
-    docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, ids): the pieces of each document, ids as little-endian uint32 bytes."""
-    path = tokenizer_path or default_tokenizer_path()
-    schema = T.StructType(
-        [T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "doc_tokens")] + [T.StructField("ids", T.BinaryType())]
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
-        for batch in row_slices(batches, 256):
-            out: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                total = len(ids) // 4
-                out += [(doc_id, at, min(capacity, total - at), total, ids[4 * at : 4 * (at + capacity)]) for at in range(0, total, capacity)]
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            arrays = [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(columns[4], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "doc_tokens", "ids"])
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
-
-
-def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) -> Patterns:
     """Packing patterns (lengths in order of placing, number of sequences) for a histogram of lengths.
 
     Lengths are placed longest first. Of the patterns with room, the one with the least tokens takes the
@@ -208,7 +78,7 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) ->
     return [p for size in sizes for p in by_size[size]]
 
 
-def pattern_slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
+def pattern_slots(patterns: Patterns) -> list[tuple[int, int, int, int, int]]:
     """(length, first_rank, last_rank, first_sequence, offset): which ranks of a length fill which slot of which sequences."""
     placed: Counter[int] = Counter()
     slots, sequence = [], 0
@@ -222,9 +92,11 @@ def pattern_slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int
     return slots
 
 
-def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``pieces`` (doc_id, start, length and any others) with sequence_id and offset. ``pieces`` is read twice and has to give
-    the same partitions each time, as a checkpointed or written table does."""
+def assign_sequences(
+    pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, plan_for: Callable[[dict[int, int], int], Patterns] = shortest_pack_first
+) -> DataFrame:
+    """``pieces`` (doc_id, start, length and any others) with sequence_id and offset, by the patterns that ``plan_for`` makes of the
+    histogram of lengths. ``pieces`` is read twice and has to give the same partitions each time, as a checkpointed or written table does."""
     spark = pieces.sparkSession
     group, first, rank = fresh_names(pieces, "group", "first", "rank")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
@@ -236,7 +108,7 @@ def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY, group_rows: in
     within = Window.partitionBy("length", group).orderBy("doc_id", "start")
     ranked = dealt.withColumn(rank, F.row_number().over(within) - 1).join(firsts, ["length", group]).withColumn(rank, F.col(rank) + F.col(first))
 
-    slots = np.array(pattern_slots(shortest_pack_first(histogram, capacity)), dtype=np.int64).reshape(-1, 5)
+    slots = np.array(pattern_slots(plan_for(histogram, capacity)), dtype=np.int64).reshape(-1, 5)
     slots = slots[np.lexsort((slots[:, 1], slots[:, 0]))]
     plan = spark.sparkContext.broadcast((slots[:, 0] << 44 | slots[:, 1], slots[:, 3] - slots[:, 1], slots[:, 4]))
     names = [c for c in pieces.columns if c != "length"]
@@ -258,15 +130,16 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity:
     The pieces' figures are checkpointed, so the texts are tokenized once. The ids themselves stay with
     ``token_pieces``; ``packed_ids`` joins them to their places.
     """
-    pieces = token_pieces(docs, tokenizer_path, capacity)
-    figures = checkpointed(pieces.select("doc_id", "start", "length", "doc_tokens", F.crc32("ids").alias("ids_crc32")))
+    figures = checkpointed(token_pieces(docs, tokenizer_path, capacity, with_ids=False))
     return assign_sequences(figures, capacity)
 
 
-def packed_ids(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def packed_ids(
+    docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, plan_for: Callable[[dict[int, int], int], Patterns] = shortest_pack_first
+) -> DataFrame:
     """(sequence_id, length, ids): the packed sequences themselves, each at most ``capacity`` ids as bytes."""
     pieces = checkpointed(token_pieces(docs, tokenizer_path, capacity))
-    placed = assign_sequences(pieces, capacity)
+    placed = assign_sequences(pieces, capacity, plan_for=plan_for)
     rows = F.sort_array(F.collect_list(F.struct("offset", "ids")))
     return placed.groupBy("sequence_id").agg(F.sum("length").alias("length"), rows.alias("p")).select(
         "sequence_id", "length", F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])).alias("ids")

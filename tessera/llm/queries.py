@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontam, langid, lm, packing, pii, quality, secret_scan, simhash, urlfilter
+from tessera.llm import bin_packing, chat, decontam, hard_negatives, langid, lm, packing, pii, quality, resampling, secret_scan, simhash, urlfilter
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,9 +53,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_packing.pack_whole(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_quality_rules, op4_decontamination, op5_packing, op6_simhash, op7_url_filter, op8_pii, op9_lm_scoring, op10_chat_format)}
+    return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_quality_rules, op4_decontamination, op5_packing, op6_simhash, op7_url_filter, op8_pii, op9_lm_scoring, op10_chat_format, op11_importance_resampling, op12_hard_negatives, op13_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": urlfilter.oracle(), "op10_chat_format": chat.ORACLE}
+    return {"op7_url_filter": urlfilter.oracle(), "op10_chat_format": chat.ORACLE, "op11_importance_resampling": resampling.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}

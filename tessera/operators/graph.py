@@ -150,16 +150,6 @@ def gazetteer(names: DataFrame) -> DataFrame:
     return norm.groupBy("phrase").agg(F.countDistinct("slug").alias("n"), F.min("slug").alias("slug")).where("n = 1").drop("n")
 
 
-def gazetteer_mentions(texts: DataFrame, phrases: DataFrame, longest: int = 4) -> DataFrame:
-    """(id, phrase, slug, at): word runs of a text (id, text) that are phrases; inside a longer match shorter ones are dropped."""
-    words = texts.select("id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}']+"), 0).alias("w"))
-    runs = words.select("id", "w", F.posexplode("w").alias("at", "_"))
-    grams = runs.select("id", "at", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("at"))), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("w", F.col("at") + 1, n), " ").alias("phrase")))).alias("g"))
-    hits = grams.select("id", "at", "g.n", "g.phrase").join(phrases, "phrase")
-    reach = F.max(F.col("at") + F.col("n")).over(Window.partitionBy("id").orderBy("at", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
-    return hits.withColumn("_reach", reach).where(F.col("_reach").isNull() | (F.col("at") + F.col("n") > F.col("_reach"))).select("id", "phrase", "slug", "at")
-
-
 def alike_by_trigrams(names: DataFrame, tails: DataFrame, least: float) -> DataFrame:
     """(name, tail, sim) of distinct names and tails whose trigram sets have at least the similarity ``least``. In an order by
     rarity such sets share one of their first size - ceil(least * size) + 1 trigrams, so only these are joined."""

@@ -30,30 +30,6 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
 
 
-def term_index(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame | None = None) -> DataFrame:
-    """(term, id, tf, n_terms): an inverted index; write it bucketed by term to search it repeatedly without a shuffle.
-
-    For a search without a stored index pass its ``terms``: other terms are then dropped before anything is grouped.
-    """
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
-    rows = words.select("id", F.size("words").alias("n_terms"), F.explode("words").alias("term"))
-    if terms is not None:
-        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("n_terms").alias("n_terms"))
-
-
-def keyword_arm(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Documents with all terms of a query (query_id, query), scored by term density.
-
-    The query terms filter the index in a join before anything is grouped.
-    """
-    terms = query_terms(queries)
-    wanted = terms.groupBy("query_id").agg(F.count("*").alias("n_query_terms"))
-    found = index.join(terms, "term").groupBy("query_id", "id").agg(F.count("*").alias("matched"), F.sum("tf").alias("tf"), F.max("n_terms").alias("n_terms"))
-    whole = found.join(wanted, "query_id").where("matched = n_query_terms")
-    return top_k(whole.select("query_id", "id", (F.col("tf") / F.log(F.col("n_terms") + F.lit(2.0))).alias("score")), k)
-
-
 BLOCK_ROWS = 2048
 
 

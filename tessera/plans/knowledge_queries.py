@@ -14,7 +14,7 @@ from tessera.operators import ingest as I
 from tessera.operators import links as L
 from tessera.operators import search as S
 from tessera.plans.registry import query, table, texts
-from tessera.plans.search_queries import keyword_queries, longest_words
+from tessera.plans.search_queries import keyword_hits, keyword_queries, longest_words
 
 
 @query("""WITH h AS (SELECT n_regionkey AS query_id, n_nationkey AS id, 1.0 / (1 + n_nationkey) AS score FROM nation),
@@ -106,7 +106,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = vectors.join(queries.select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
     titled = docs.select(F.col("doc_id").alias("id"), F.element_at(longest_words(F.col("text"), 1), 1).alias("title")).where("title IS NOT NULL")
     found = {
-        "keyword": S.keyword_arm(S.term_index(docs, "doc_id", "text", S.query_terms(queries)), queries, fanout),
+        "keyword": keyword_hits(docs.select("doc_id", "text"), fanout),
         "vector": S.vector_arm(vectors, asked, fanout),
         "title": S.title_arm(titled, queries, fanout),
     }

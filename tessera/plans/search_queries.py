@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tessera.functions import rank as R
 from tessera.functions import text as X
 from tessera.functions.vector import cosine
+from tessera.operators import fulltext as FT
 from tessera.operators import search as S
+from tessera.operators.graph import reliable_checkpoint
 from tessera.plans.registry import query, table, texts
 
 NOW = "2024-02-01 00:00:00"
@@ -26,23 +28,34 @@ def keyword_queries(docs: DataFrame) -> DataFrame:
     return asked.where("query <> ''")
 
 
+def keyword_hits(docs: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best documents for each query of the stated block; a document's first three words are of class A, its text of class B."""
+    terms = reliable_checkpoint(FT.numbered_terms(keyword_queries(docs)))
+    opening = F.array_join(F.slice(X.tokens(F.col("text")), 1, 3), " ")
+    return FT.keyword_arm(FT.positional_index(docs, "doc_id", {"A": opening, "B": F.col("text")}, terms), terms, k)
+
+
 KEYWORD_SQL = r"""
 WITH q AS (SELECT doc_id AS query_id, list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')), lambda w: {'n': -length(w), 'w': w})), lambda r: r.w)[1:3] AS query FROM documents WHERE doc_id % 20 = 0),
-terms AS (SELECT DISTINCT query_id, unnest(query) AS term FROM q),
-n AS (SELECT query_id, count(*) AS wanted FROM terms GROUP BY 1),
+asked AS (SELECT query_id, unnest(query) AS term FROM q),
+terms AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY term) AS t, count(*) OVER (PARTITION BY query_id) AS n FROM asked),
 w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM documents),
-ix AS (SELECT doc_id, len(words) AS n_terms, unnest(words) AS term FROM w),
-m AS (SELECT query_id, doc_id, count(DISTINCT term) AS matched, count(*) AS tf, max(n_terms) AS n_terms FROM ix JOIN terms USING (term) GROUP BY 1, 2),
-s AS (SELECT query_id, doc_id AS id, tf / ln(n_terms + 2.0) AS score FROM m JOIN n USING (query_id) WHERE matched = wanted),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+ix AS (SELECT doc_id AS id, unnest(range(1, len(words[1:3]) + 1)) AS pos, 1.0::DOUBLE AS inv, unnest(words[1:3]) AS term FROM w
+  UNION ALL SELECT doc_id, unnest(range(len(words[1:3]) + 1, len(words[1:3]) + len(words) + 1)), 2.5, unnest(words) FROM w),
+e AS (SELECT query_id, id, pos, t, n, row_number() OVER d AS i, sum(inv) OVER d AS upto, inv FROM ix JOIN terms USING (term) WINDOW d AS (PARTITION BY query_id, id ORDER BY pos)),
+l AS (SELECT *, max(i) FILTER (t = 1) OVER d AS a, max(i) FILTER (t = 2) OVER d AS b, max(i) FILTER (t = 3) OVER d AS c FROM e WINDOW d AS (PARTITION BY query_id, id ORDER BY pos)),
+f AS (SELECT *, CASE WHEN n = 1 THEN a WHEN n = 2 THEN CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN least(a, b) END WHEN a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL THEN least(a, b, c) END AS first FROM l),
+covers AS (SELECT query_id, id, first, min(i) AS last, min(pos) AS q, min(upto) AS upto FROM f WHERE first IS NOT NULL GROUP BY 1, 2, 3),
+s AS (SELECT v.query_id, v.id, sum((last - first + 1) / (v.upto - e.upto + e.inv) / (1 + q - e.pos - last + first)) AS score FROM covers v JOIN e ON e.query_id = v.query_id AND e.id = v.id AND e.i = first GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s)
 """
 
 
 @query(KEYWORD_SQL + "SELECT query_id, r.id, round(score, 6) AS score, rank, length(text) AS n_chars FROM r JOIN documents d ON d.doc_id = r.id WHERE rank <= 10")
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All-terms lexical search for several queries; texts are joined after the cut."""
+    """All-terms lexical search for several queries, ranked by weighted cover density; texts are joined after the cut."""
     docs = texts(spark, sf_dir, "documents", "doc_id", "text")
-    hits = S.keyword_arm(S.term_index(docs, "doc_id", "text", S.query_terms(keyword_queries(docs))), keyword_queries(docs), 10)
+    hits = keyword_hits(docs, 10)
     return hits.join(docs.select(F.col("doc_id").alias("id"), F.length("text").alias("n_chars")), "id").select("query_id", "id", F.round("score", 6).alias("score"), "rank", "n_chars")
 
 
@@ -168,7 +181,7 @@ FROM r JOIN documents d ON d.doc_id = r.id WHERE rank <= 50) SELECT query_id, id
 def token_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix of a ranking whose texts fit a token budget."""
     docs = texts(spark, sf_dir, "documents", "doc_id", "text")
-    hits = S.keyword_arm(S.term_index(docs, "doc_id", "text", S.query_terms(keyword_queries(docs))), keyword_queries(docs), 50)
+    hits = keyword_hits(docs, 50)
     found = hits.join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
     return S.within_token_budget(found, 12000).select("query_id", "id", "rank", F.col("spent").cast("long").alias("spent"))
 

@@ -11,6 +11,7 @@ from tessera.operators import chunking as C
 from tessera.operators import fences as N
 from tessera.operators import graph as G
 from tessera.operators import links as L
+from tessera.operators import mentions as M
 from tessera.operators import upkeep as U
 from tessera.plans.registry import query, table
 from tessera.sources import files as S
@@ -221,13 +222,42 @@ def body_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.body_timeline(parts.select("slug", written("# P\n- 2024-01-01: before\n## Timeline\n%s\n- 2024-02-30: no such day\n### %s Latest\n## Notes\n%s\n- 2024-05-01: after", "b", "d", "c").alias("body")))
 
 
-@query("""SELECT c_custkey AS id, 'house ' || c_nationkey || ' east' AS phrase, 'e' || c_nationkey AS slug, 1 AS "at" FROM customer UNION ALL SELECT c_custkey, 'house ' || (c_nationkey + 1), 'h' || (c_nationkey + 1), 6 FROM customer WHERE c_nationkey + 1 IN (SELECT n_nationkey FROM nation)""")
+MENTIONS_SQL = """
+WITH c AS (SELECT c_custkey AS id, c_nationkey AS k, (c_nationkey + 1) % 25 AS l FROM customer),
+m AS (SELECT id, 1 AS "at", 'house ' || k || ' east' AS phrase, 'e' || k AS slug FROM c
+ UNION ALL SELECT id, 7, 'house ' || l, 'h' || l FROM c
+ UNION ALL SELECT id, 18, 'house ' || k || ' of the north sea', 'n' || k FROM c
+ UNION ALL SELECT id, 28, 'o''neil & co.', 'oneil' FROM c WHERE k % 2 = 0
+ UNION ALL SELECT id, 36, 'house ' || k, 'h' || k FROM c)
+"""
+
+
+def nation_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of every nation, some within others, one overlapping another, and one with signs."""
+    n = table(spark, sf_dir, "nation")
+    named = lambda phrase, slug: n.select(written(phrase, "n_nationkey").alias("phrase"), F.concat(F.lit(slug), "n_nationkey").alias("slug"))
+    names = named("house %s", "h").unionAll(named("house %s east", "e")).unionAll(named("house %s of the north sea", "n")).unionAll(named("%s east met", "x"))
+    return names.unionAll(spark.createDataFrame([("o'neil & co.", "oneil")], "phrase string, slug string"))
+
+
+def customer_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A note for each customer with names that overlap, in code, in a link, in small letters, across lines, with signs, and cut by letters."""
+    c, other = table(spark, sf_dir, "customer"), (F.col("c_nationkey") + 1) % 25
+    signs = F.when(F.col("c_nationkey") % 2 == 0, "  O'Neil & Co. came;").otherwise(" O'Neil & Co.s;")
+    opening = written("The House %s East met then in House %s. `House 3 East` and [[House 4]], a house 5 of cards; ", "c_nationkey", other)
+    return c.select(F.col("c_custkey").alias("id"), F.concat(opening, written("House\n%s of the  North Sea was Warehouse %s?", "c_nationkey", "c_nationkey"), signs, written(" HOUSE %s", "c_nationkey")).alias("text"))
+
+
+@query(MENTIONS_SQL + "SELECT * FROM m")
 def gazetteer_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest matches of two names a nation in one text a customer; the shorter name inside the longer is no mention."""
-    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    phrases = n.select(written("house %s", "n_nationkey").alias("phrase"), F.concat(F.lit("h"), "n_nationkey").alias("slug")).unionAll(n.select(written("house %s east", "n_nationkey"), F.concat(F.lit("e"), "n_nationkey")))
-    texts = c.select(F.col("c_custkey").alias("id"), written("The House %s East met  in House %s.", "c_nationkey", F.col("c_nationkey") + 1).alias("text"))
-    return G.gazetteer_mentions(texts, phrases)
+    """Leftmost-longest matches of all names in a note a customer, names of six words and with signs among them."""
+    return M.mentions(customer_notes(spark, sf_dir), nation_names(spark, sf_dir))
+
+
+@query(MENTIONS_SQL + """SELECT 'page' || id AS src, slug AS dst, min("at") AS "at" FROM m GROUP BY 1, 2""")
+def mention_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links from each customer's page to the pages that its note names, by first mention."""
+    return M.mention_links(customer_notes(spark, sf_dir).withColumn("id", F.concat(F.lit("page"), "id")), M.usable_names(nation_names(spark, sf_dir)))
 
 
 @query("""WITH p AS (SELECT DISTINCT 'parts/' || replace(p_name, ' ', '-') AS slug, replace(p_name, ' ', '-') AS tail FROM part),

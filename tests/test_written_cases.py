@@ -12,6 +12,7 @@ from tessera.operators import chunking as C
 from tessera.operators import fences as N
 from tessera.operators import graph as G
 from tessera.operators import links as L
+from tessera.operators import mentions as M
 from tessera.operators import upkeep as U
 from tessera.sources import files as S
 from tessera.sources import transcripts as H
@@ -178,7 +179,7 @@ def gazetteer_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest matches of page names in texts."""
     phrases = spark.createDataFrame([("united states", "us"), ("states", "st"), ("france", "fr"), ("united kingdom", "uk")], "phrase string, slug string")
     texts = spark.createDataFrame([(1, "The United States and France"), (2, "United Kingdom!"), (3, None)], "id int, text string")
-    return G.gazetteer_mentions(texts, phrases)
+    return M.mentions(texts, phrases)
 
 
 @query("SELECT * FROM (VALUES ('k1',1.0::DOUBLE,0), ('k2',0.5,1), ('k3',0.5,1), ('k4',0.333333,2)) t(id, score, hop)")

@@ -22,7 +22,6 @@ FIELD_LINKS = {
     ("", "related"): ("related_to", "outgoing"), ("", "see_also"): ("related_to", "outgoing"),
 }
 FIELD_CONFIDENCE = 0.8
-CONTEXT_CHARS = 120
 # fixed values: question shapes with link types and direction; the seed is the first group
 SEED = r"[\"']?(.{1,80}?)[\"']?"
 QUESTIONS = (
@@ -55,22 +54,6 @@ def replaced_links(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return stored.join(fresh.select("src").distinct(), "src", "left_anti").unionByName(fresh)
 
 
-def verb_type(context: Column) -> Column:
-    out = F.lit("mentions")
-    for kind, pattern in reversed(VERB_PHRASES.items()):
-        out = F.when(context.rlike(pattern), kind).otherwise(out)
-    return out
-
-
-def verb_links(pages: DataFrame) -> DataFrame:
-    """(src, target, type): each wikilink typed by the words around it; media pages only mention."""
-    found = pages.select("slug", "type", "body", F.explode(wikilinks(strip_code(F.col("body")))).alias("target"))
-    at = F.expr("instr(body, concat('[[', target))")
-    around = F.substring(F.col("body"), F.greatest(at - CONTEXT_CHARS, F.lit(1)), F.lit(2 * CONTEXT_CHARS) + F.length("target"))
-    kind = F.when(F.col("type").isin("media", "meeting"), "mentions").otherwise(verb_type(around))
-    return found.select(F.col("slug").alias("src"), "target", kind.alias("type"))
-
-
 def field_links(fields: DataFrame) -> DataFrame:
     """(src, dst, type, confidence) of page fields (slug, type, field, value); the rules are a small table joined by type and field."""
     spark = fields.sparkSession

@@ -44,6 +44,12 @@ def scannable(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+@F.pandas_udf(T.StringType())
+def without_code(text: pd.Series) -> pd.Series:
+    """The text with code blanked, each character by a space."""
+    return text.map(lambda t: None if t is None else CODE_SPAN.sub(lambda m: " " * len(m[0]), t))
+
+
 def atoms(text: Column) -> Column:
     """The atoms of a text, each with a space before it where white space stands there."""
     return F.transform(F.regexp_extract_all(text, F.lit(rf"(\s*)({ATOM})"), 0), lambda a: F.when(a.rlike(r"^\s"), F.concat(F.lit(" "), F.regexp_replace(a, r"^\s+", ""))).otherwise(a))

@@ -11,6 +11,7 @@ from tessera.operators import chunking as C
 from tessera.operators import fences as N
 from tessera.operators import graph as G
 from tessera.operators import links as L
+from tessera.operators import linktypes as LT
 from tessera.operators import mentions as M
 from tessera.operators import upkeep as U
 from tessera.plans.registry import query, table
@@ -127,13 +128,39 @@ def wikilink_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.resolved_links(L.page_wikilinks(pages), pages)
 
 
-@query("""SELECT c_name AS src, c_mktsegment AS target, CASE WHEN c_custkey % 10 = 9 THEN 'mentions' ELSE (['founded', 'works_at', 'advises', 'mentions'])[c_custkey % 4 + 1] END AS type FROM customer""")
+VERBS = ("co-founded", "invested in", "is a technical advisor to", "works at", "met")
+
+
+@query("""WITH c AS (SELECT 'people/' || c_custkey AS src, c_custkey AS k, c_nationkey AS n FROM customer),
+kinds AS (SELECT *, (['founded', 'invested_in', 'advises', 'works_at', NULL])[k % 5 + 1] AS verb, CASE WHEN k % 7 = 6 THEN NULL WHEN k % 3 = 1 THEN 'invested_in' WHEN k % 5 = 2 THEN 'advises' WHEN k % 3 = 0 THEN 'works_at' END AS role FROM c)
+SELECT src, 'companies/' || n AS target, CASE WHEN k % 7 = 6 THEN 'mentions' ELSE coalesce(verb, role, 'mentions') END AS type FROM kinds
+UNION ALL SELECT src, 'companies/' || n || '-labs', coalesce(role, 'mentions') FROM kinds
+UNION ALL SELECT src, 'companies/listed', CASE WHEN k % 7 <> 6 AND k % 2 = 0 THEN 'founded' ELSE 'mentions' END FROM kinds
+UNION ALL SELECT src, 'people/' || (k + 1), 'mentions' FROM kinds""")
 def verb_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wikilinks of one page a customer, typed by the verb before them; media pages only mention."""
+    """Links of a page a customer, typed by the words around any of their mentions or by the role that the page states; the name of one
+    target begins another's, a list alone lends no role, and media pages only mention."""
     k = F.col("c_custkey")
-    verb = F.element_at(F.array(*map(F.lit, ("founded", "works at", "advised", "met"))), (k % 4 + 1).cast("int"))
-    pages = table(spark, sf_dir, "customer").select(F.col("c_name").alias("slug"), F.when(k % 10 == 9, "media").otherwise("person").alias("type"), written("%s %s [[%s]].", "c_name", verb, "c_mktsegment").alias("body"))
-    return L.verb_links(pages)
+    verb = F.element_at(F.array(*map(F.lit, VERBS)), (k % 5 + 1).cast("int"))
+    role = F.element_at(F.array(*map(F.lit, ("is on the team at large", "is a venture partner", "likes tea"))), (k % 3 + 1).cast("int"))
+    far = F.lit("x" * 300)
+    body = written("She %s. [[companies/%s-labs]] is near [[people/%s]] and [[companies/%s]]. %s\nIn May she %s [[companies/%s#team|the firm]]. %s\n## Timeline\n- 2024: %s [[companies/listed]]\n### 2023\n- [[companies/listed]] `[[companies/code]]`",
+                   role, "c_nationkey", k + 1, "c_nationkey", far, verb, "c_nationkey", far, F.when(k % 2 == 0, "founded").otherwise("saw"))
+    pages = table(spark, sf_dir, "customer").select(F.concat(F.lit("people/"), k).alias("slug"), F.when(k % 7 == 6, "media").otherwise("person").alias("type"), body.alias("body"))
+    return LT.typed_links(pages)
+
+
+@query("""WITH c AS (SELECT 'meetings/' || conv_id AS src, conv_id AS k, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT src, 'people/' || (k * 100 + i) AS target, 'attended' AS type FROM c, unnest(range(n)) t(i)
+UNION ALL SELECT src, 'host' || k, 'attended' FROM c UNION ALL SELECT src, 'people/late' || k, 'mentions' FROM c UNION ALL SELECT src, 'companies/' || k, 'mentions' FROM c
+UNION ALL SELECT src, 'people/todo' || k, 'mentions' FROM c UNION ALL SELECT src, 'people/twice' || k, 'attended' FROM c""")
+def meeting_attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who attended: a meeting page a conversation with a section of those present, a line that names more, asides, code and tasks."""
+    c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("k")).agg(F.count("*").alias("n"))
+    listed = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.concat(F.lit("- [[people/"), F.col("k") * 100 + i, F.lit("]]"))), "\n")
+    body = written("# Sync\nRecap by [[people/twice%s]].\n## Attendees\n%s\n- [[people/twice%s|T]] (host), [[people/late%s]]\n- [[companies/%s]]\n#### Remote\n```\n## Attendees\n- [[people/code%s]]\n```\n## Tasks\n- [[people/todo%s]]\n**Participants:** [[host%s]] & [[companies/%s]], then [[people/late%s]]",
+                   "k", listed, *["k"] * 8)
+    return LT.typed_links(c.select(F.concat(F.lit("meetings/"), "k").alias("slug"), F.lit("meeting").alias("type"), body.alias("body")))
 
 
 @query("""SELECT DISTINCT * FROM (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst, 'attended' AS type, 0.8::DOUBLE AS confidence FROM orders UNION ALL SELECT 'o' || o_orderkey, 'day ' || strftime(o_orderdate, '%Y-%m-%d'), 'related_to', 0.8 FROM orders

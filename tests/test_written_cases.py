@@ -12,6 +12,7 @@ from tessera.operators import chunking as C
 from tessera.operators import fences as N
 from tessera.operators import graph as G
 from tessera.operators import links as L
+from tessera.operators import linktypes as LT
 from tessera.operators import mentions as M
 from tessera.operators import upkeep as U
 from tessera.sources import files as S
@@ -103,10 +104,10 @@ def wikilink_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.resolved_links(L.page_wikilinks(notes(spark)), notes(spark))
 
 
-@query("SELECT * FROM (VALUES ('people/ada','Acme','founded'), ('people/ada','Bob','founded'), ('people/ada','Initech','founded'), ('people/bob','companies/acme#team','works_at'), ('people/bob','Nobody','works_at')) t(src, target, type)")
+@query("SELECT * FROM (VALUES ('people/ada','Acme','founded'), ('people/ada','Bob','founded'), ('people/ada','Initech','founded'), ('people/bob','companies/acme','works_at'), ('people/bob','Nobody','works_at')) t(src, target, type)")
 def verb_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wikilinks typed by the words around them."""
-    return L.verb_links(notes(spark))
+    return LT.typed_links(notes(spark))
 
 
 @query("SELECT * FROM (VALUES ('ada','acme','works_at',0.8::DOUBLE), ('ada','initech','works_at',0.8), ('bob','m1','attended',0.8), ('ada','x','related_to',0.8)) t(src, dst, type, confidence)")

@@ -212,13 +212,6 @@ def refine(primary: DataFrame, second: DataFrame) -> DataFrame:
     return arms.groupBy("query_id", "id").agg(F.sum(R.rrf(F.col("rank"))).alias("score"))
 
 
-def cached_answers(cache: DataFrame, queries: DataFrame, now: Column, min_similarity: float = 0.92, ttl_seconds: int = 3600) -> DataFrame:
-    """The nearest fresh cached query (key, vector, stored_at) of each query, if near enough."""
-    fresh = cache.where(F.unix_timestamp(now) - F.unix_timestamp("stored_at") <= ttl_seconds)
-    near = fresh.crossJoin(F.broadcast(queries) if queries.isLocal() else queries).withColumn("similarity", cosine(F.col("vector"), F.col("query_vector")))
-    return top_k(near.where(F.col("similarity") >= min_similarity), 1, "similarity", tie="key")
-
-
 def cache_is_fresh(entries: DataFrame, generations: DataFrame) -> DataFrame:
     """(key, fresh): all documents of an entry (key, doc_generations map) are still at the generation it saw."""
     seen = entries.select("key", F.explode_outer("doc_generations").alias("document_id", "seen"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import rank as R
 from tessera.functions import text as X
-from tessera.functions.vector import cosine
 from tessera.operators import fulltext as FT
+from tessera.operators import querycache as QC
 from tessera.operators import search as S
 from tessera.operators.graph import reliable_checkpoint
 from tessera.plans.registry import query, table, texts
@@ -265,59 +265,67 @@ def neardup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT vec_id, label, round(1 - list_cosine_similarity(v, c), 5) AS distance FROM e, g WHERE list_cosine_similarity(v, c) >= 0.2""")
 def semantic_cache_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine distance of vectors to a stated block of cached queries."""
-    v = table(spark, sf_dir, "embeddings")
-    cached = v.where("vec_id % 20 = 0").select("label", F.col("embedding").alias("c"))
-    d = v.select("vec_id", "embedding").crossJoin(cached).withColumn("s", cosine(F.col("embedding"), F.col("c")))
-    return d.where("s >= 0.2").select("vec_id", "label", F.round(1 - F.col("s"), 5).alias("distance"))
-
-
-@query(r"""SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS claim_key,
-len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS n_words, substr(sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))), 1, 16) AS value_hash FROM documents""")
-def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token estimate, claim key, word count and value hash."""
-    d, t = table(spark, sf_dir, "documents"), F.col("text")
-    return d.select("doc_id", X.estimated_tokens(t).alias("tokens"), X.claim_key(t).alias("claim_key"), F.size(X.tokens(t)).alias("n_words"), X.value_hash(t).alias("value_hash"))
-
-
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, '(?i)\b[\w.%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b')) AS n_emails,
-CAST((length(text) - length(replace(text, chr(10), ''))) AS INTEGER) AS n_breaks FROM documents""")
-def email_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E-mail addresses of documents, counted by regular expression."""
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"(?i)\b[\w.%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b"), 0)).alias("n_emails"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("n_breaks"))
-
-
-@query()
-def pii_scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with personal data masked, where that changes them (word boundaries differ between engines)."""
-    d = texts(spark, sf_dir, "documents", "doc_id", "text").withColumn("scrubbed", X.scrub_pii(F.col("text")))
-    return d.where("scrubbed <> text").select("doc_id", "scrubbed")
-
-
-@query(r"""SELECT page_id, round(1 - length(regexp_replace(regexp_replace(html, '(?i)</?[a-z][^>]{0,512}>', '', 'g'), '\s+', '', 'g')) / length(regexp_replace(html, '\s+', '', 'g')), 6) AS tag_share,
-regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""")
-def page_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of a page that is tags, and its title."""
-    p, bare = table(spark, sf_dir, "pages"), lambda c: F.length(F.regexp_replace(c, r"\s+", ""))
-    share = 1 - bare(F.regexp_replace("html", r"(?i)</?[a-z][^>]{0,512}>", "")) / bare(F.col("html"))
-    return p.select("page_id", F.round(share, 6).alias("tag_share"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    v = table(spark, sf_dir, "embeddings").withColumn("bucket", F.lit(0))
+    cached = v.where("vec_id % 20 = 0").select(F.col("label").alias("key"), "bucket", F.col("embedding").alias("vector"))
+    pairs = QC.near_vectors(v.select(F.col("vec_id").alias("query_id"), "bucket", F.col("embedding").alias("vector")), cached, 0.2)
+    return pairs.select(F.col("query_id").alias("vec_id"), F.col("key").alias("label"), F.round(1 - F.col("similarity"), 5).alias("distance"))
+
+
+CACHE_SQL = """
+WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+asked AS (SELECT a.vec_id AS query_id, a.label AS bucket, list_transform(list_zip(a.v, b.v), lambda p: p[1] + (CASE WHEN a.vec_id % 40 = 0 THEN 0.3 ELSE 0.6 END) * p[2]) AS q FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 20 IN (0, 1)),
+cache AS (SELECT vec_id AS key, label AS bucket, v, CASE WHEN vec_id % 3 = 0 THEN 7 ELSE 5 END AS clock, vec_id % 90 AS age, CASE WHEN vec_id % 11 <> 0 THEN vec_id END AS document_id, vec_id % 3 + (vec_id % 5 = 0)::INT AS seen,
+  CASE WHEN vec_id % 13 = 0 THEN 0 ELSE vec_id % 4 + 1 END AS n_results FROM e),
+fresh AS (SELECT c.*, clock = 7 OR coalesce(d.doc_id % 3 = seen, false) AS fresh FROM cache c LEFT JOIN documents d ON d.doc_id = c.document_id)
+"""
 
 
-@query()
-def page_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content sanity flags and markup ratio of pages."""
-    return table(spark, sf_dir, "pages").select("page_id", X.sanity_flags(F.col("html")).alias("flags"), F.round(X.markup_ratio(F.col("html")), 6).alias("markup_ratio"))
-
-
-@query("""WITH n AS (SELECT n_name, lower(n_name) AS s FROM nation),
-g AS (SELECT n_name, list_distinct(flatten(list_transform(string_split(s, ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS t FROM n)
-SELECT a.n_name AS a, b.n_name AS b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) AS similarity
-FROM g a JOIN g b ON a.n_name < b.n_name AND len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.1""")
-def trigram_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names alike by trigrams, joined on shared trigrams rather than compared all with all."""
-    n = table(spark, sf_dir, "nation").select("n_name", X.trigrams(F.col("n_name")).alias("t"))
-    g = n.select("n_name", F.size("t").alias("n"), F.explode("t").alias("g"))
-    a, b = g.select(F.col("n_name").alias("a"), F.col("n").alias("na"), "g"), g.select(F.col("n_name").alias("b"), F.col("n").alias("nb"), "g")
-    shared = a.join(b, "g").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("i"))
-    sim = F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))
-    return shared.where(sim >= 0.1).select("a", "b", F.round(sim, 6).alias("similarity"))
+def answer_cache(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """An entry for every vector, of two clocks, some without documents or results, some whose document changed or is gone; and the documents."""
+    k = F.col("vec_id")
+    seen = F.create_map(k, k % 3 + (k % 5 == 0).cast("int"))
+    results = F.when(k % 13 == 0, F.array().cast("array<long>")).otherwise(F.array_repeat(k, (k % 4 + 1).cast("int")))
+    cache = table(spark, sf_dir, "embeddings").select(
+        k.alias("key"), F.col("label").alias("bucket"), F.col("embedding").alias("vector"), F.when(k % 3 == 0, 7).otherwise(5).alias("clock"),
+        F.when(k % 11 == 0, F.map_from_arrays(F.array().cast("array<long>"), F.array().cast("array<long>"))).otherwise(seen).alias("doc_generations"),
+        (F.lit(NOW).cast("timestamp") - F.make_dt_interval(mins=(k % 90).cast("int"))).alias("stored_at"), F.concat(F.lit("i"), k % 2).alias("intent"), results.alias("result_ids"),
+    )
+    return cache, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 3).alias("generation"))
+
+
+@query(CACHE_SQL + """, s AS (SELECT query_id, key, list_cosine_similarity(q, v) AS s, n_results FROM asked JOIN fresh USING (bucket) WHERE fresh AND age < 60),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, key) AS n FROM s WHERE s > 0.92)
+SELECT query_id, key, round(s, 6) AS similarity, 'i' || (key % 2) AS intent, n_results FROM r WHERE n = 1 AND n_results > 0""")
+def cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest young and fresh cached answer to each question of a stated block, by an exact threshold join."""
+    cache, documents = answer_cache(spark, sf_dir)
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("next"))
+    own = table(spark, sf_dir, "embeddings").where("vec_id % 20 IN (0, 1)")
+    weight = F.when(F.col("query_id") % 40 == 0, 0.3).otherwise(0.6)
+    both = own.select(F.col("vec_id").alias("query_id"), F.col("label").alias("bucket"), "embedding").join(v.withColumn("query_id", F.col("vec_id") - 1), "query_id")
+    asked = both.select("query_id", "bucket", F.zip_with("embedding", "next", lambda a, b: a.cast("double") + weight * b.cast("double")).alias("vector"))
+    hits = QC.semantic_hits(asked, cache, documents, 7, F.lit(NOW).cast("timestamp"))
+    return hits.select("query_id", "key", F.round("similarity", 6).alias("similarity"), "intent", F.size("result_ids").cast("long").alias("n_results"))
+
+
+@query(CACHE_SQL + "SELECT key, clock::INT AS clock, fresh FROM fresh")
+def cache_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each cached answer may still be served."""
+    cache, documents = answer_cache(spark, sf_dir)
+    return QC.with_freshness(cache, documents, 7).select("key", "clock", "fresh")
+
+
+@query(CACHE_SQL + "SELECT bucket, count(*) AS kept, min(key) AS first_key, max(age) AS oldest FROM fresh WHERE fresh GROUP BY 1")
+def cache_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pruning leaves of a cache, by bucket."""
+    kept = QC.pruned(*answer_cache(spark, sf_dir), 7)
+    age = F.timestamp_diff("MINUTE", F.col("stored_at"), F.lit(NOW).cast("timestamp"))
+    return kept.groupBy("bucket").agg(F.count("*").alias("kept"), F.min("key").alias("first_key"), F.max(age).alias("oldest"))
+
+
+@query(CACHE_SQL + "SELECT key, 'i' || (key % 2) AS intent, n_results FROM fresh WHERE fresh AND n_results > 0 AND key % 2 = 0")
+def cached_exactly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fresh answers to every second key."""
+    cache, documents = answer_cache(spark, sf_dir)
+    found = QC.exact_hits(cache.where("key % 2 = 0").select("key"), cache, documents, 7)
+    return found.select("key", "intent", F.size("result_ids").cast("long").alias("n_results"))

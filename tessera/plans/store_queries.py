@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import query, table
 from tessera.plans.source_queries import shared_folder
 from tessera.sources import connectors as CN
+from tessera.sources import exports as EX
+from tessera.sources import sweep as SW
+from tessera.sources.store import Store
 from tessera.streaming import ledger as LG
 from tessera.streaming import streams as W
 
@@ -66,3 +72,101 @@ def stream_refused_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = Window.partitionBy("connector").orderBy(F.desc("version"))
     now = out.withColumn("_n", F.rank().over(last)).where("_n = 1 AND place > 0")
     return now.select("connector", "slug", "code", F.col("at").cast("timestamp_ntz").alias("at"), "place")
+
+
+def event_store(spark: SparkSession, folder: str) -> Store:
+    """Events by day."""
+    return Store(spark, folder, "event_id long, ts timestamp, event_type string", F.to_date("ts"))
+
+
+@query("""WITH e AS (SELECT event_id, ts, CAST(ts AS DATE) AS day FROM events), c AS (SELECT max(ts) - INTERVAL '10 days 6 hours' AS cut FROM events)
+SELECT day, count(*) AS n, min(ts) AS first_at, day > CAST(cut AS DATE) AS untouched FROM e, c WHERE ts >= cut GROUP BY day, cut""")
+def purge_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events stored by day and purged by age: expired days are dropped unread, the day of the cut is written anew, younger days keep their files."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    store = event_store(spark, shared_folder(spark))
+    before = store.change("load", 0, lambda base: ([str(r[0]) for r in events.select(F.to_date("ts")).distinct().collect()], events, {}))
+    cut = events.agg(F.expr("max(ts) - interval 10 days 6 hours")).first()[0]
+    day = str(cut.date())
+    after = store.purge(F.col("ts") < F.lit(cut), lambda p: None if p == day else p < day, "purge", 0)
+    kept = spark.createDataFrame([(p, before.parts.get(p) == f) for p, f in after.parts.items()], "day string, untouched boolean")  # a row a day
+    rows = store.rows().groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.min("ts").cast("timestamp_ntz").alias("first_at"))
+    return rows.join(F.broadcast(kept.withColumn("day", F.col("day").cast("date"))), "day")
+
+
+@query("""SELECT generation, count(*) AS n, round(sum(price), 2) AS total FROM (
+SELECT 1 AS generation, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL
+SELECT 2, CASE WHEN o_orderkey % 5 = 0 THEN 2 * o_totalprice ELSE o_totalprice END FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 5 = 0 UNION ALL
+SELECT 3, CASE WHEN o_orderkey % 5 = 0 THEN 2 * o_totalprice ELSE o_totalprice END FROM orders WHERE (o_orderkey % 3 <> 0 OR o_orderkey % 5 = 0) AND o_orderstatus <> 'F') GROUP BY 1""")
+def store_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store read as of each of its generations: a load, an upsert that is run twice, and a purge of what is finished."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"), F.lit(1).alias("version"))
+    store = Store(spark, shared_folder(spark), "id long, price double, status string, version int", F.pmod(F.xxhash64("id"), F.lit(8)))
+    store.upsert(o.where("id % 3 <> 0"), ["id"], "version", "load", 0)
+    for _ in range(2):
+        store.upsert(o.where("id % 5 = 0").withColumns({"price": 2 * F.col("price"), "version": F.lit(2)}), ["id"], "version", "load", 1)
+    store.purge(F.col("status") == "F", lambda part: None, "purge", 0)
+    parts = [store.rows(as_of=g).agg(F.lit(g).alias("generation"), F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total")) for g in (1, 2, 3)]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@query(r"""WITH d AS (SELECT *, doc_id // 25 AS folder FROM documents), f AS (SELECT folder, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS text FROM d GROUP BY 1)
+SELECT folder, CASE WHEN folder % 10 = 7 OR folder % 4 = 0 THEN 2 ELSE 1 END AS sweep, md5(CASE WHEN folder % 10 <> 7 AND folder % 4 = 0 THEN text || 'changed ' || folder || chr(10) ELSE text END) AS hash FROM f WHERE folder % 10 <> 3""")
+def incremental_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written from all documents and swept; then some change, some go and some come, and they are swept twice more. ``sweep`` tells when a file was read."""
+    folder = shared_folder(spark)
+    root, store = f"{folder}/files", SW.file_store(spark, f"{folder}/store")
+    number = F.floor(F.col("doc_id") / 25)
+    rows = table(spark, sf_dir, "documents").select(number.alias("folder"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    put_files(rows.where("folder % 10 <> 7"), root)
+    SW.sweep(store, root, 1)
+    put_files(rows.where("folder % 10 = 7"), root)
+    changed = rows.where("folder % 4 = 0 AND folder % 10 NOT IN (3, 7)")
+    put_files(changed.unionByName(changed.groupBy("folder").agg(F.max("doc_id").alias("doc_id")).withColumn("text", F.concat(F.lit("changed "), "folder"))), root)
+    drop_files(spark, root, lambda n: n % 10 == 3)
+    SW.sweep(store, root, 2)
+    SW.sweep(store, root, 3)
+    return store.rows().select(F.regexp_extract("path", r"folder=(\d+)", 1).cast("long").alias("folder"), "sweep", F.md5("text").alias("hash"))
+
+
+def put_files(rows: DataFrame, root: str) -> None:
+    """One file ``notes.md`` a folder, with the texts of its rows in order; one that is there is replaced."""
+    spark = rows.sparkSession
+    apart = f"{root}-{uuid.uuid4().hex}"
+    rows.repartition("folder").sortWithinPartitions("folder", "doc_id", F.col("text").startswith("changed ")).select("folder", "text").write.partitionBy("folder").text(apart)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(apart).getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in files.globStatus(path(f"{apart}/folder=*/part-*")):
+        to = path(f"{root}/{f.getPath().getParent().getName()}/notes.md")
+        files.mkdirs(to.getParent())
+        files.delete(to, False)
+        files.rename(f.getPath(), to)
+
+
+def drop_files(spark: SparkSession, root: str, which: Callable[[int], bool]) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in files.listStatus(path(root)):
+        if which(int(f.getPath().getName().split("=")[1])):
+            files.delete(f.getPath(), True)
+
+
+@query("""SELECT lang, count(*) AS n, sum(n_chars) AS n_chars, CAST(ceil(count(*) / 100.0) AS BIGINT) AS files, 0::BIGINT AS faults FROM documents GROUP BY lang""")
+def corpus_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents exported as JSON by language in files of at most 100 rows with a manifest, read back and checked against it."""
+    folder = shared_folder(spark)
+    docs = table(spark, sf_dir, "documents")
+    EX.export_rows(docs, folder, "json", ["lang"], 100)
+    back = EX.read_back(spark, folder, docs.schema, "json")
+    faults = EX.export_faults(spark, folder, docs.schema, "json").agg(F.count("*").alias("faults"))
+    files = F.count_distinct(F.col("_metadata.file_path"))
+    return back.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"), files.alias("files")).crossJoin(F.broadcast(faults))
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS n_a, (SELECT count(*) FROM documents) AS n_b, true AS same")
+def export_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as Parquet in bounded files and read back the same."""
+    folder = shared_folder(spark)
+    docs = table(spark, sf_dir, "documents")
+    EX.export_rows(docs, folder, "parquet", rows_a_file=150)
+    return EX.same_rows(docs, EX.read_back(spark, folder, docs.schema))

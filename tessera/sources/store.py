@@ -1,17 +1,18 @@
 """A versioned table in a folder that the cluster shares: rows in parts, and a manifest for each generation.
 
 A commit writes the parts that it changes beside the old ones and then a manifest that says which files hold each part; a reader follows one
-manifest, so it sees one generation whole. A manifest is created only if its number is free: of two writers that began at the same generation one wins,
+manifest, so it sees one generation whole. A manifest takes its number in one step, and only if it is free: of two writers that began at the same generation one wins,
 and the other reads again and repeats its work. A batch is named in the manifest together with what it did, so a batch that is run again after a
 failure finds itself there and changes nothing. Parts that a commit does not change keep their files.
 
-Defined results: an empty folder is generation 0 without rows; a manifest that was cut short while being written is passed over; files of a commit that
-lost are not read.
+Defined results: an empty folder is generation 0 without rows; a manifest that is no whole JSON is passed over; files of a commit that
+lost are not read; rows whose part is null or empty share the part ``none``.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -40,7 +41,7 @@ class Store:
     """Rows of one schema; ``part`` is the expression that deals them to parts, which have to be few against the rows."""
 
     def __init__(self, spark: SparkSession, folder: str, schema: T.StructType | str, part: Column) -> None:
-        self.spark, self.folder, self.part = spark, folder.rstrip("/"), part.cast("string")
+        self.spark, self.folder, self.part = spark, folder.rstrip("/"), F.coalesce(F.nullif(part.cast("string"), F.lit("")), F.lit("none"))
         self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._files = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -80,14 +81,26 @@ class Store:
             raise CommitConflict(f"{self.folder}: generation {base.generation} is no longer the last")
         kept = {p: f for p, f in {**base.parts, **parts}.items() if f is not None}
         new = Manifest(max([base.generation, *taken]) + 1, kept, base.batches | {writer: batch}, base.facts | facts)
-        try:
-            out = self._files.create(self._path(self._manifest_path(new.generation)), False)
-        except Exception as e:
-            raise CommitConflict(f"{self.folder}: generation {new.generation} is taken") from e
+        written, to = self._path(f"{self.folder}/manifests/.{uuid.uuid4().hex}.tmp"), self._path(self._manifest_path(new.generation))
+        out = self._files.create(written, False)
         out.write(bytearray(json.dumps(new.__dict__).encode()))
         out.close()
+        if not self._take(written, to):
+            self._files.delete(written, False)
+            raise CommitConflict(f"{self.folder}: generation {new.generation} is taken")
         return new
 
+    def _take(self, written: object, to: object) -> bool:
+        """Give a whole file its name in one step, unless the name is taken."""
+        if self._files.getScheme() != "file":
+            return self._files.rename(written, to)  # never onto a file that is there
+        try:
+            os.link(written.toUri().getPath(), to.toUri().getPath())  # a local rename would replace it
+        except FileExistsError:
+            return False
+        self._files.delete(written, False)
+        return True
+
     # rows
 
     def rows(self, as_of: int | None = None, parts: list[str] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bin_packing, hard_negatives, packing, queries, resampling, tokens
+from tessera.llm import bin_packing, hard_negatives, langid, packing, queries, resampling, tokens
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, row long, feature string, gain double, n string, place int"
@@ -227,3 +227,25 @@ def test_registered_query_equals_its_sql(spark, name):
     got = queries.queries()[name](spark, SF)
     columns = [c[0] for c in cursor.description]
     assert sorted(map(str, map(tuple, got.select(columns).collect()))) == sorted(map(str, cursor.fetchall()))
+
+
+def test_texts_of_no_known_language_are_rejected(spark):
+    """Random letters and scripts without labels go; labelled texts stay, also those of a script of thousands of signs."""
+    r = random.Random(12)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    han = [chr(0x4E00 + i) for i in range(3000)]
+    words = ["".join(r.choices(han, k=r.randint(1, 3))) for _ in range(400)]
+    chinese = [(10**6 + i, "".join(r.choices(words, k=150)), "zh") for i in range(150)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = [(2 * 10**6 + i, " ".join("".join(r.choices(letters, k=r.randint(2, 9))) for _ in range(r.choice([30, 100, 400]))), None) for i in range(60)]
+    junk += [(3 * 10**6 + i, " ".join("".join(r.choices("абвгдежзиклмнопрстуфхцчшщыьэюя", k=r.randint(2, 9))) for _ in range(r.choice([2, 10, 100]))), None) for i in range(40)]
+    junk += [(4 * 10**6 + i, "".join(r.choices([chr(0xAC00 + k) for k in range(5000)], k=80)), None) for i in range(20)]
+    mixed = docs.union(spark.createDataFrame([*chinese, *junk], "doc_id long, text string, lang string"))
+    kept = {x.doc_id for x in langid.in_known_language(mixed).select("doc_id").collect()}
+    clean = [x.doc_id for x in docs.where("lang IS NOT NULL AND text rlike '\\\\p{L}'").collect()]
+    assert sum(i in kept for i in clean) >= 0.995 * len(clean)
+    assert sum(i in kept for i, _, _ in chinese) >= 0.97 * len(chinese)
+    assert sum(i in kept for i, _, _ in junk) <= 0.05 * len(junk)
+    found = langid.identify(mixed).where("doc_id >= 1000000 AND doc_id < 2000000").collect()
+    assert {x.lang_pred for x in found} == {"zh"} and all(x.known and x.score > 0.9 for x in found)
+    assert all(x.score <= 0.01 for x in langid.identify(mixed).where("NOT known").collect())

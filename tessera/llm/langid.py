@@ -124,6 +124,15 @@ class DenseTable:
     def step(self, state: np.ndarray, read: np.ndarray) -> np.ndarray:
         return self.flat[state * self.width + read]
 
+    def phrases(self, line: np.ndarray) -> int:
+        """The phrases of one line, read from end to end."""
+        flat, width, s, found = memoryview(self.flat), self.width, 0, 0
+        for c in line.tolist():
+            arc = flat[s * width + c]
+            found += arc & 1
+            s = arc >> 1
+        return found
+
 
 class SparseTable:
     """The same for many classes: only arcs that go on are held, in order."""
@@ -136,6 +145,14 @@ class SparseTable:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.values[at], self.start[read])
 
+    def phrases(self, line: np.ndarray) -> int:
+        arcs, start, width, s, found = dict(zip(self.keys.tolist(), self.values.tolist(), strict=True)), self.start.tolist(), self.width, 0, 0
+        for c in line.tolist():
+            arc = arcs.get(s * width + c, start[c])
+            found += arc & 1
+            s = arc >> 1
+        return found
+
 
 def parsing_table(line: list[int], width: int) -> DenseTable | SparseTable:
     """The parsing table of a language's text over ``width`` classes; dense for alphabets, sparse for scripts of syllables or words."""
@@ -217,15 +234,16 @@ class LanguageModel:
         place[order] = np.arange(len(order))
         later = np.flatnonzero(at)
         here, before = place[later], place[later - 1]  # a line's blocks stand in a row until sorted
+        last = (at == cuts[owner] - 1)[order]
         begins, sizes, owner = begins[order], sizes[order], owner[order]
         whole = np.concatenate(lines)
         out = np.zeros((len(lines), len(self.tables)))
         for i, (own, table) in enumerate(zip(self.own, self.tables, strict=True)):
-            out[:, i] = self._phrases(own[whole].astype(np.int64), table, begins, sizes, owner, here, before, len(lines))
+            out[:, i] = self._phrases(own[whole].astype(np.int64), table, begins, sizes, owner, last, here, before, len(lines))
         return out
 
     @staticmethod
-    def _phrases(line: np.ndarray, table: DenseTable | SparseTable, begins: np.ndarray, sizes: np.ndarray, owner: np.ndarray, here: np.ndarray, before: np.ndarray, n: int) -> np.ndarray:
+    def _phrases(line: np.ndarray, table: DenseTable | SparseTable, begins: np.ndarray, sizes: np.ndarray, owner: np.ndarray, last: np.ndarray, here: np.ndarray, before: np.ndarray, n: int) -> np.ndarray:
         state, count = np.zeros(len(owner), dtype=np.int64), np.zeros(len(owner), dtype=np.int64)
         running = len(owner)
         for k in range(int(sizes[0]) if len(sizes) else 0):
@@ -239,7 +257,7 @@ class LanguageModel:
         while len(here):
             ended = sizes[here] <= k
             if ended.any():
-                broken[owner[here[ended]]] = True
+                broken[owner[here[ended & ~last[here]]]] = True  # the block after it was given the wrong parse to go on with
                 here, on, mine = here[~ended], on[~ended], mine[~ended]
             read = line[begins[here] + k]
             a, b = table.step(on, read), table.step(mine, read)
@@ -249,12 +267,7 @@ class LanguageModel:
         found = np.bincount(owner, count, n)
         for i in np.flatnonzero(broken):  # a phrase as long as a block: this line's parse is followed from end to end
             mine = owner == i
-            s, found[i] = np.zeros(1, dtype=np.int64), 0
-            part = line[begins[mine].min() : (begins[mine] + sizes[mine]).max()]
-            for k in range(len(part)):
-                arc = table.step(s, part[k : k + 1])
-                found[i] += int(arc[0]) & 1
-                s = arc >> 1
+            found[i] = table.phrases(line[begins[mine].min() : (begins[mine] + sizes[mine]).max()])
         return found
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:

@@ -43,6 +43,8 @@ JUNK_PATTERNS = {
     "error_page_title": r"(?i)^(403|404|500|502|503|error \d{3}|page not found|forbidden|access denied|service unavailable|robot check|verify you are human)\s*$",
     "cloudflare_challenge_title": r"(?i)^just a moment\.{0,3}$",
 }
+# fixed values: signs that are looked for in the title or the body alone
+JUNK_SCOPES = {"cloudflare_just_a_moment": "body", "cloudflare_ray_id": "body", "error_page_title": "title", "cloudflare_challenge_title": "title"}
 WARN_BYTES, BLOCK_BYTES, MAX_MARKUP, HEAD_CHARS = 50_000, 500_000, 0.85, 2048
 
 
@@ -166,15 +168,19 @@ def markup_ratio(text: Column) -> Column:
     return F.when(total == 0, 0.0).otherwise(1 - kept / total)
 
 
-def sanity_flags(text: Column) -> Column:
-    """Names of the rules that a body breaks."""
+def sanity_flags(text: Column, title: Column | None = None, code: Column | None = None) -> Column:
+    """Names of the rules that a page breaks; without a ``title`` the body's first line is taken for it. Markup is weighed in bodies large enough to warn
+    of, unless they are ``code``."""
     head = F.substring(text, 1, HEAD_CHARS)
+    title = F.coalesce(title if title is not None else F.substring_index(head, "\n", 1), F.lit(""))
     size = F.octet_length(text)
-    flags = [F.when(head.rlike(p), F.lit(name)) for name, p in JUNK_PATTERNS.items()]
+    hit = {"title": lambda p: title.rlike(p), "body": lambda p: head.rlike(p), "both": lambda p: title.rlike(p) | F.coalesce(head.rlike(p), F.lit(False))}
+    flags = [F.when(hit[JUNK_SCOPES.get(name, "both")](p), F.lit(name)) for name, p in JUNK_PATTERNS.items()]
+    weighed = (size > WARN_BYTES) & (size <= BLOCK_BYTES) & (~code if code is not None else F.lit(True))
     flags += [
         F.when(size > BLOCK_BYTES, F.lit("too_large")).when(size > WARN_BYTES, F.lit("large")),
         F.when(F.length(F.trim(text)) == 0, F.lit("empty")),
-        F.when(markup_ratio(text) > MAX_MARKUP, F.lit("mostly_markup")),
+        F.when(weighed & (markup_ratio(text) > MAX_MARKUP), F.lit("mostly_markup")),
     ]
     return F.array_compact(F.array(*flags))
 

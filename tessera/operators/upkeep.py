@@ -38,13 +38,15 @@ def contains_text(col: Column, text: str) -> Column:
     return F.contains(F.lower(col), F.lit(text.lower()))
 
 
-def list_facts(facts: DataFrame, entity: str | None = None, kinds: list[str] | None = None, text: str | None = None, least_confidence: float | None = None, include_forgotten: bool = False, limit: int | None = None) -> DataFrame:
-    """Facts by optional conditions, newest first."""
+def list_facts(facts: DataFrame, entity: str | None = None, kinds: list[str] | Column | None = None, text: str | None = None, least_confidence: float | None = None, include_forgotten: bool = False, limit: int | None = None) -> DataFrame:
+    """Facts by optional conditions, newest first; ``kinds`` are names or a condition."""
     if not include_forgotten and "forgotten_at" in facts.columns:
         facts = facts.where("forgotten_at IS NULL")
     if entity is not None:
         facts = facts.where(F.col("entity") == entity)
-    if kinds is not None:
+    if isinstance(kinds, Column):
+        facts = facts.where(kinds)
+    elif kinds is not None:
         facts = facts.where(F.col("kind").isin(kinds)) if kinds else facts.where(F.lit(False))
     if text:
         facts = facts.where(contains_text(F.col("fact"), text))

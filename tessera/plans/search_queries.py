@@ -329,3 +329,67 @@ def cached_exactly(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache, documents = answer_cache(spark, sf_dir)
     found = QC.exact_hits(cache.where("key % 2 = 0").select("key"), cache, documents, 7)
     return found.select("key", "intent", F.size("result_ids").cast("long").alias("n_results"))
+
+
+@query(r"""SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS claim_key,
+len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS n_words, substr(sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))), 1, 16) AS value_hash FROM documents""")
+def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token estimate, claim key, word count and value hash."""
+    d, t = table(spark, sf_dir, "documents"), F.col("text")
+    return d.select("doc_id", X.estimated_tokens(t).alias("tokens"), X.claim_key(t).alias("claim_key"), F.size(X.tokens(t)).alias("n_words"), X.value_hash(t).alias("value_hash"))
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '(?i)\b[\w.%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b')) AS n_emails,
+CAST((length(text) - length(replace(text, chr(10), ''))) AS INTEGER) AS n_breaks FROM documents""")
+def email_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-mail addresses of documents, counted by regular expression."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"(?i)\b[\w.%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b"), 0)).alias("n_emails"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("n_breaks"))
+
+
+@query()
+def pii_scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with personal data masked, where that changes them (word boundaries differ between engines)."""
+    d = texts(spark, sf_dir, "documents", "doc_id", "text").withColumn("scrubbed", X.scrub_pii(F.col("text")))
+    return d.where("scrubbed <> text").select("doc_id", "scrubbed")
+
+
+@query(r"""SELECT page_id, round(1 - length(regexp_replace(regexp_replace(html, '(?i)</?[a-z][^>]{0,512}>', '', 'g'), '\s+', '', 'g')) / length(regexp_replace(html, '\s+', '', 'g')), 6) AS tag_share,
+regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""")
+def page_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of a page that is tags, and its title."""
+    p, bare = table(spark, sf_dir, "pages"), lambda c: F.length(F.regexp_replace(c, r"\s+", ""))
+    share = 1 - bare(F.regexp_replace("html", r"(?i)</?[a-z][^>]{0,512}>", "")) / bare(F.col("html"))
+    return p.select("page_id", F.round(share, 6).alias("tag_share"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query(r"""WITH p AS (SELECT page_id, ['404', 'Error 503', 'Just a moment..', 'How to handle access denied errors', 'Attention required! | Cloudflare'][page_id % 6 + 1] AS t,
+ coalesce(['Forbidden' || chr(10), 'Access denied now' || chr(10), 'a cloudflare RAY id: 7 '][page_id % 5 + 1], '') || html AS body, html FROM pages),
+q AS (SELECT *, coalesce(t, regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title,
+ regexp_replace(regexp_replace(body, '(?s)```.*?(```|\z)', ' ', 'g'), '`[^`\n]*`', ' ', 'g') AS bare FROM p),
+r AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(bare, '(?i)</?[a-z][^>]{0,512}>', '', 'g'), '!\[[^\]]{0,512}\]\([^)]{0,512}\)', '', 'g'), '\[([^\]]{0,512})\]\([^)]{0,512}\)', '\1', 'g'), 'https?://\S+', '', 'g') AS prose FROM q),
+m AS (SELECT *, 1 - length(regexp_replace(prose, '\s+', '', 'g')) / length(regexp_replace(bare, '\s+', '', 'g')) AS ratio, octet_length(encode(body)) AS size FROM r)
+SELECT page_id, list_filter([CASE WHEN page_id % 6 = 4 THEN 'cloudflare_attention_required' END, CASE WHEN page_id % 5 = 2 THEN 'cloudflare_ray_id' END, CASE WHEN page_id % 5 = 1 THEN 'access_denied' END,
+ CASE WHEN page_id % 6 < 2 THEN 'error_page_title' END, CASE WHEN page_id % 6 = 2 THEN 'cloudflare_challenge_title' END, CASE WHEN size > 500000 THEN 'too_large' WHEN size > 50000 THEN 'large' END,
+ CASE WHEN size > 50000 AND size <= 500000 AND ratio > 0.85 THEN 'mostly_markup' END], lambda x: x IS NOT NULL) AS flags, round(ratio, 6) AS markup_ratio FROM m""".replace("\\", "\\"))
+def page_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content sanity flags and markup ratio of pages; some get titles and openings that fetched error pages have, or only seem to."""
+    k = F.col("page_id")
+    title = F.coalesce(F.get(F.array(*map(F.lit, ("404", "Error 503", "Just a moment..", "How to handle access denied errors", "Attention required! | Cloudflare"))), (k % 6).cast("int")), F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    opening = F.coalesce(F.get(F.array(*map(F.lit, ("Forbidden\n", "Access denied now\n", "a cloudflare RAY id: 7 "))), (k % 5).cast("int")), F.lit(""))
+    p = table(spark, sf_dir, "pages").select(k, title.alias("title"), F.concat(opening, "html").alias("body"))
+    return p.select("page_id", X.sanity_flags(F.col("body"), F.col("title")).alias("flags"), F.round(X.markup_ratio(F.col("body")), 6).alias("markup_ratio"))
+
+
+@query("""WITH n AS (SELECT n_name, lower(n_name) AS s FROM nation),
+g AS (SELECT n_name, list_distinct(flatten(list_transform(string_split(s, ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS t FROM n)
+SELECT a.n_name AS a, b.n_name AS b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) AS similarity
+FROM g a JOIN g b ON a.n_name < b.n_name AND len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.1""")
+def trigram_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names alike by trigrams, joined on shared trigrams rather than compared all with all."""
+    n = table(spark, sf_dir, "nation").select("n_name", X.trigrams(F.col("n_name")).alias("t"))
+    g = n.select("n_name", F.size("t").alias("n"), F.explode("t").alias("g"))
+    a, b = g.select(F.col("n_name").alias("a"), F.col("n").alias("na"), "g"), g.select(F.col("n_name").alias("b"), F.col("n").alias("nb"), "g")
+    shared = a.join(b, "g").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("i"))
+    sim = F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))
+    return shared.where(sim >= 0.1).select("a", "b", F.round(sim, 6).alias("similarity"))

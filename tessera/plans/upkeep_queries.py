@@ -26,8 +26,7 @@ def chunk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fact_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts by optional conditions."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("kind"), F.col("p_type").alias("fact"), F.col("p_retailprice").alias("confidence"), F.lit(None).cast("date").alias("written_at"))
-    kinds = [r[0] for r in p.select("kind").distinct().collect() if "1" in r[0]]
-    return U.list_facts(p, kinds=kinds, text="sMall", least_confidence=950).select("id")
+    return U.list_facts(p, kinds=F.col("kind").contains("1"), text="sMall", least_confidence=950).select("id")
 
 
 @query("SELECT 'doc_' || substr(sha256(p_name), 1, 16) AS id, p_name AS path FROM part WHERE p_size = 7")

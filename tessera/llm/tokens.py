@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 
 CLOSING_ID = 1
 #: Word encodings that a worker keeps in each half of its memory.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 #: Bytes of text that are encoded together; a longer text is encoded by itself.
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 4_000_000
 
 
 def default_tokenizer_path() -> str:
@@ -202,6 +202,8 @@ def token_pieces(
             columns = [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(totals[doc]), pa.array([zlib.crc32(c) for c in cuts], pa.int64())]
             if with_ids:
                 columns.append(pa.array([c.tobytes() for c in cuts], pa.binary()))
+            del ids, raw, cuts
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)

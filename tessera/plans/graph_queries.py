@@ -79,7 +79,7 @@ def experts_on_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by best hit, freshness and salience."""
     o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
     hits = o.select(F.col("o_custkey").alias("node"), (F.col("o_totalprice") / 1000).alias("score"), F.col("o_orderdate").alias("updated_at"), ((F.col("o_custkey") % 10) / 10.0).alias("salience"))
-    return G.experts_by_topic(hits, F.lit("2024-02-01").cast("date"), 15).select("node", F.round("value", 6).alias("value"))
+    return G.experts_by_topic(hits, F.lit("2024-02-01").cast("date"), 15)
 
 
 @query(EDGES_SQL + """, u AS (SELECT src AS node FROM e UNION ALL SELECT dst FROM e), d AS (SELECT node, count(*) AS degree FROM u GROUP BY 1), m AS (SELECT avg(degree) AS mean, stddev_pop(degree) AS sd FROM d)

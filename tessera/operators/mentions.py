@@ -52,7 +52,7 @@ def without_code(text: pd.Series) -> pd.Series:
 
 def atoms(text: Column) -> Column:
     """The atoms of a text, each with a space before it where white space stands there."""
-    return F.transform(F.regexp_extract_all(text, F.lit(rf"(\s*)({ATOM})"), 0), lambda a: F.when(a.rlike(r"^\s"), F.concat(F.lit(" "), F.regexp_replace(a, r"^\s+", ""))).otherwise(a))
+    return F.regexp_extract_all(F.regexp_replace(text, r"\s+", " "), F.lit(rf" ?(?:{ATOM})"), 0)
 
 
 def usable_names(names: DataFrame) -> DataFrame:
@@ -75,7 +75,9 @@ def name_matches(texts: DataFrame, names: DataFrame) -> DataFrame:
     known = names.select("phrase", "slug", atoms(F.trim("phrase")).alias("parts")).where(F.size("parts") > 0)
     known = known.select("phrase", "slug", F.size("parts").alias("n"), _key(F.slice("parts", 1, 1)).alias("first"), _key(F.col("parts")).alias("key"))
     lengths = known.groupBy("first").agg(F.collect_set("n").alias("lengths"))
-    whole = texts.select("id", atoms(scannable("text")).alias("atoms"))
+    # atoms repeat themselves and shrink on the way, so partitions are counted and not merged by their bytes
+    dealt = texts.select("id", "text").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    whole = dealt.select("id", atoms(scannable("text")).alias("atoms"))
     places = whole.select("id", F.posexplode("atoms").alias("at", "atom")).withColumn("first", F.ltrim(F.lower("atom")))
     starts = places.join(lengths, "first").groupBy("id").agg(F.collect_list(F.struct("at", "lengths")).alias("starts"))
 
@@ -86,7 +88,8 @@ def name_matches(texts: DataFrame, names: DataFrame) -> DataFrame:
         return F.struct(at.alias("at"), n.alias("n"), _key(part).alias("key"), opening.rlike(r"^\s?\p{Ll}").alias("small"), F.coalesce(cut, F.lit(False)).alias("cut"))
 
     runs = F.flatten(F.transform("starts", lambda s: F.transform(F.filter(s["lengths"], lambda n: s["at"] + n <= F.size("atoms")), lambda n: run(s["at"], n))))
-    found = whole.join(starts, "id").select("id", F.explode(runs).alias("r")).select("id", "r.*").where("NOT cut").join(known.drop("first", "n"), "key")
+    # the sizes of both sides are guessed from short columns of ids: broadcast, the atoms of all texts would pass through the driver
+    found = whole.join(starts.hint("merge"), "id").select("id", F.explode(runs).alias("r")).select("id", "r.*").where("NOT cut").join(known.drop("first", "n"), "key")
     return found.groupBy("id", "at").agg(F.max_by(F.struct("n", "phrase", "slug", "small"), "n").alias("m")).select("id", "at", "m.*")
 
 

@@ -14,7 +14,7 @@ from tessera.operators import links as L
 from tessera.operators import linktypes as LT
 from tessera.operators import mentions as M
 from tessera.operators import upkeep as U
-from tessera.plans.registry import query, table
+from tessera.plans.registry import query, table, texts
 from tessera.sources import files as S
 from tessera.sources import transcripts as H
 
@@ -269,7 +269,7 @@ def nation_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customer_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A note for each customer with names that overlap, in code, in a link, in small letters, across lines, with signs, and cut by letters."""
-    c, other = table(spark, sf_dir, "customer"), (F.col("c_nationkey") + 1) % 25
+    c, other = texts(spark, sf_dir, "customer", "c_custkey", "c_nationkey"), (F.col("c_nationkey") + 1) % 25
     signs = F.when(F.col("c_nationkey") % 2 == 0, "  O'Neil & Co. came;").otherwise(" O'Neil & Co.s;")
     opening = written("The House %s East met then in House %s. `House 3 East` and [[House 4]], a house 5 of cards; ", "c_nationkey", other)
     return c.select(F.col("c_custkey").alias("id"), F.concat(opening, written("House\n%s of the  North Sea was Warehouse %s?", "c_nationkey", "c_nationkey"), signs, written(" HOUSE %s", "c_nationkey")).alias("text"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.rank import age_days, fact_confidence
 from tessera.functions.text import claim_key
-from tessera.functions.vector import cosine
+from tessera.functions.vector import norm
+from tessera.operators import tiles
 
 
 def live(facts: DataFrame) -> DataFrame:
@@ -93,10 +94,20 @@ def contradiction_pairs(facts: DataFrame) -> DataFrame:
 
 
 def duplicates(new: DataFrame, stored: DataFrame, same: float = 0.95, likely: float = 0.92) -> DataFrame:
-    """Each new fact (id, entity_slug, embedding) with its nearest stored one of the entity: duplicate, likely or new."""
-    s = stored.select("entity_slug", F.col("id").alias("stored_id"), F.col("embedding").alias("stored_embedding"))
-    near = new.join(s, "entity_slug", "left").withColumn("similarity", cosine(F.col("embedding"), F.col("stored_embedding")))
-    best = near.groupBy("id", "entity_slug").agg(F.max_by(F.struct("stored_id", "similarity"), F.coalesce("similarity", F.lit(-2.0))).alias("r"))
+    """Each new fact (id, entity_slug, embedding) with its nearest stored one of the entity: duplicate, likely or new.
+
+    Blocks of new facts meet blocks of stored ones, one matrix product each, of which the nearest of every new fact comes out. Similarities are told apart to
+    twelve decimals; equal ones go to the lesser id. A null vector is near nothing, a zero vector has similarity 0.
+    """
+    def nearest(products: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.arange(len(products)), np.round(products, 12).argmax(axis=1)
+
+    length = norm(F.col("embedding"))
+    scaled = F.transform(F.col("embedding"), lambda x: F.when(length > 0, x.cast("double") / length).otherwise(0.0))
+    placed = [d.where("embedding IS NOT NULL").select(F.col("entity_slug").alias("bucket"), F.col("id").alias("key"), scaled.alias("unit"), F.array().cast("array<double>").alias("angles")) for d in (new, stored)]
+    found = tiles.meetings(*(tiles.blocks(d, []) for d in placed), nearest)
+    best = found.groupBy("query_id").agg(F.min(F.struct((-F.round("similarity", 12)).alias("far"), "key")).alias("b"))
+    best = new.select("id", "entity_slug").join(best.withColumnRenamed("query_id", "id"), "id", "left").select("id", "entity_slug", F.struct(F.col("b.key").alias("stored_id"), (-F.col("b.far")).alias("similarity")).alias("r"))
     verdict = F.when(F.col("r.similarity") >= same, "duplicate").when(F.col("r.similarity") >= likely, "likely").otherwise("new")
     return best.select("id", "entity_slug", "r.stored_id", "r.similarity", verdict.alias("verdict"))
 

@@ -1,10 +1,13 @@
 """Results and plans that only larger tables show."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import budgets as B
+from tessera.operators import facts as K
 from tessera.operators import graph as G
 from tessera.operators import mentions as M
+from tessera.operators import querycache as QC
 from tessera.plans import queries
 
 
@@ -29,3 +32,32 @@ def test_texts_are_not_broadcast_to_their_mentions(spark):
     names = spark.createDataFrame([("ada lovelace", "a"), ("grace hopper", "g")], "phrase string, slug string")
     found = M.name_matches(texts, names)
     assert "BroadcastHashJoin [id" not in plan(found) and {r.slug for r in found.collect()} == {"a", "g"}
+
+
+def test_nearest_facts_come_from_products_of_blocks(spark):
+    r = np.random.default_rng(1)
+    new = [(i, f"e{i % 3}", [float(x) for x in r.normal(size=4)]) for i in range(40)] + [(90, "e0", None), (91, "none", [1.0, 0.0, 0.0, 0.0]), (92, "e1", [0.0] * 4)]
+    stored = [(100 + i, f"e{i % 2}", [float(x) for x in r.normal(size=4)]) for i in range(30)] + [(200, "e2", [2.0, 0.0, 0.0, 0.0]), (150, "e2", [1.0, 0.0, 0.0, 0.0]), (201, "e2", None)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, entity_slug string, embedding array<double>")
+    found = K.duplicates(frame(new), frame(stored))
+    assert plan(found).count("MapInArrow") >= 3  # no pair of vectors is a row
+    cosine = lambda a, b: float(np.dot(a, b) / ((np.linalg.norm(a) * np.linalg.norm(b)) or 1))
+    for row in found.collect():
+        entity, v = next((e, v) for i, e, v in new if i == row.id)
+        near = sorted((-round(cosine(v, w), 12), i) for i, e, w in stored if e == entity and v and w)
+        assert (row.stored_id, None if row.similarity is None else round(row.similarity, 9)) == ((near[0][1], round(-near[0][0], 9)) if near else (None, None))
+
+
+def test_threshold_joins_make_no_row_of_a_pair(spark):
+    r = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, 0, [float(x) for x in r.normal(size=6)]) for i in range(30)], "key long, bucket int, vector array<double>")
+    near = QC.near_vectors(rows.withColumnRenamed("key", "query_id"), rows, 0.2)
+    assert "zip_with" not in plan(near) and near.where("query_id = key").count() == 30
+
+
+def test_label_arm_pairs_no_query_with_all_rows_of_its_label(spark, tmp_path):
+    spark.createDataFrame([(i, [1.0, float(i)], 0) for i in range(200)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    hits = queries()["hybrid_rrf"](spark, str(tmp_path))
+    assert hits.count() > 0
+    text = plan(hits)
+    assert "WindowGroupLimit [label" in text

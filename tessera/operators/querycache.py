@@ -1,9 +1,9 @@
 """The query cache: which entries may still be served, the nearest one to a question, and pruning.
 
 Nearest entries come from an exact threshold join of unit vectors. Angles between them obey the triangle inequality: an entry lies in the
-cell of its nearest pivot, in a ring as wide as the threshold's angle; a question meets only cells whose pivot is not farther from it than its own
-nearest pivot by twice that angle, and there only the three rings within reach, all by equi joins. Pairs met are refused where their
-angles to any pivot differ by more than the threshold's angle, and else multiplied out. Pivots only save work; they change no result.
+cell of its nearest pivot, in a ring as wide as the threshold's angle, and so does a question. Those of a cell form blocks; two blocks are refused
+where their angles to any pivot lie farther apart than the threshold's angle, and else multiplied out, one matrix product each. Pivots only save work; they
+change no result.
 
 Defined results: null, empty, zero and non-finite vectors are near nothing; vectors of unequal length are not near each other; equal similarities go
 to the lesser key; a null bucket is in no bucket; an entry without a time is too old.
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.vector import dot
+from tessera.operators import tiles
 
 # fixed values: least similarity, and seconds that an entry may be served by it
 SIMILARITY, TTL_SECONDS = 0.92, 3600
@@ -78,17 +78,14 @@ def _placed(vectors: DataFrame, pivots: dict[int, np.ndarray], reach: float, pro
 
 def near_vectors(asked: DataFrame, stored: DataFrame, similarity: float, n_pivots: int = PIVOTS) -> DataFrame:
     """(query_id, key, similarity): all pairs of ``asked`` (query_id, bucket, vector) and ``stored`` (key, bucket, vector) of the same bucket whose cosine is
-    at least ``similarity``, which is greater than -1. Equal vectors are multiplied once."""
+    at least ``similarity``, which is greater than -1."""
     reach = max(math.acos(similarity), 1e-3) + SLACK
-    query, entry = (d.select("bucket", unit(F.col("vector")).alias("unit"), key).where("unit IS NOT NULL AND bucket IS NOT NULL") for d, key in ((asked, "query_id"), (stored, "key")))
-    questions, entries = (d.select("bucket", "unit").distinct() for d in (query, entry))
-    pivots = pivots_of(entries, n_pivots)
-    left = _placed(questions, pivots, reach, True).toDF("bucket", "asked", "asked_angles", "cell", "ring")
-    met = left.join(_placed(entries, pivots, reach, False), ["bucket", "cell", "ring"]).where(F.size("asked") == F.size("unit"))
-    close = ~F.exists(F.zip_with("angles", "asked_angles", lambda a, b: F.abs(a - b)), lambda gap: gap > reach + SLACK)
-    pairs = met.where(close).withColumn("similarity", dot(F.col("asked"), F.col("unit"))).where(F.col("similarity") >= similarity)
-    pairs = pairs.select("bucket", "asked", "unit", "similarity")
-    return pairs.join(entry, ["bucket", "unit"]).drop("unit").join(query.withColumnRenamed("unit", "asked"), ["bucket", "asked"]).select("query_id", "key", "similarity")
+    query, entry = (d.select("bucket", F.col(key).alias("key"), unit(F.col("vector")).alias("unit")).where("unit IS NOT NULL AND bucket IS NOT NULL") for d, key in ((asked, "query_id"), (stored, "key")))
+    pivots = pivots_of(entry, n_pivots)
+    one, two = (tiles.blocks(_placed(d, pivots, reach, False), ["cell"]) for d in (query, entry))
+    # two blocks whose angles to some pivot lie farther apart than the threshold's hold no pair
+    apart = F.exists(F.arrays_zip("low", "high", "asked_low", "asked_high"), lambda x: F.greatest(x["low"] - x["asked_high"], x["asked_low"] - x["high"]) > reach + SLACK)
+    return tiles.meetings(one, two, lambda products: np.nonzero(products >= similarity), ~apart)
 
 
 def with_freshness(cache: DataFrame, documents: DataFrame, clock: int) -> DataFrame:

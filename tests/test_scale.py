@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import budgets as B
+from tessera.operators import evaluation as E
 from tessera.operators import facts as K
 from tessera.operators import graph as G
 from tessera.operators import mentions as M
@@ -61,3 +62,12 @@ def test_label_arm_pairs_no_query_with_all_rows_of_its_label(spark, tmp_path):
     assert hits.count() > 0
     text = plan(hits)
     assert "WindowGroupLimit [label" in text
+
+
+def test_intervals_over_blocks_equal_the_plain_ones(spark):
+    values = np.random.default_rng(4).normal(size=157).round(3)
+    rows = spark.createDataFrame([(int(i), float(values[i])) for i in np.random.default_rng(5).permutation(157)], "query_id long, d double").repartition(3)
+    got = E.paired_interval(rows, block=50).first()
+    assert got.queries == 157 and np.allclose((got.delta, got.lo, got.hi), E.mean_interval(values), atol=1e-12)
+    assert tuple(E.paired_interval(rows.where("query_id < 0")).first()) == (0, 0.0, 0.0, 0.0)
+    assert E.uniform(42, 5, 2**32 + 3).tolist() == E.uniform(42, 8).tolist()[3:]

@@ -9,7 +9,9 @@ from tessera.operators import facts as K
 from tessera.operators import graph as G
 from tessera.operators import mentions as M
 from tessera.operators import querycache as QC
+from tessera.llm import quality
 from tessera.plans import queries
+from tessera.sources import exports as EX
 
 
 def plan(df):
@@ -71,3 +73,22 @@ def test_intervals_over_blocks_equal_the_plain_ones(spark):
     assert got.queries == 157 and np.allclose((got.delta, got.lo, got.hi), E.mean_interval(values), atol=1e-12)
     assert tuple(E.paired_interval(rows.where("query_id < 0")).first()) == (0, 0.0, 0.0, 0.0)
     assert E.uniform(42, 5, 2**32 + 3).tolist() == E.uniform(42, 8).tolist()[3:]
+
+
+def test_exports_deal_a_frequent_value_to_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(EX, "FILES_A_TASK", 2)
+    rows = spark.range(1003, numPartitions=5).withColumn("kind", F.when(F.col("id") % 100 == 0, None).otherwise("k"))
+    dealt = EX._dealt(rows, ["kind"], 10)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert dealt.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 700
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    EX.export_rows(rows, f"{tmp_path}/x", "json", ["kind"], 10)
+    back = EX.read_back(spark, f"{tmp_path}/x", rows.schema, "json")
+    assert {(r.kind, r.n, r.files) for r in back.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("_metadata.file_path").alias("files")).collect()} == {("k", 992, 100), (None, 11, 2)}
+
+
+def test_common_words_are_counted_over_whole_texts(spark):
+    rows = [("en", "start " + "filler " * 400 + "Tail " * 500)] + [("en", "a b c")] * 3
+    assert quality.common_words(spark.createDataFrame(rows, "lang string, text string"))["en"][:2] == [b"tail", b"filler"]

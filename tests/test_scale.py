@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import budgets as B
+from tessera.operators import dedup
 from tessera.operators import evaluation as E
 from tessera.operators import facts as K
 from tessera.operators import graph as G
@@ -92,3 +93,13 @@ def test_exports_deal_a_frequent_value_to_many_tasks(spark, tmp_path, monkeypatc
 def test_common_words_are_counted_over_whole_texts(spark):
     rows = [("en", "start " + "filler " * 400 + "Tail " * 500)] + [("en", "a b c")] * 3
     assert quality.common_words(spark.createDataFrame(rows, "lang string, text string"))["en"][:2] == [b"tail", b"filler"]
+
+
+def test_unlike_sets_are_refused_before_their_tokens_meet(spark):
+    words = [f"w{k}" for k in range(400)]
+    sets = [words[:300], words[:290], words[150:], words[:2], ["x"], [], None, words[:300]]
+    docs = spark.createDataFrame(list(enumerate(sets)), "id int, tokens array<string>")
+    pairs = dedup.jaccard_pairs(docs, 0.85)
+    assert plan(pairs).count("bit_count") >= 2 and [(r.a, r.b) for r in pairs.collect()] == [(0, 1)]
+    got = {r.id: (r.class_id, r.links) for r in dedup.near_duplicate_classes(docs, 0.85).collect()}
+    assert got == {0: (0, 1), 1: (1, 1), 2: (2, 0), 3: (3, 0), 4: (4, 0), 5: (5, 0), 6: (5, 0), 7: (0, 1)}

@@ -148,9 +148,14 @@ def hot(facts: DataFrame, k: int) -> DataFrame:
 
 
 def superseded(facts: DataFrame, replacements: DataFrame) -> DataFrame:
-    """Facts after replacements (old_id, new_id): only a fact not superseded yet changes, and only to another that exists in its entity."""
-    known = facts.select(F.col("id").alias("new_id"), F.col("entity_slug").alias("_entity"))
-    first = replacements.where("old_id <> new_id").join(known, "new_id").groupBy(F.col("old_id").alias("id"), F.col("_entity").alias("entity_slug")).agg(F.min("new_id").alias("_new"))
+    """Facts after replacements (old_id, new_id): only a fact not superseded yet changes, and only to another that exists in its entity.
+
+    The new fact is looked up by id and entity together, so that many replacements by one id, as by one that is not there, do not meet in one task.
+    """
+    known = facts.select("id", "entity_slug")
+    named = replacements.where("old_id <> new_id").join(known.withColumnRenamed("id", "old_id"), "old_id")
+    real = named.join(known.withColumnRenamed("id", "new_id"), ["new_id", "entity_slug"], "left_semi")
+    first = real.groupBy(F.col("old_id").alias("id"), "entity_slug").agg(F.min("new_id").alias("_new"))
     return facts.join(first, ["id", "entity_slug"], "left").withColumn("superseded_by", F.coalesce("superseded_by", "_new")).select(*facts.columns)
 
 

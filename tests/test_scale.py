@@ -7,9 +7,11 @@ from tessera.operators import budgets as B
 from tessera.operators import dedup
 from tessera.operators import evaluation as E
 from tessera.operators import facts as K
+from tessera.operators import fulltext as FT
 from tessera.operators import graph as G
 from tessera.operators import mentions as M
 from tessera.operators import querycache as QC
+from tessera.operators import reads as D
 from tessera.llm import quality
 from tessera.plans import queries
 from tessera.sources import exports as EX
@@ -103,3 +105,21 @@ def test_unlike_sets_are_refused_before_their_tokens_meet(spark):
     assert plan(pairs).count("bit_count") >= 2 and [(r.a, r.b) for r in pairs.collect()] == [(0, 1)]
     got = {r.id: (r.class_id, r.links) for r in dedup.near_duplicate_classes(docs, 0.85).collect()}
     assert got == {0: (0, 1), 1: (1, 1), 2: (2, 0), 3: (3, 0), 4: (4, 0), 5: (5, 0), 6: (5, 0), 7: (0, 1)}
+
+
+def test_postings_are_joined_to_no_query(spark):
+    docs = spark.createDataFrame([(i, "common words here" + (" rare" if i == 7 else "")) for i in range(50)], "id int, text string")
+    terms = FT.numbered_terms(spark.createDataFrame([(1, "common rare"), (2, "common absent"), (3, "words here")], "query_id int, query string"))
+    hits = FT.cover_density_hits(FT.positional_index(docs, "id", {"B": F.col("text")}), terms)
+    assert "collect_list(named_struct(number" not in plan(hits) and "collect_list(struct(number" not in plan(hits)
+    found = [(r.query_id, r.id) for r in hits.collect()]
+    assert sorted(found) == [(1, 7)] + [(3, i) for i in range(50)]
+
+
+def test_replacements_by_nothing_do_not_meet_in_one_task(spark):
+    facts = spark.createDataFrame([(i, f"e{i % 50}", None) for i in range(4000)], "id long, entity_slug string, superseded_by long")
+    gone = spark.range(4000).select(F.col("id").alias("old_id"), F.lit(-1).cast("long").alias("new_id"))
+    good = spark.createDataFrame([(1, 51), (1, 101), (2, 3), (4, 4)], "old_id long, new_id long")
+    replaced = D.superseded(facts, gone.unionByName(good))
+    assert "hashpartitioning(new_id" not in plan(replaced) or "hashpartitioning(new_id#" in plan(replaced) and ", entity_slug" in plan(replaced)
+    assert [(r.id, r.superseded_by) for r in replaced.where("superseded_by IS NOT NULL").collect()] == [(1, 51)]

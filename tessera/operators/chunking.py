@@ -6,7 +6,10 @@ import ast
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +18,8 @@ from pyspark.sql import types as T
 MAX_CHARS, MIN_CHARS, OVERLAP, MIN_OVERLAP = 4000, 200, 300, 16
 CHUNKS = T.ArrayType(T.StringType())
 SYMBOLS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()), T.StructField("parent", T.ArrayType(T.StringType())), T.StructField("doc", T.StringType()), T.StructField("calls", T.ArrayType(T.StringType())), T.StructField("text", T.StringType())]))
+#: Bytes of text that a worker has in Python's strings at once; a longer text is taken by itself.
+SLICE_BYTES = 2_000_000
 HEADING = r"(?m)^#{1,2}\s"
 _OPENING = re.compile(rf"{HEADING}")
 _FRONT = re.compile(r"\A---\r?\n.*?\r?\n---\r?\n", re.S)
@@ -22,6 +27,17 @@ _BLANK = re.compile(r"\r?\n\s*\n")
 _SENTENCES = re.compile(r".+?(?:[.!?](?=\s)|\Z)\s*", re.S)
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``SLICE_BYTES`` of the texts in ``column``, at least one row each."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = (np.cumsum(lengths) - lengths) // SLICE_BYTES
+        bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def units(body: str, limit: int, headed: bool) -> Iterator[tuple[bool, str]]:
     """(opens, text): what chunks are made of, none beyond ``limit``. A unit is a whole section where that fits, else a
     paragraph, else a sentence, else a slice; it opens where a section does. A section starts at each H1 or H2 line."""
@@ -76,11 +92,12 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kin
     text is cut by size alone. A chunk beyond twice the limit is sliced."""
     headed = kind == "markdown"
 
-    @F.pandas_udf(CHUNKS)
-    def cut(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: paced(units(_FRONT.sub("", t or "") if headed else t or "", limit, headed), limit, least))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 1):
+            chunks = [paced(units(_FRONT.sub("", t or "") if headed else t or "", limit, headed), limit, least) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chunks, pa.list_(pa.string()))], names=[id_col, "chunks"])
 
-    rows = docs.select(F.col(id_col), cut(F.col(text_col)).alias("chunks"))
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(cut, T.StructType([docs.schema[id_col], T.StructField("chunks", CHUNKS)]))
     if headed:
         led = led_in(F.col("chunks"), min(overlap, limit // 2))
         slices = F.transform(led, lambda c: F.when(F.length(c) > 2 * limit, F.regexp_extract_all(c, F.lit(f"(?s).{{1,{limit}}}"), 0)).otherwise(F.array(c)))
@@ -95,6 +112,15 @@ def fenced_code(text: Column, languages: tuple[str, ...] = ("python", "py", "typ
     return F.slice(F.filter(pairs, lambda p: p["language"].isin(*languages)), 1, 100)
 
 
+def _called(f: ast.expr) -> str:
+    """The source of what is called; names with dots are put together here, which is much cheaper than unparsing."""
+    names, at = [], f
+    while isinstance(at, ast.Attribute):
+        names.append(at.attr)
+        at = at.value
+    return ".".join([at.id, *reversed(names)]) if isinstance(at, ast.Name) else ast.unparse(f)
+
+
 def python_symbols(source: str) -> list[tuple]:
     """Functions and classes of Python source by its syntax tree; none for source that does not parse."""
     try:
@@ -106,7 +132,7 @@ def python_symbols(source: str) -> list[tuple]:
     def visit(node: ast.AST, parents: list[str]) -> None:
         for child in ast.iter_child_nodes(node):
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                calls = sorted({ast.unparse(c.func) for c in ast.walk(child) if isinstance(c, ast.Call)})
+                calls = sorted({_called(c.func) for c in ast.walk(child) if isinstance(c, ast.Call)})
                 kind = "class" if isinstance(child, ast.ClassDef) else "method" if parents else "function"
                 out.append((child.name, kind, child.lineno, child.end_lineno, parents, ast.get_docstring(child), calls, "\n".join(lines[child.lineno - 1 : child.end_lineno])))
                 visit(child, [*parents, child.name])

@@ -7,7 +7,7 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,15 +20,14 @@ DIM = 64
 EMBEDDER = "hashed-words"
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def hashed_embedding(text: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def hashed_embedding(text: pa.Array) -> pa.Array:
     """Word counts hashed into DIM places: a deterministic stand-in for a model."""
-
-    def one(t: str | None) -> np.ndarray:
-        places = [zlib.crc32(w.encode()) % DIM for w in re.findall(r"[^\W_]+", (t or "").lower())]
-        return np.bincount(np.array(places, dtype=np.int64), minlength=DIM).astype(np.float32)
-
-    return text.map(one)
+    counts = np.zeros((len(text), DIM), dtype=np.float32)
+    for i, t in enumerate(text):  # one text at a time is a Python string
+        places = [zlib.crc32(w.encode()) % DIM for w in re.findall(r"[^\W_]+", (t.as_py() or "").lower())]
+        counts[i] = np.bincount(np.array(places, dtype=np.int64), minlength=DIM)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1, dtype=np.int32) * DIM), pa.array(counts.ravel()))
 
 
 def gated(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:

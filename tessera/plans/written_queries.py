@@ -56,7 +56,8 @@ UNION ALL SELECT c_name, 'm', 'method', 2, 3, 'f' || c_nationkey FROM customer U
 def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols and calls of one Python file a customer; a text that does not parse gives none."""
     source = written("class C%s:\n    def m(self):\n        return f%s()\n\ndef top%s():\n    return C%s().m()", "c_custkey", "c_nationkey", "c_custkey", "c_custkey")
-    c = table(spark, sf_dir, "customer")
+    # parsing costs far more than moving keys, and a file's row groups are few, so rows are dealt out
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").repartition(4 * spark.sparkContext.defaultParallelism)
     files = c.select(F.col("c_name").alias("path"), source.alias("text")).unionAll(c.select("c_name", F.concat(F.lit("not ( "), "c_mktsegment")))
     return C.code_symbols(files).select("path", "name", "kind", "start_line", "end_line", F.array_join("calls", ",").alias("calls"))
 

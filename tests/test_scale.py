@@ -1,14 +1,19 @@
 """Results and plans that only larger tables show."""
 
+import ast
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.operators import budgets as B
+from tessera.operators import chunking as CH
 from tessera.operators import dedup
 from tessera.operators import evaluation as E
 from tessera.operators import facts as K
 from tessera.operators import fulltext as FT
 from tessera.operators import graph as G
+from tessera.operators import ingest as I
 from tessera.operators import mentions as M
 from tessera.operators import querycache as QC
 from tessera.operators import reads as D
@@ -123,3 +128,20 @@ def test_replacements_by_nothing_do_not_meet_in_one_task(spark):
     replaced = D.superseded(facts, gone.unionByName(good))
     assert "hashpartitioning(new_id" not in plan(replaced) or "hashpartitioning(new_id#" in plan(replaced) and ", entity_slug" in plan(replaced)
     assert [(r.id, r.superseded_by) for r in replaced.where("superseded_by IS NOT NULL").collect()] == [(1, 51)]
+
+
+def test_calls_are_named_as_unparsing_names_them(spark):
+    calls = ["f()", "a.b.c()", "a().b()", "x[1].y()", "(lambda: 1)()", "'s'.join()", "self.m()"]
+    assert sorted(ast.unparse(ast.parse(c).body[0].value.func) for c in calls) == sorted(CH._called(ast.parse(c).body[0].value.func) for c in calls)
+
+
+def test_code_files_are_dealt_out(spark):
+    assert queries()["code_symbols"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_texts_are_chunked_and_embedded_in_slices(spark, monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(["x" * 1_500_000, None, "y" * 5_000_000, "z"])], names=["id", "text"])
+    assert [b.column(0).to_pylist() for b in CH.text_slices(iter([batch]), 1)] == [[1, 2, 3], [4]]
+    texts = spark.createDataFrame([("One two two",), (None,), ("été, un_deux",)], "text string")
+    assert [sum(r.v) for r in texts.select(I.hashed_embedding("text").alias("v")).collect()] == [3, 0, 3]
+    assert "ArrowEvalPython" in plan(texts.select(I.hashed_embedding("text")))

@@ -119,28 +119,24 @@ def incremental_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.floor(F.col("doc_id") / 25)
     rows = table(spark, sf_dir, "documents").select(number.alias("folder"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     put_files(rows.where("folder % 10 <> 7"), root)
-    SW.sweep(store, root, 1)
+    SW.sweep(store, root, 1, FILES)
     put_files(rows.where("folder % 10 = 7"), root)
     changed = rows.where("folder % 4 = 0 AND folder % 10 NOT IN (3, 7)")
     put_files(changed.unionByName(changed.groupBy("folder").agg(F.max("doc_id").alias("doc_id")).withColumn("text", F.concat(F.lit("changed "), "folder"))), root)
     drop_files(spark, root, lambda n: n % 10 == 3)
-    SW.sweep(store, root, 2)
-    SW.sweep(store, root, 3)
+    SW.sweep(store, root, 2, FILES)
+    SW.sweep(store, root, 3, FILES)
     return store.rows().select(F.regexp_extract("path", r"folder=(\d+)", 1).cast("long").alias("folder"), "sweep", F.md5("text").alias("hash"))
 
 
 def put_files(rows: DataFrame, root: str) -> None:
-    """One file ``notes.md`` a folder, with the texts of its rows in order; one that is there is replaced."""
-    spark = rows.sparkSession
-    apart = f"{root}-{uuid.uuid4().hex}"
-    rows.repartition("folder").sortWithinPartitions("folder", "doc_id", F.col("text").startswith("changed ")).select("folder", "text").write.partitionBy("folder").text(apart)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    files = path(apart).getFileSystem(spark._jsc.hadoopConfiguration())
-    for f in files.globStatus(path(f"{apart}/folder=*/part-*")):
-        to = path(f"{root}/{f.getPath().getParent().getName()}/notes.md")
-        files.mkdirs(to.getParent())
-        files.delete(to, False)
-        files.rename(f.getPath(), to)
+    """One file a folder, with the texts of its rows in order; one that is there is replaced. Tasks write the files, and the commit moves whole folders."""
+    placed = rows.repartition("folder").sortWithinPartitions("folder", "doc_id", F.col("text").startswith("changed ")).select("folder", "text")
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").text(root)
+
+
+#: The names of the files that ``put_files`` writes.
+FILES = "part-*"
 
 
 def drop_files(spark: SparkSession, root: str, which: Callable[[int], bool]) -> None:

@@ -21,7 +21,16 @@ def file_store(spark: SparkSession, folder: str, parts: int = 16) -> Store:
 
 def listed_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """(path, modified_at, bytes) of the files below ``root``; their content is not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    return described(folder_files(spark, root, glob))
+
+
+def folder_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """The files below ``root``, listed when this is called."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+
+
+def described(files: DataFrame) -> DataFrame:
+    """(path, modified_at, bytes) of files outside of folders that are passed over."""
     skipped = "|".join(f.replace(".", r"\.") for f in SKIPPED_FOLDERS)
     return files.where(~F.col("path").rlike(f"/({skipped})/")).select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("bytes"))
 
@@ -43,7 +52,8 @@ def sweep(store: Store, root: str, number: int, glob: str = "*.md") -> Manifest:
 
     def work(base: Manifest) -> tuple[list[str], DataFrame, dict[str, str]] | None:
         index = store._rows_of(base.parts)
-        found = differences(listed_files(spark, root, glob), index).persist()
+        listed = folder_files(spark, root, glob)  # once: a folder's listing costs more than comparing it
+        found = differences(described(listed), index).persist()
         try:
             first, n = found.where("kind <> 'gone'").agg(F.min("modified_at"), F.count("*")).first()
             parts = [r[0] for r in found.select(store.part).distinct().collect()]  # parts, not files
@@ -52,7 +62,7 @@ def sweep(store: Store, root: str, number: int, glob: str = "*.md") -> Manifest:
             kept = store._rows_of(base.parts, parts).join(found.select("path"), "path", "left_anti")
             if not n:
                 return parts, kept, {}
-            files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).where(F.col("modificationTime") >= F.lit(first))
+            files = listed.where(F.col("modificationTime") >= F.lit(first))
             read = files.select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("bytes"), F.decode("content", "UTF-8").alias("text"), F.lit(number).alias("sweep"))
             return parts, kept.unionByName(read.join(found.where("kind <> 'gone'").select("path"), "path", "left_semi")), {}
         finally:

@@ -20,6 +20,7 @@ from tessera.operators import reads as D
 from tessera.llm import quality
 from tessera.plans import queries
 from tessera.sources import exports as EX
+from tessera.sources import sweep as SW
 
 
 def plan(df):
@@ -145,3 +146,13 @@ def test_texts_are_chunked_and_embedded_in_slices(spark, monkeypatch):
     texts = spark.createDataFrame([("One two two",), (None,), ("été, un_deux",)], "text string")
     assert [sum(r.v) for r in texts.select(I.hashed_embedding("text").alias("v")).collect()] == [3, 0, 3]
     assert "ArrowEvalPython" in plan(texts.select(I.hashed_embedding("text")))
+
+
+def test_a_sweep_lists_its_folder_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "a.md").write_text("one")
+    listed, list_files = [], SW.folder_files
+    monkeypatch.setattr(SW, "folder_files", lambda *a: listed.append(a) or list_files(*a))
+    store = SW.file_store(spark, f"{tmp_path}/store")
+    SW.sweep(store, f"{tmp_path}/files", 1)
+    assert [r.text for r in store.rows().collect()] == ["one"] and len(listed) == 1

@@ -8,13 +8,34 @@ tables give empty results, and without labelled languages every text with a lett
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontam, langid, packing, secret_scan, simhash
 from tessera.llm.common import table, with_checkpoint_dir
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+#: Rows of an Arrow batch: whole texts lie in one several times over, in the JVM and in the worker, so Spark's 10,000 are too many.
+BATCH_ROWS = 1000
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage, run after the session is told to hand at most ``BATCH_ROWS`` rows to a worker at once."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+            spark.conf.set(name, BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language stay."""
@@ -42,11 +63,11 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language_id", language_id),
-    ("near_dedup", near_dedup),
-    ("decontamination", decontamination),
-    ("secrets", secrets),
-    ("packing", pack),
+    ("language_id", in_small_batches(language_id)),
+    ("near_dedup", in_small_batches(near_dedup)),
+    ("decontamination", in_small_batches(decontamination)),
+    ("secrets", in_small_batches(secrets)),
+    ("packing", in_small_batches(pack)),
 ]
 
 #: Automata, fingerprints and forests are beyond SQL; tests compare the stages with brute force.

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +85,7 @@ def row_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[p
             yield batch.slice(start, rows)
 
 
-_built: dict[str, tuple[str, object]] = {}
+_built: dict[str, tuple[str, int, object]] = {}
 
 
 def new_key() -> str:
@@ -92,8 +94,18 @@ def new_key() -> str:
 
 
 def built_once(kind: str, key: str, make: Callable[[], object]) -> object:
-    """In a worker: what ``make`` builds, kept until another ``key`` of the same kind is asked for."""
-    if _built.get(kind, ("", None))[0] != key:
-        _built.pop(kind, None)
-        _built[kind] = (key, make())
-    return _built[kind][1]
+    """In a worker: what ``make`` builds, kept until another ``key`` of the same kind is asked for, or anything by another stage. Workers outlive
+    stages, so what an earlier one built would else lie beside all that later ones build."""
+    context = TaskContext.get()
+    stage = context.stageId() if context else -1
+    held = _built.pop(kind, None)
+    gone = [k for k, (_, of, _) in _built.items() if of != stage]
+    for k in gone:
+        del _built[k]
+    if held is not None and held[0] != key:
+        held, gone = None, [kind]
+    if gone:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    _built[kind] = (key, stage, make() if held is None else held[2])
+    return _built[kind][2]

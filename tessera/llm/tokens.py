@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import built_once
+
 CLOSING_ID = 1
 #: Word encodings that a worker keeps in each half of its memory.
 KEPT_WORDS = 150_000
@@ -170,9 +172,6 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLIC
                 yield batch.slice(a, b - a)
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def token_pieces(
     docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True
 ) -> DataFrame:
@@ -189,7 +188,7 @@ def token_pieces(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
+        encoder = built_once("encoder", path, lambda: WordEncoder(path))
         for batch in text_slices(batches, 1):
             ids, at = encoder.encode_column(batch.column(1))
             totals = np.diff(at)

@@ -110,3 +110,31 @@ def test_mentions_by_hand(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 0, "alpha beta", "ab"), (2, 0, "one two three four five", "five"), (3, 3, "beta gamma delta", "bgd"), (4, 0, "müller", "mu")]
     links = M.mention_links(spark.createDataFrame([("ab", "Alpha Beta, Beta gamma delta; Beta Gamma Delta")], "id string, text string"), names)
     assert [tuple(x) for x in links.collect()] == [("ab", "bgd", 3)]
+
+
+def test_queries_of_equal_terms_are_searched_once(spark):
+    """Each query met all documents with its rarest term, so repeated questions made documents times queries rows."""
+    docs = spark.createDataFrame([(i, f"alpha beta {'gamma' if i % 2 else 'delta'} filler{i}") for i in range(30)], "id int, text string")
+    asked = [(1, "beta alpha gamma"), (2, "gamma alpha beta"), (3, "alpha gamma beta"), (4, "delta"), (5, "alpha absent")]
+    terms = FT.numbered_terms(spark.createDataFrame(asked, "query_id int, query string"))
+    words = FT.asked_words(docs.select("id", F.transform(F.split("text", " "), lambda w: F.struct(w.alias("term"), F.lit(1.0).alias("inverse"))).alias("words")), terms)
+    assert words.count() == 30 * 3  # no filler goes on to the shuffle
+    index = FT.positional_index(docs, "id", {"B": F.col("text")}, terms)
+    whole = FT.positional_index(docs, "id", {"B": F.col("text")}).where("term NOT LIKE 'filler%'")
+    assert sorted(index.collect()) == sorted(whole.collect())
+    sets, members = FT.term_sets(index, terms)
+    assert sorted(r.set_id for r in sets.collect()) == [1, 4]
+    assert sorted(map(tuple, members.collect())) == [(1, 1), (1, 2), (1, 3), (4, 4)]
+    one, many = (sorted(map(tuple, FT.set_hits(index, sets, size).collect())) for size in (FT.BLOCK_BYTES, 50))
+    assert one == many and len(one) == 30
+    hits = {(r.query_id, r.id, r["rank"]) for r in FT.keyword_arm(index, terms, 4).collect()}
+    assert hits == {(q, 2 * n + 1, n + 1) for q in (1, 2, 3) for n in range(4)} | {(4, 2 * n, n + 1) for n in range(4)}
+
+
+def test_title_arm_keeps_the_least_ids_of_a_title(spark):
+    from tessera.operators import search as S
+
+    docs = spark.createDataFrame([(i, "Same Title") for i in range(40, 0, -1)] + [(0, "same")], "id int, title string")
+    queries = spark.createDataFrame([(1, "the same title"), (2, "same")], "query_id int, query string")
+    got = sorted((r.query_id, r.id, r.score) for r in S.title_arm(docs, queries, 3).collect())
+    assert got == [(1, 1, 2.0), (1, 2, 2.0), (1, 3, 2.0), (2, 0, 1.0)]

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import tiles
+from tessera.operators.graph import reliable_checkpoint
 
 # fixed values: least similarity, and seconds that an entry may be served by it
 SIMILARITY, TTL_SECONDS = 0.92, 3600
@@ -39,9 +40,12 @@ def unit(vector: Column) -> Column:
 
 def pivots_of(vectors: DataFrame, n: int = PIVOTS) -> dict[int, np.ndarray]:
     """At most ``n`` unit vectors (unit) of each of the eight most frequent lengths, by length."""
-    widths = vectors.groupBy(F.size("unit").alias("d")).count().orderBy(F.desc("count"), "d").limit(8)
-    order = Window.partitionBy("d").orderBy(F.xxhash64("unit"))
-    some = vectors.select("unit", F.size("unit").alias("d")).distinct().join(F.broadcast(widths.select("d")), "d").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
+    # those of least hash, found by hashes alone: two vectors of one hash would only be one pivot less
+    hashes = vectors.select(F.size("unit").alias("d"), F.xxhash64("unit").alias("h"))
+    widths = hashes.groupBy("d").count().orderBy(F.desc("count"), "d").limit(8)
+    least = Window.partitionBy("d").orderBy("h")
+    chosen = hashes.join(F.broadcast(widths.select("d")), "d").distinct().withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= n)
+    some = vectors.select("unit", F.size("unit").alias("d"), F.xxhash64("unit").alias("h")).join(F.broadcast(chosen), ["d", "h"]).groupBy("d", "_n").agg(F.min("unit").alias("unit"))
     out: dict[int, list[list[float]]] = {}
     for r in some.orderBy("d", "_n").collect():  # at most eight times ``n``
         out.setdefault(r["d"], []).append(r["unit"])
@@ -82,7 +86,7 @@ def near_vectors(asked: DataFrame, stored: DataFrame, similarity: float, n_pivot
     reach = max(math.acos(similarity), 1e-3) + SLACK
     query, entry = (d.select("bucket", F.col(key).alias("key"), unit(F.col("vector")).alias("unit")).where("unit IS NOT NULL AND bucket IS NOT NULL") for d, key in ((asked, "query_id"), (stored, "key")))
     pivots = pivots_of(entry, n_pivots)
-    one, two = (tiles.blocks(_placed(d, pivots, reach, False), ["cell"]) for d in (query, entry))
+    one, two = (reliable_checkpoint(tiles.blocks(_placed(d, pivots, reach, False), ["cell"])) for d in (query, entry))
     # two blocks whose angles to some pivot lie farther apart than the threshold's hold no pair
     apart = F.exists(F.arrays_zip("low", "high", "asked_low", "asked_high"), lambda x: F.greatest(x["low"] - x["asked_high"], x["asked_low"] - x["high"]) > reach + SLACK)
     return tiles.meetings(one, two, lambda products: np.nonzero(products >= similarity), ~apart)

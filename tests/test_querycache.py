@@ -60,3 +60,25 @@ def test_served_answers(spark):
     assert {(r.query_id, r.key) for r in QC.semantic_hits(asked, cache, documents, 2, now).collect()} == {(1, "old_clock_same_docs"), (2, "other_bucket")}
     keys = spark.createDataFrame([("empty",), ("far",), ("changed",), ("far",)], "key string")
     assert [r.key for r in QC.exact_hits(keys, cache, documents, 2).collect()] == ["far"]
+
+
+def test_no_key_of_a_meeting_holds_a_whole_bucket(spark, tmp_path):
+    """All blocks of a bucket were joined by bucket and width alone, so one task held them."""
+    import re
+    from collections import Counter
+
+    import numpy as np
+
+    from tessera.operators import tiles
+
+    rng = np.random.default_rng(5)
+    units = rng.normal(size=(300, 4))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    rows = spark.createDataFrame([("b", i, u.tolist(), []) for i, u in enumerate(units)], "bucket string, key int, unit array<double>, angles array<double>")
+    blocks = tiles.blocks(rows, [], rows_a_block=5)
+    met = tiles.meetings(blocks, blocks, lambda products: np.nonzero(products >= 0.9), part_blocks=4)
+    expected = {(i, j) for i, j in zip(*np.nonzero(units @ units.T >= 0.9), strict=True)}
+    got = Counter((r.query_id, r.key) for r in met.select("query_id", "key").collect())
+    assert set(got) == expected and max(got.values()) == 1
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, .*asked_part.*stored_part", plan)

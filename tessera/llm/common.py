@@ -47,6 +47,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """As ``checkpointed``, and the number of rows. They are not observed while they are written: a session with an Observation
+    cannot be serialized, and models of Spark ML hold their session."""
+    done = checkpointed(df)
+    return done, done.count()
+
+
 #: Rows of small columns that one task takes in a step that is repeated many times.
 ROWS_A_TASK = 200_000
 
@@ -54,8 +61,8 @@ ROWS_A_TASK = 200_000
 def compact(df: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     """As ``checkpointed``, in as few partitions as the number of rows asks for: a step over a small table then writes few
     shuffle files, whatever the session's number of partitions."""
-    done = checkpointed(df)
-    return done.coalesce(done.count() // rows_a_task + 1)
+    done, rows = counted(df)
+    return done.coalesce(rows // rows_a_task + 1)
 
 
 def fresh_names(df: DataFrame, *names: str) -> list[str]:

@@ -112,10 +112,18 @@ def sketches(docs: DataFrame, fingerprint: Callable[[str | None], int], id_col:
     return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
+def differing_bytes(a: Column, b: Column) -> Column:
+    """At how many of the eight byte positions two longs differ: of the seven lower ones all at once, as the sum sets the high bit of
+    each byte with a lower bit and carries nothing into the next. A test for each byte makes plans three times as large."""
+    x = a.bitwiseXOR(b)
+    lower = F.lit(0x007F7F7F7F7F7F7F)
+    marked = (x.bitwiseAND(lower) + lower).bitwiseOR(x).bitwiseAND(F.lit(0x0080808080808080))
+    return F.bit_count(marked) + (F.shiftrightunsigned(x, 56) != 0).cast("int")
+
+
 def tally(a: str, b: str) -> Column:
     """At how many of the 64 positional bytes the sketches of two aliased rows agree."""
-    one = lambda x: sum((F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(8))
-    return sum(one(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH)
+    return POSITIONS - sum(differing_bytes(F.col(f"{a}.{s}"), F.col(f"{b}.{s}")) for s in SKETCH)
 
 
 def likely(a: str, b: str, similarity: float) -> Column:
@@ -225,10 +233,10 @@ def near_links(
     long = shared.where(F.col("n") > long_posting)
     named = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).unionByName(long.select("set_key")).distinct()
     sets = _sets(named, classes, docs, id_col, text_col, shingle)
-    if long.isEmpty():
-        return verified(pairs, sets, similarity)
-    edges = compact(verified(pairs.unionByName(_star(long, similarity)).distinct(), sets, similarity))
     members = long.count()
+    if not members:
+        return compact(verified(pairs, sets, similarity))
+    edges = compact(verified(pairs.unionByName(_star(long, similarity)).distinct(), sets, similarity))
     while True:
         crossing = _crossing(long, edges, similarity)
         likeliest = compact(crossing.groupBy("a").agg(F.max_by("b", F.struct("t", "b")).alias("b"), F.count("*").alias("n")))
@@ -242,4 +250,4 @@ def near_links(
         edges = edges.unionByName(joined)
     if not left:
         return edges
-    return edges.unionByName(verified_in_tiles(crossing.select("a", "b").distinct(), sets, similarity))
+    return edges.unionByName(compact(verified_in_tiles(crossing.select("a", "b").distinct(), sets, similarity)))

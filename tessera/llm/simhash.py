@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ROWS_A_TASK, checkpointed, compact, fresh_names, row_slices
-from tessera.llm.near_copies import CLASS, KEYS, near_links, sketches
+from tessera.llm.common import ROWS_A_TASK, checkpointed, compact, counted, fresh_names, row_slices
+from tessera.llm.near_copies import CLASS, KEYS, differing_bytes, near_links, sketches
 
 #: The choices of two of the four aligned byte pairs.
 BYTE_PAIRS = tuple(combinations(range(4), 2))
@@ -71,8 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def byte_tally(a: Column, b: Column) -> Column:
     """At how many of the eight byte positions the two longs agree."""
-    x = a.bitwiseXOR(b)
-    return sum((F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(8))
+    return 8 - differing_bytes(a, b)
 
 
 def _pairs_equal(a: Column, b: Column, choice: tuple[int, int]) -> Column:
@@ -118,16 +117,20 @@ def links(fps: DataFrame, long_posting: int = 64) -> DataFrame:
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, root): the smallest node of each node's component, by alternating large-star and small-star steps
-    (Kiveris et al., 2014). ``edges`` has columns a, b. Each step cuts its lineage with a checkpoint. The
-    minima are dealt anew before they meet the edges, so that a node with many edges is a plain skewed join."""
-    now = compact(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
-    tasks = now.count() // ROWS_A_TASK + 1
+    (Kiveris et al., 2014). ``edges`` has columns a, b. Each star cuts its lineage with a checkpoint: the plan of both
+    would hold the first three times over, and the driver plans anew after every stage. The minima are dealt anew
+    before they meet the edges, so that a node with many edges is a plain skewed join; none pass through the driver."""
+    now, rows = counted(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
+    if not rows:
+        return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
+    tasks = rows // ROWS_A_TASK + 1
+    now = now.coalesce(tasks)
     for _ in range(max_rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks).hint("rebalance")
-        large = both.join(low, "u").where("v > u").select("v", F.col("m").alias("u")).coalesce(tasks).distinct().coalesce(tasks)
+        large = checkpointed(both.join(low.hint("merge"), "u").where("v > u").select("v", F.col("m").alias("u")).coalesce(tasks).distinct().coalesce(tasks))
         low = large.groupBy("v").agg(F.min("u").alias("m")).coalesce(tasks).hint("rebalance")
-        joined = large.join(low, "v")
+        joined = large.join(low.hint("merge"), "v")
         small = joined.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low.select("v", F.col("m").alias("u"))).coalesce(tasks)
         now = compact(small.distinct())
         # settled: every node either has one smaller neighbour, which has none itself, or has none
@@ -168,7 +171,7 @@ def representatives(
     alike = rows.select("fp", "set_key").distinct().join(leads, "fp").where("set_key <> lead").select(F.col("lead").alias("a"), F.col("set_key").alias("b"))
     near = links(leads.select("fp"), long_posting)
     first, second = leads.select(F.col("fp").alias("a"), F.col("lead").alias("p")), leads.select(F.col("fp").alias("b"), F.col("lead").alias("q"))
-    apart = near.join(first, "a").join(second, "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
+    apart = compact(near.join(first, "a").join(second, "b").select(F.col("p").alias("a"), F.col("q").alias("b")))
     copies = near_links(classes, docs, id_col, text_col, near_shingle, similarity, long_posting)
     members = components(alike.unionByName(apart).unionByName(copies))
 

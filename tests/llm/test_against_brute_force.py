@@ -550,3 +550,32 @@ def test_a_pair_of_eight_tenths_is_never_refused_by_its_bitmap():
             if common >= 0.8 * (len(p) + len(q) - common):
                 differing = np.bitwise_count(near_copies.parity(p) ^ near_copies.parity(q)).sum()
                 assert differing <= (0.2 / 1.8) * (len(p) + len(q)) + 1e-6
+
+
+def jobs_of(spark, group, run):
+    """What ``run`` gives, and how many jobs the driver took for it."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_take_few_jobs_of_the_driver(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(20, 21), (30, 30)], "a long, b long")
+    assert sorted(simhash.components(path).where("node <> root").collect()) == [(i, 0) for i in range(1, 7)] + [(21, 20)]
+    none, jobs = jobs_of(spark, "components of nothing", lambda: simhash.components(path.where("a = b")).collect())
+    assert none == []
+    assert jobs <= 5
+
+
+def test_differing_bytes(spark):
+    from tessera.llm.near_copies import differing_bytes
+
+    edges = [0, 1, -1, 127, 128, 255, 256, (1 << 63) - 1, -(1 << 63), 1 << 56, -(1 << 56), (1 << 56) - 1, 0x0101010101010101, 0x7F7F7F7F7F7F7F7F, -0x7F7F7F7F7F7F7F80]
+    rng = random.Random(5)
+    longs = edges + [sum(rng.choice((0, 1, 128, rng.randrange(256))) << 8 * i for i in range(8)) - (1 << 63) for _ in range(40)]
+    pairs = spark.createDataFrame([(a, b) for a in longs for b in longs], "a long, b long")
+    for r in pairs.select("a", "b", differing_bytes(F.col("a"), F.col("b")).alias("n"), simhash.byte_tally(F.col("a"), F.col("b")).alias("same")).collect():
+        want = sum(x != y for x, y in zip(r.a.to_bytes(8, "little", signed=True), r.b.to_bytes(8, "little", signed=True), strict=True))
+        assert (r.n, r.same) == (want, 8 - want)

@@ -138,3 +138,55 @@ def test_title_arm_keeps_the_least_ids_of_a_title(spark):
     queries = spark.createDataFrame([(1, "the same title"), (2, "same")], "query_id int, query string")
     got = sorted((r.query_id, r.id, r.score) for r in S.title_arm(docs, queries, 3).collect())
     assert got == [(1, 1, 2.0), (1, 2, 2.0), (1, 3, 2.0), (2, 0, 1.0)]
+
+
+def test_held_words_and_the_best_of_each_task(spark, monkeypatch):
+    """A document's postings come from its own row, with the same hits as over an index, whatever is worked on at once."""
+    r = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(r.choices("abcdefgh", k=r.randint(1, 30)))) for i in range(200)] + [(200, None), (201, "")], "id int, text string").repartition(3)
+    asked = [(i, " ".join(r.sample("abcdefgh", r.randint(1, 3)))) for i in range(60)] + [(60, "absent a")]
+    terms = FT.numbered_terms(spark.createDataFrame(asked, "query_id int, query string"))
+    words = F.split("text", " ")
+    held = FT.held_words(docs, "id", {"A": F.slice(words, 1, 3), "B": words}, terms)
+    assert held.count() == 200
+    index = FT.positional_index(docs, "id", {"A": F.array_join(F.slice(words, 1, 3), " "), "B": F.col("text")}, terms)
+    want = sorted((h.query_id, h.id, h.score, h["rank"]) for h in FT.keyword_arm(index, terms, 4).collect())
+    everything = FT.cover_density_hits(index, terms).collect()
+    best = {}
+    for h in sorted(everything, key=lambda h: (-h.score, h.id)):
+        best.setdefault(h.query_id, []).append((h.query_id, h.id, h.score, len(best.get(h.query_id, [])) + 1))
+    assert want == sorted(x for rows in best.values() for x in rows[:4]) and len(want) == 240
+    assert sorted((h.query_id, h.id, h.score, h["rank"]) for h in FT.held_arm(held, terms, 4).collect()) == want
+    # a task that holds few rows passes on what it has and still drops nothing that counts
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(FT, "HELD_ROWS", 40)
+    rows = [(h.query_id, h.id, h.score) for h in everything]
+    best, out = FT.Best(61, 4), []
+    for at in range(0, len(rows), 7):
+        q, i, s = zip(*rows[at : at + 7], strict=True)
+        out += best.add(np.array(q), pa.array(i), np.array(s))
+    best.cut()
+    got = [x for q, i, s in [*out, *best.rows] for x in zip(q.tolist(), i.to_pylist(), s.tolist(), strict=True)]
+    assert len(got) < len(rows) and set(got) >= {x[:3] for x in want}
+
+
+def test_hybrid_search_takes_texts_without_words(spark, tmp_path):
+    """The first of no words was asked for, which is an error; now such a text has no title and asks for nothing."""
+    from tessera import plans
+
+    docs = [(i, f"quarry lantern number{i} meadow harbour", "src1", "en", 40) for i in range(40)] + [(40, "", "src1", "en", 0), (41, "?! --", "src1", "en", 5), (42, None, "src1", "en", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)]) for i in range(42)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = plans.queries()["hybrid_search"](spark, str(tmp_path)).collect()
+    assert {r.query_id for r in got} == {0, 20}
+
+
+def test_longest_words(spark):
+    from tessera.plans.search_queries import longest_words
+
+    texts = [(1, "bb a ccc ccc BB dd ee"), (2, None), (3, "-"), (4, "é x"), (5, "zz yy xx ww")]
+    got = {r.doc_id: r.longest for r in longest_words(spark.createDataFrame(texts, "doc_id int, text string"), 3).collect()}
+    assert got == {1: ["ccc", "bb", "dd"], 4: ["x", "é"], 5: ["ww", "xx", "yy"]}

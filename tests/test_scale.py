@@ -1,6 +1,7 @@
 """Results and plans that only larger tables show."""
 
 import ast
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -156,3 +157,33 @@ def test_a_sweep_lists_its_folder_once(spark, tmp_path, monkeypatch):
     store = SW.file_store(spark, f"{tmp_path}/store")
     SW.sweep(store, f"{tmp_path}/files", 1)
     assert [r.text for r in store.rows().collect()] == ["one"] and len(listed) == 1
+
+
+def test_a_set_goes_to_tiles_and_not_to_each_of_its_pairs(spark):
+    words = [f"w{k}" for k in range(60)]
+    sets = [sorted(set(words) - {words[i]} | {f"own{i}"}) for i in range(40)] + [[f"x{i}"] for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(sets)), "id int, tokens array<string>")
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40)}
+    found = dedup.jaccard_pairs(docs, 0.85)
+    assert "array_intersect" not in plan(found) and {(r.a, r.b) for r in found.collect()} == want
+    # parts of both sides, and blocks of what goes where, change nothing
+    pairs = spark.createDataFrame([(a, b, 7) for a, b in want] + [(40, 41, 8)], "a int, b int, w long")
+    rows = docs.select(F.col("id").alias("rep"), "tokens")
+    for tile_sets, block_rows in ((4, 50), (512, 1_000_000)):
+        got = dedup._verified(pairs, rows, 0.85, tile_sets, block_rows).collect()
+        assert {(r.a, r.b) for r in got} == want and {round(r.jaccard, 6) for r in got} == {round(58 / 62, 6)}
+
+
+def test_pairs_near_the_threshold_are_those_of_brute_force(spark):
+    r = random.Random(9)
+    sets = []
+    for size in (40, 90, 200):
+        base = [f"s{size}t{k}" for k in range(size)]
+        for share in (0.02, 0.05, 0.08, 0.09, 0.12):
+            for _ in range(5):
+                sets.append(sorted({w if r.random() > share else f"n{r.random()}" for w in base} | {f"common{k}" for k in range(8)}))
+    docs = spark.createDataFrame(list(enumerate(sets)), "id int, tokens array<string>")
+    whole = [set(s) for s in sets]
+    like = {(i, j): len(whole[i] & whole[j]) / len(whole[i] | whole[j]) for i in range(len(sets)) for j in range(i + 1, len(sets))}
+    got = {(x.a, x.b): x.jaccard for x in dedup.jaccard_pairs(docs, 0.85).collect()}
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in like.items() if v > 0.85} and len(got) > 50 and sum(0.75 < v <= 0.85 for v in like.values()) > 50
